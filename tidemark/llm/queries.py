@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> its module here
 MODULES = {
+    "op2_chat": "chat",
+    "op4_token_counts": "token_counts",
     "op5_line_dedup": "line_dedup",
     "op6_packing": "packing",
 }
 #: query -> (module, name of its DuckDB statement)
-SQL = {"op5_line_dedup": ("line_dedup", "OP5_SQL")}
+SQL = {"op2_chat": ("chat", "OP2_SQL"), "op5_line_dedup": ("line_dedup", "OP5_SQL")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
