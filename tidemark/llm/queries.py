@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> its module here
 MODULES = {
+    "op1_quality": "quality",
     "op2_chat": "chat",
     "op4_token_counts": "token_counts",
     "op5_line_dedup": "line_dedup",
