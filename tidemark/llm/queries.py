@@ -13,6 +13,7 @@ MODULES = {
     "op2_chat": "chat",
     "op4_token_counts": "token_counts",
     "op5_line_dedup": "line_dedup",
+    "op7_decontaminate": "decontaminate",
     "op8_langid": "langid",
     "op6_packing": "packing",
 }
