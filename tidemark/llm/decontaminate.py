@@ -154,7 +154,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
         yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (-1 if r[0] is None else r[0], r[1]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.5, min_matched: int = 6, min_words: int = 6, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.4, min_matched: int = 6, min_words: int = 6, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """docs with the column leaks: the test items found in each document, with score, matched words and word span."""
     spark = docs.sparkSession
     own = [c for c in docs.columns if c != "leaks"]

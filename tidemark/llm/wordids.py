@@ -8,39 +8,75 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 #: Words kept by each Python worker; words beyond it are encoded again in each batch that has them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 _CACHES: dict[str, tuple] = {}
 
 
-def word_ids(path: str) -> Callable[[Iterable[bytes]], Iterator[bytes]]:
-    """A function from UTF-8 texts to little-endian 32-bit ids, equal to the library's encode of each text.
+class WordEncoder:
+    """For tokenizers that lower-case, drop white space and mark word ends, as word_bpe_49k.json does: there the ids of a text
+    are those of its words, one after the other, and of a letter and a following full stop or comma those of each alone."""
 
-    It is for tokenizers that drop white space, as word_bpe_49k.json does: there the ids of a text are those of its words, one
-    after the other. Texts with a special token's opening are given to the library whole.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _CACHES:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _CACHES[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _CACHES[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        self.cache: dict[bytes, bytes] = {}
+        self.stops = {s: self._alone([s])[0] for s in (b".", b",")}
+
+    def _alone(self, words: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters only, each of which is one run: encoded together and parted at the word ends."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(words):
+            return self._alone(words)
+        blob, at = ids.tobytes(), [0, *(4 * last).tolist()]
+        return [blob[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def encode(texts: list[bytes]) -> Iterator[bytes]:
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        cache, stops = self.cache, self.stops
+        fresh = [w for w in new if w not in cache]
+        parted = [(w, w[:-1], stops[w[-1:]]) for w in fresh if w[-1:] in stops and w[-2:-1].isalpha()]
+        whole = {w for w in fresh if not (w[-1:] in stops and w[-2:-1].isalpha())}
+        whole.update(core for _, core, _ in parted if core not in cache)
+        plain, odd = [], []
+        for w in whole:
+            (plain if w.isalpha() or (s := w.decode().lower()).isalpha() and s == w.decode() else odd).append(w)
+        known = dict(zip(plain, self._plain(plain), strict=True)) | dict(zip(odd, self._alone(odd), strict=True))
+        if len(cache) < CACHE_WORDS:
+            cache.update(known)
+        for w, core, stop in parted:
+            known[w] = (cache.get(core) or known[core]) + stop
+        if len(cache) < CACHE_WORDS:
+            cache.update((w, known[w]) for w, _, _ in parted)
+        return known
+
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text, equal to the library's encode."""
         texts = list(texts)
-        split = [None if b"<|" in t else t.split() for t in texts]
+        split = [None if b"<|" in t else t.lower().split() for t in texts]  # special tokens: the whole text goes to the library
         new: set[bytes] = set()
         for words in split:
             if words:
                 new.update(words)
-        fresh = [w for w in new if w not in cache]
-        known = dict(zip(fresh, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)), strict=True))
-        if len(cache) < CACHE_WORDS:
-            cache.update(known)
-        get, rest = cache.get, known.get
+        known = self._learn(new)
+        get, rest = self.cache.get, known.get
         for text, words in zip(texts, split, strict=True):
             if words is None:
-                yield np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 yield b"".join([get(w) or rest(w, b"") for w in words])
 
-    return encode
+
+def word_ids(path: str) -> Callable[[Iterable[bytes]], Iterator[bytes]]:
+    if path not in _CACHES:
+        _CACHES[path] = WordEncoder(path)
+    return _CACHES[path].encode
