@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_quality": "quality",
     "op2_chat": "chat",
+    "op3_suffix_dedup": "suffix_dedup",
     "op4_token_counts": "token_counts",
     "op5_line_dedup": "line_dedup",
     "op7_decontaminate": "decontaminate",
