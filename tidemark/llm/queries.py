@@ -15,6 +15,7 @@ MODULES = {
     "op4_token_counts": "token_counts",
     "op5_line_dedup": "line_dedup",
     "op7_decontaminate": "decontaminate",
+    "op9_lm_score": "lm_score",
     "op10_jaccard_join": "jaccard_join",
     "op8_langid": "langid",
     "op6_packing": "packing",
