@@ -7,7 +7,7 @@ r"""N-gram Jaccard join: exact links between documents' shingle sets, found with
 3. In a bucket, sets form a signature tree: leaves by size, and nodes with the OR of their members' token bitmaps, the AND, and the
    range of sizes. Dual traversal drops node pairs whose greatest possible overlap is too small for a link. Small buckets give all
    surviving pairs; larger ones a spanning forest of them, in which pairs of one tree are not looked at again.
-4. Surviving pairs are checked exactly on the whole sets; links form components. Where a forest's pair turned out to be no link, the
+4. Surviving pairs are narrowed by wider bitmaps, then checked exactly on the whole sets; links form components. Where a forest's pair turned out to be no link, the
    bucket is gone through again and all its surviving pairs between different components are checked, so no link is lost.
 
 Common shingles are dealt over several tasks by document; each task's trees send one member on, and buckets whose trees
@@ -32,6 +32,8 @@ from .shingles import shingle_set
 
 BITS = 1024
 BYTES = BITS // 8
+#: Bits of the map by which pairs are narrowed before their sets are fetched.
+WIDE = 8192
 #: One document in SAMPLE shows which shingles are common: those that COMMON sampled documents or more hold.
 SAMPLE, COMMON = 16, 8
 COMMON_LIMIT = 2_000_000
@@ -40,9 +42,9 @@ BLOCK, SMALL, LEAF = 4096, 8, 8
 IDS_LIMIT = 4_000_000
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(20)) & np.uint64(BITS - 1)] = 1
+def bitmap(s: np.ndarray, width: int = BITS) -> bytes:
+    bits = np.zeros(width, np.uint8)
+    bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -219,11 +221,23 @@ def _buckets(batches: Iterator[pa.RecordBatch], key_columns: int) -> Iterator[tu
         yield whole.combine_chunks(), bounds
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, salt, doc, salted) of buckets with two rows or more, and of all dealt ones."""
-    for t, bounds in _buckets(batches, 2):
-        keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds)) | (t.column(3).to_numpy() > 1)
-        yield from t.filter(pa.array(keep)).to_batches()
+def _shared(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted (token, salt, doc, salted, n, first), by size in each bucket -> rows that may have a partner there, and all dealt ones.
+
+        The least shingle that two linked sets share is among the ``first`` of the smaller one's prefix."""
+        for t, bounds in _buckets(batches, 2):
+            size = np.diff(bounds)
+            keep = t.column(3).to_numpy() > 1
+            n, first, run_of = t.column(4).to_numpy(), t.column(5).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(size)), size)
+            near = (run_of[1:] == run_of[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:])
+            pairs = np.repeat(size == 2, size)[:-1]
+            near &= ~pairs | first[:-1] | ((n[:-1] == n[1:]) & first[1:])  # with two rows the smaller one is known
+            keep[:-1] |= near
+            keep[1:] |= near
+            yield from t.select([0, 1, 2, 3]).filter(pa.array(keep)).to_batches()
+
+    return run
 
 
 def _maps(column) -> np.ndarray:
@@ -300,9 +314,17 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "s": pa.array([shingle_set(t).tobytes() for t in utf8(batch.column(1))], pa.binary())})
+            found = [shingle_set(t) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array([len(s) for s in found], pa.int64()), "m": pa.array([bitmap(s, WIDE) for s in found], pa.binary()), "s": pa.array([s.tobytes() for s in found], pa.binary())})
+
+    sets = materialize(wanted.mapInArrow(run, "doc_id long, n long, m binary, s binary"), "pair-sets")
 
-    sets = materialize(wanted.mapInArrow(run, "doc_id long, s binary"), "pair-sets")
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 5))
+                ok = possible(batch.column(2).to_numpy(), a, batch.column(4).to_numpy(), b, percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["u", "v", "linked"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,9 +335,13 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["u", "v", "linked"])
 
-    left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u")
+    kind = "u long, v long, linked boolean"
+    u, v = ([F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}")] for x in "uv")
+    wide = pairs.join(sets.select(*u), "u").join(sets.select(*v), "v").select("u", "v", "nu", "mu", "nv", "mv").mapInArrow(narrow, kind)
+    wide = materialize(wide, "narrowed-pairs")
+    left = wide.where("linked").select("u", "v").join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
-    return materialize(both.mapInArrow(check, "u long, v long, linked boolean"), "links")
+    return materialize(both.mapInArrow(check, kind).unionByName(wide.where("NOT linked")), "links")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -326,14 +352,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     least = materialize(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "set-representatives")
     members = sets.select("doc_id", "n", "s1", "s2").join(least, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     members = materialize(members, "set-members")
-    reps = materialize(usable.join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "set-payloads")
-
-    tokens = reps.select("doc_id", F.explode(F.arrays_zip("prefix", "salts")).alias("t")).select(
-        F.col("t.prefix").alias("token"), F.pmod(F.xxhash64("doc_id"), F.col("t.salts")).cast("int").alias("salt"), "doc_id", F.col("t.salts").alias("salted")
+    reps = usable.select("doc_id", "n", "prefix", "salts").join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    index = F.col("n") - F.ceil(F.lit(2.0 * percent) * F.col("n") / (100 + percent)) + 1
+    tokens = reps.select("doc_id", F.col("n").cast("int").alias("n"), index.alias("index"), F.posexplode(F.arrays_zip("prefix", "salts")).alias("at", "t")).select(
+        F.col("t.prefix").alias("token"), F.pmod(F.xxhash64("doc_id"), F.col("t.salts")).cast("int").alias("salt"), "doc_id", F.col("t.salts").alias("salted"), "n", (F.col("at") < F.col("index") + 1).alias("first")
     )
-    shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id").mapInArrow(_shared, "token long, salt int, doc_id long, salted int")
+    shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id").mapInArrow(_shared(percent), "token long, salt int, doc_id long, salted int")
     shared = materialize(shared, "shared-prefixes")
-    payload = reps.select("doc_id", "n", "map")
+    payload = usable.select("doc_id", "n", "map")
     rows = shared.join(payload, "doc_id").select("token", "salt", "doc_id", "salted", "n", "map")
     out = materialize(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id").mapInArrow(_forests(percent), _PAIRS), "tree-pairs")
     sent_on = out.where("kind = 2").select("token", F.col("u").alias("doc_id"), "n", "map")

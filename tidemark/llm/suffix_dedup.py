@@ -1,14 +1,16 @@
 r"""Exact substring dedup with suffix arrays, sharded by content.
 
 Every ``width`` bytes of text have a least hash among their k-grams; equal strings have equal least hashes, so they meet in one
-bucket. A stretch of neighbouring strings with the same least hash is a piece, and pieces, not texts, go to the buckets:
+bucket. A stretch of neighbouring strings with the same k-gram is a piece, and pieces, not texts, go to the buckets:
 
 1. Count in how many documents each least hash stands. Only those of two documents or more go on (cuckoo filters, sent to the
    tasks while they are small, else a join).
 2. Sum equal pieces of such hashes to their least doc_id, in every task first, so a passage of a third of all documents is one row.
-3. In each bucket the distinct pieces are sorted by a suffix array (linear grouping by Lyndon prefixes, ``gsaca``); suffixes
-   with ``width`` bytes in common are neighbours there, and each such class gets its least doc_id. A bucket with one distinct piece
-   needs no sorting. Buckets of over ``BUCKET`` distinct pieces are not brought into one task: their strings are summed in a shuffle.
+   A string holds its k-gram and half of its other bytes on one side of it or the other; pieces that agree with no other
+   piece of their bucket on either side share no string with it, and need no sorting.
+3. In each bucket the other distinct pieces are sorted by a suffix array (linear grouping by Lyndon prefixes, ``gsaca``);
+   suffixes with ``width`` bytes in common are neighbours there, and each such class gets its least doc_id. Buckets of over
+   ``BUCKET`` distinct pieces are not brought into one task: their strings are summed in a shuffle.
 4. Pieces' least doc_ids meet the documents again: every string that also starts in a smaller doc_id is covered, and the covered
    bytes are taken out. Strings are judged on the input.
 
@@ -18,6 +20,7 @@ with a null doc_id neither cover nor lose anything. Columns other than doc_id an
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,45 +33,71 @@ from .cuckoo import CuckooFilter
 from .gsaca import window_classes
 
 GRAM = 24
-#: Distinct pieces of a bucket that one suffix array takes.
+#: Distinct pieces of a bucket that one task takes.
 BUCKET = 4000
-#: A piece has at most this many strings.
-STRINGS = 64
 KEYS_PER_SHARD = 1_000_000
+BLOCK = 1 << 20
 _R1, _R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def least_hashes(text: bytes, width: int) -> np.ndarray:
-    """For each string of ``width`` bytes the least hash of its k-grams."""
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        with np.errstate(over="ignore"):
+            for k, r in enumerate((int(_R1), pow(int(_R1), -1, 1 << 64))):
+                _POWERS[k] = np.r_[np.uint64(1), np.cumprod(np.full(size, r, np.uint64))]
+    return _POWERS
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _R2
+    h = (h ^ (h >> np.uint64(29))) * _R1
+    return h ^ (h >> np.uint64(32))
+
+
+def block_pieces(text: bytes, width: int) -> tuple[np.ndarray, ...]:
+    """Of a text: (start, strings, least hash, left key, right key) of its pieces, in order. The keys are hashes of the k-gram with
+    the bytes on one side of it that half of a string's others can fill; where the text has none, they are the position's own."""
     n = len(text) - width + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.int64)
+        return none, none, none, none, none
+    size, side = len(text), (width - GRAM + 1) // 2
     with np.errstate(over="ignore"):
-        h = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * _R1
-        for step in (1, 2, 4):  # hashes of 2, 4, 8 bytes
-            h = (h[:-step] ^ (h[:-step] >> np.uint64(29))) * _R2 + h[step:]
-        h = ((h[:-16] ^ (h[:-16] >> np.uint64(31))) * _R1 + (h[8:-8] ^ (h[8:-8] >> np.uint64(27)))) * _R2 + h[16:]
-        h ^= h >> np.uint64(32)
-        h *= _R1
-    m = (h ^ (h >> np.uint64(29))).view(np.int64)
-    span, have = width - GRAM + 1, 1
-    while 2 * have <= span:
-        m = np.minimum(m[:-have], m[have:])
-        have *= 2
-    return np.minimum(m[:n], m[span - have : span - have + n]) if have < span else m[:n]
-
-
-def pieces(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and numbers of strings of the runs of equal least hashes, runs cut to STRINGS."""
-    start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]]) if len(least) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(least)])
-    if len(size) and size.max() > STRINGS:
-        parts = -(-size // STRINGS)
-        first = np.repeat(np.r_[0, np.cumsum(parts)[:-1]], parts)
-        k = np.arange(parts.sum()) - first
-        start, end = np.repeat(start, parts) + k * STRINGS, np.repeat(start + size, parts)
-        size = np.minimum(STRINGS, end - start)
-    return start, size
+        up, down = _powers(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((np.frombuffer(text, np.uint8) + np.uint64(1)) * up[:size], out=sums[1:])
+        grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: size - GRAM + 1])  # polynomials in the bytes, modulo 2**64
+        m, at, span, have = grams.view(np.int64), np.arange(len(grams)), width - GRAM + 1, 1
+
+        def least_of(i: slice, j: slice):
+            right = m[j] < m[i]  # of equal hashes the leftmost
+            return np.where(right, m[j], m[i]), np.where(right, at[j], at[i])
+
+        while 2 * have <= span:
+            m, at = least_of(slice(None, -have), slice(have, None))
+            have *= 2
+        if have < span:
+            m, at = least_of(slice(0, n), slice(span - have, span - have + n))
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # at most width - GRAM + 1 strings have one k-gram in common
+        count, at = np.diff(np.r_[start, n]), at[start]
+        least = m[start]
+        a, b = at - side, at + GRAM + side
+        left = np.where(a >= 0, _mixed((sums[at + GRAM] - sums[np.maximum(a, 0)]) * down[np.maximum(a, 0)] + np.uint64(1)), up[at] ^ sums[-1])
+        right = np.where(b <= size, _mixed((sums[np.minimum(b, size)] - sums[at]) * down[at] + np.uint64(2)), up[at] ^ ~sums[-1])
+    return start, count, least, left.view(np.int64), right.view(np.int64)
+
+
+def text_pieces(text: bytes, width: int) -> tuple[np.ndarray, ...]:
+    if len(text) <= BLOCK:
+        return block_pieces(text, width)
+    parts = []
+    for k in range(0, len(text) - width + 1, BLOCK):
+        start, *rest = block_pieces(text[k : k + BLOCK + width - 1], width)
+        parts.append((start + k, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _count_hashes(docs: DataFrame, width: int) -> DataFrame:
@@ -77,7 +106,7 @@ def _count_hashes(docs: DataFrame, width: int) -> DataFrame:
             held, size = [], 0
             for text in [*utf8(batch.column(0)), None]:
                 if text is not None:
-                    held.append(np.unique(least_hashes(text, width)))
+                    held.append(np.unique(text_pieces(text, width)[2]))
                     size += len(held[-1])
                 if size and (text is None or size > 1 << 20):
                     h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -87,169 +116,210 @@ def _count_hashes(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-_PIECES = "h long, k1 long, k2 long, doc_id long, tk long, start long, strings int, piece binary"
+def _filters(keys: DataFrame):
+    """(filters by shard, sent to the tasks; number of shards) of a one-column table; (None, _) if they are too large to send."""
+    name, n = keys.columns[0], keys.count()
+    shards = max(1, -(-n // KEYS_PER_SHARD))
+    if 4 * n > BROADCAST_LIMIT:
+        return None, shards
+
+    def build(group: pa.Table) -> pa.Table:
+        h = group["h"].to_numpy()
+        return pa.table({"shard": pa.array([int(h[0] % shards)], pa.int32()), "blob": pa.array([CuckooFilter.build(h).to_bytes()], pa.binary())})
+
+    sharded = keys.select(F.col(name).alias("h"), F.pmod(name, F.lit(shards)).cast("int").alias("shard"))
+    blobs = sharded.groupBy("shard").applyInArrow(build, "shard int, blob binary").collect()
+    return keys.sparkSession.sparkContext.broadcast({r.shard: bytes(r.blob) for r in blobs}), shards
+
+
+def _held(filters: dict, shards: int, h: np.ndarray) -> np.ndarray:
+    hit, shard = np.zeros(len(h), bool), h % shards
+    for s in filters if len(filters) < 8 else np.unique(shard).tolist():
+        if s in filters:
+            at = np.flatnonzero(shard == s)
+            hit[at] = filters[s].contains(h[at])
+    return hit
 
 
-def _find_pieces(docs: DataFrame, width: int, filters, shards: int, with_text: bool) -> DataFrame:
-    """Pieces whose least hash the filters may hold (all pieces without filters)."""
-    schema = _PIECES if with_text else _PIECES.replace(", piece binary", "")
+#: Columns of pieces: least hash, hash of the piece, side keys, document, first byte, number of strings, bytes.
+_KINDS = {"h": "long", "k": "long", "lk": "long", "rk": "long", "doc_id": "long", "start": "long", "strings": "int", "piece": "binary"}
+
+
+def _find_pieces(docs: DataFrame, width: int, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The pieces whose h, or whose k, stands in wanted (a table of that one column), and a few more that its filter lets through."""
+    by = wanted.columns[0]
+    filters, shards = _filters(wanted)
+    names = columns if filters is not None or by in columns else [*columns, by]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
         known = None if filters is None else {s: CuckooFilter.from_bytes(b) for s, b in filters.value.items()}
+        rows: dict[str, list] = {c: [] for c in names}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(rows[c], pa.binary()) if c == "piece" else pa.array(np.concatenate(rows[c])) for c in names], names)
+            for r in rows.values():
+                r.clear()
+            return out
+
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], [], []]
-
-            def flush(rows=rows):
-                k = np.frombuffer(b"".join(rows[1]), "<i8").reshape(-1, 2)
-                cols = [pa.array(np.concatenate(rows[0])), pa.array(k[:, 0]), pa.array(k[:, 1]), *(pa.array(np.concatenate(rows[i])) for i in (2, 3, 4, 5))]
-                if with_text:
-                    cols.append(pa.array(rows[6], pa.binary()))
-                for r in rows:
-                    r.clear()
-                return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
-
-            for doc, tk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
-                least = least_hashes(text, width)
-                start, size = pieces(least)
-                h = least[start]
-                if known is not None and len(h):
-                    hit = np.zeros(len(h), bool)
-                    shard = h % shards
-                    for s in known if len(known) < 8 else np.unique(shard).tolist():
-                        if s in known:
-                            at = np.flatnonzero(shard == s)
-                            hit[at] = known[s].contains(h[at])
-                    start, size, h = start[hit], size[hit], h[hit]
-                if not len(h):
+            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                found = dict(zip(("start", "strings", "h", "lk", "rk"), text_pieces(text, width), strict=True))
+                if known is not None and by == "h":
+                    hit = _held(known, shards, found["h"])
+                    found = {c: v[hit] for c, v in found.items()}
+                cut = [text[a:b] for a, b in zip(found["start"].tolist(), (found["start"] + found["strings"] + width - 1).tolist(), strict=True)]
+                found["k"] = np.array([xxh3_64_intdigest(p) for p in cut], np.uint64).view(np.int64)
+                if known is not None and by == "k":
+                    hit = _held(known, shards, found["k"])
+                    found = {c: v[hit] for c, v in found.items()}
+                    cut = [p for p, x in zip(cut, hit.tolist(), strict=True) if x] if "piece" in names else cut
+                n = len(found["h"])
+                if not n:
                     continue
-                cut = [text[a:b] for a, b in zip(start.tolist(), (start + size + width - 1).tolist(), strict=True)]
-                rows[0].append(h)
-                rows[1] += [xxh3_128_digest(p) for p in cut]
-                rows[2].append(np.full(len(h), doc, np.int64))
-                rows[3].append(np.full(len(h), tk, np.int64))
-                rows[4].append(start.astype(np.int64))
-                rows[5].append(size.astype(np.int32))
-                if with_text:
-                    rows[6] += cut
-                if len(rows[1]) > 50_000:
+                found |= {"doc_id": np.full(n, doc, np.int64), "strings": found["strings"].astype(np.int32), "start": found["start"].astype(np.int64)}
+                for c in names:
+                    rows[c] += cut if c == "piece" else [found[c]]
+                size += n
+                if size > 50_000:
                     yield flush()
-            if rows[1]:
-                yield flush()
-
-    return docs.select("doc_id", "tk", "text").mapInArrow(run, schema)
-
+                    size = 0
+        if size:
+            yield flush()
+
+    out = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} {_KINDS[c]}" for c in names))
+    return out if filters is not None else out.join(wanted, by, "left_semi").select(*columns)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
+    """Rows of equal first column, from a stream sorted by it."""
+    last, bucket = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True):
+            if row[0] != last and bucket:
+                yield bucket
+                bucket = []
+            last = row[0]
+            bucket.append(row)
+    if bucket:
+        yield bucket
+
+
+def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+
+def _to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (h, k, doc_id, n, lk, rk) of distinct pieces -> those of two documents, and those that must be sorted (sorting)."""
+
+    def rows() -> Iterator[tuple]:
+        for bucket in _buckets(batches, 6):
+            if len(bucket) == 1:
+                h, k, doc, n, *_ = bucket[0]
+                if n > 1:
+                    yield h, k, doc, False
+                continue
+            left, right = Counter(b[4] for b in bucket), Counter(b[5] for b in bucket)
+            for h, k, doc, n, lk, rk in bucket:
+                sorting = left[lk] > 1 or right[rk] > 1
+                if sorting or n > 1:
+                    yield h, k, doc, sorting
 
-_CLASSES = "k1 long, k2 long, low long, high long, mins array<long>"
+    yield from _in_batches(rows(), ["h", "k", "low", "sorting"], [pa.int64()] * 3 + [pa.bool_()])
 
 
 def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted (h, k1, k2, doc_id, piece) with distinct pieces -> least doc_ids of each piece's strings."""
+        """Sorted (h, k, low, piece) of distinct pieces -> least doc_ids of each piece's strings."""
 
-        def solve(bucket: list) -> Iterator[tuple]:
-            if len(bucket) == 1:
-                k1, k2, doc, _ = bucket[0]
-                yield k1, k2, doc, doc, None
-                return
-            of = window_classes([b[3] for b in bucket], width)
-            sizes = [len(c) for c in of]
-            least = np.full(int(max(c.max() for c in of if len(c))) + 1, np.iinfo(np.int64).max)
-            docs = np.repeat(np.array([b[2] for b in bucket], np.int64), sizes)
-            np.minimum.at(least, np.concatenate(of), docs)
-            for (k1, k2, _, _), c in zip(bucket, of, strict=True):
-                m = least[c]
-                low, high = int(m.min()), int(m.max())
-                yield k1, k2, low, high, None if low == high else m
-
-        def table_of(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.list_(pa.int64()))], ["k1", "k2", "low", "high", "mins"])
-
-        last, bucket, rows = None, [], []
-        for batch in batches:
-            for h, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if h != last and bucket:
-                    rows += solve(bucket)
-                    bucket = []
-                    if len(rows) > 20_000:
-                        yield table_of(rows)
-                        rows = []
-                last = h
-                bucket.append(row)
-        if bucket:
-            rows += solve(bucket)
-        if rows:
-            yield table_of(rows)
+        def rows() -> Iterator[tuple]:
+            for bucket in _buckets(batches, 4):
+                of = window_classes([b[3] for b in bucket], width)
+                least = np.full(max(int(c.max()) for c in of) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, np.concatenate(of), np.repeat(np.array([b[2] for b in bucket], np.int64), [len(c) for c in of]))
+                for (h, k, *_), c in zip(bucket, of, strict=True):
+                    m = least[c]
+                    low, high = int(m.min()), int(m.max())
+                    yield h, k, low, high, None if low == high else m
+
+        yield from _in_batches(rows(), ["h", "k", "low", "high", "mins"], [pa.int64()] * 4 + [pa.list_(pa.int64())])
 
     return run
 
 
-def _large_classes(distinct: DataFrame, width: int) -> DataFrame:
+def _large_classes(texts: DataFrame, width: int) -> DataFrame:
     """The same for buckets too large for one task: each string is a row, and its least doc_id is summed in a shuffle."""
-    strings = distinct.select("k1", "k2", "doc_id", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {width - 1}), i -> substring(piece, i, {width}))")).alias("at", "s"))
-    keyed = strings.select("k1", "k2", "doc_id", "at", F.xxhash64("s").alias("a"), F.xxhash64(F.lit(1), "s").alias("b"))
-    least = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("m"))
-    back = keyed.join(least, ["a", "b"]).groupBy("k1", "k2").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.sort_array(F.collect_list(F.struct("at", "m"))).alias("all"))
-    return back.select("k1", "k2", "low", "high", F.transform("all", lambda x: x.m).alias("mins"))
+    strings = texts.select("h", "k", "low", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {width - 1}), i -> substring(piece, i, {width}))")).alias("at", "s"))
+    keyed = strings.select("h", "k", "low", "at", F.xxhash64("s").alias("a"), F.xxhash64(F.lit(1), "s").alias("b"))
+    least = keyed.groupBy("a", "b").agg(F.min("low").alias("m"))
+    back = keyed.join(least, ["a", "b"]).groupBy("h", "k").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.sort_array(F.collect_list(F.struct("at", "m"))).alias("all"))
+    return back.select("h", "k", "low", "high", F.transform("all", lambda x: x.m).alias("mins"))
 
 
 def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and end of removed runs) and kept (the remaining bytes), for every row of docs."""
     if not GRAM < width:
         raise ValueError(f"width must be over {GRAM}")
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("tk", F.xxhash64("text"))
-    numbered = docs.where("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    numbered = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = materialize(_count_hashes(numbered, width), "shared-hashes")
-    n = shared.count()
-    shards = max(1, -(-n // KEYS_PER_SHARD))
-    if 4 * n <= BROADCAST_LIMIT:
-
-        def build(group: pa.Table) -> pa.Table:
-            h = group["h"].to_numpy()
-            return pa.table({"shard": pa.array([int(h[0] % shards)], pa.int32()), "blob": pa.array([CuckooFilter.build(h).to_bytes()], pa.binary())})
-
-        blobs = shared.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, blob binary").collect()
-        filters = spark.sparkContext.broadcast({r.shard: bytes(r.blob) for r in blobs})
-        found = lambda text: _find_pieces(numbered, width, filters, shards, text)
-    else:
-        found = lambda text: _find_pieces(numbered, width, None, 1, text).join(shared, "h", "left_semi")
-
-    distinct = found(True).groupBy("h", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("piece").alias("piece"), F.count(F.lit(1)).alias("n"))
+    found = _find_pieces(numbered, width, shared, ["h", "k", "lk", "rk", "doc_id"])
+    distinct = found.groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min("lk").alias("lk"), F.min("rk").alias("rk"))
     distinct = materialize(distinct, "distinct-pieces")
-    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("n"))
-    large = materialize(sizes.where(F.col("pieces") > BUCKET).select("h"), "large-buckets")
-    small = distinct
-    if large.count():
-        small = distinct.join(large, "h", "left_anti")
+    large = materialize(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > BUCKET).select("h"), "large-buckets")
+    some_large = large.count() > 0
+    small = distinct.join(large, "h", "left_anti") if some_large else distinct
     # dealt by bucket: at most BUCKET rows of one hash meet
-    classes = small.select("h", "k1", "k2", "doc_id", "piece").repartition("h").sortWithinPartitions("h", "k1", "k2").mapInArrow(_classes(width), _CLASSES)
-    if small is not distinct:
-        classes = classes.unionByName(_large_classes(distinct.join(large, "h", "left_semi"), width))
-    classes = materialize(classes, "string-classes")
-    covered = found(False).join(classes, ["k1", "k2"]).where("low < doc_id")
-    covered = covered.select("doc_id", "tk", F.struct("start", "strings", F.when(F.col("high") >= F.col("doc_id"), F.transform("mins", lambda m: m < F.col("doc_id"))).alias("which")).alias("c"))
-    covered = materialize(covered.groupBy("doc_id", "tk").agg(F.collect_list("c").alias("covers")), "covered-strings")
-    joined = docs.join(covered, ["doc_id", "tk"], "left").select("doc_id", "text", "covers")
+    marked = small.select("h", "k", "doc_id", "n", "lk", "rk").repartition("h").sortWithinPartitions("h").mapInArrow(_to_sort, "h long, k long, low long, sorting boolean")
+    if some_large:
+        marked = marked.unionByName(distinct.join(large, "h", "left_semi").select("h", "k", F.col("doc_id").alias("low"), F.lit(True).alias("sorting")))
+    marked = materialize(marked, "marked-pieces")
+    sorting = marked.where("sorting").select("h", "k", "low")
+    texts = _find_pieces(numbered, width, sorting.select("k").distinct(), ["h", "k", "piece"]).groupBy("h", "k").agg(F.first("piece").alias("piece"))
+    texts = materialize(sorting.join(texts, ["h", "k"]).select("h", "k", "low", "piece"), "piece-texts")
+    small = texts.join(large, "h", "left_anti") if some_large else texts
+    classes = small.repartition("h").sortWithinPartitions("h").mapInArrow(_classes(width), "h long, k long, low long, high long, mins array<long>")
+    if some_large:
+        classes = classes.unionByName(_large_classes(texts.join(large, "h", "left_semi"), width))
+    alike = marked.where("NOT sorting").select("h", "k", "low", F.col("low").alias("high"), F.lit(None).cast("array<long>").alias("mins"))
+    classes = materialize(classes.unionByName(alike), "string-classes")
+    places = _find_pieces(numbered, width, classes.select("k").distinct(), ["h", "k", "doc_id", "start", "strings"])
+    covered = places.join(classes, ["h", "k"]).where("low < doc_id")
+    which = F.when(F.col("high") >= F.col("doc_id"), F.transform("mins", lambda m: m < F.col("doc_id")))
+    covers = covered.groupBy("doc_id").agg(F.collect_list(F.struct("k", "start", "strings", which.alias("which"))).alias("covers"))
+    joined = docs.join(covers, "doc_id", "left").select("doc_id", "text", "covers")
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
             n_bytes, removed, spans, kept = [], [], [], []
             for text, covers in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 runs, left = [], text
                 if covers:
-                    step = np.zeros(len(text) + 1, np.int64)
+                    step = np.zeros(len(text) + width + 1, np.int64)
                     for c in covers:
-                        at = np.arange(c["start"], c["start"] + c["strings"])
-                        if c["which"] is not None:
-                            at = at[np.array(c["which"], bool)]
-                        step[at] += 1
-                        np.subtract.at(step, at + width, 1)
-                    gone = np.cumsum(step[:-1]) > 0
+                        a, n = c["start"], c["strings"]
+                        if xxh3_64_intdigest(text[a : a + n + width - 1]) != c["k"] % (1 << 64):
+                            continue  # of another text with this doc_id
+                        if c["which"] is None:
+                            step[a] += 1
+                            step[a + n - 1 + width] -= 1
+                        else:
+                            at = a + np.flatnonzero(np.array(c["which"], bool))
+                            step[at] += 1
+                            step[at + width] -= 1
+                    gone = np.cumsum(step[: len(text)]) > 0
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                     runs = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
                     left = np.frombuffer(text, np.uint8)[~gone].tobytes()
