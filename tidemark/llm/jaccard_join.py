@@ -314,10 +314,12 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array([len(s) for s in found], pa.int64()), "m": pa.array([bitmap(s, WIDE) for s in found], pa.binary()), "s": pa.array([s.tobytes() for s in found], pa.binary())})
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [shingle_set(t) for t in utf8(part.column(1))]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array([len(s) for s in found], pa.int64()), "m": pa.array([bitmap(s, WIDE) for s in found], pa.binary()), "s": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
 
-    sets = materialize(wanted.mapInArrow(run, "doc_id long, n long, m binary, s binary"), "pair-sets")
+    sets = materialize(wanted.mapInArrow(run, "doc_id long, n long, m binary, s array<long>"), "pair-sets")
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,22 +328,14 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 ok = possible(batch.column(2).to_numpy(), a, batch.column(4).to_numpy(), b, percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["u", "v", "linked"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(100 * same >= percent * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["u", "v", "linked"])
-
     kind = "u long, v long, linked boolean"
     u, v = ([F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}")] for x in "uv")
     wide = pairs.join(sets.select(*u), "u").join(sets.select(*v), "v").select("u", "v", "nu", "mu", "nv", "mv").mapInArrow(narrow, kind)
     wide = materialize(wide, "narrowed-pairs")
     left = wide.where("linked").select("u", "v").join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u")
-    both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
-    return materialize(both.mapInArrow(check, kind).unionByName(wide.where("NOT linked")), "links")
+    both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("same"))
+    linked = 100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))
+    return materialize(both.select("u", "v", linked.alias("linked")).unionByName(wide.where("NOT linked")), "links")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
