@@ -23,6 +23,8 @@ from .cuckoo import CuckooFilter
 
 STRIP = b" \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 1_000_000
+#: Documents whose lines a task holds at once.
+ROWS = 500
 
 
 def line_key(line: bytes) -> bytes:
@@ -141,6 +143,19 @@ def _frequent_filters(frequent: DataFrame, shards: int) -> DataFrame:
     return frequent.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, blob binary")
 
 
+def _exact(digests: set[bytes], filters: dict[int, CuckooFilter], shards: int, exact: set[tuple[int, int]]) -> set[bytes]:
+    """Those of the digests that are frequent: let through by their shard's filter, then found in the exact list."""
+    all_, out = list(digests), set()
+    if all_:
+        h = _halves(all_)
+        shard = h[:, 0] % shards
+        for s in np.unique(shard).tolist():
+            if s in filters:
+                at = np.flatnonzero(shard == s)
+                out.update(all_[i] for i in at[filters[s].contains(h[at, 0])] if tuple(h[i].tolist()) in exact)
+    return out
+
+
 def drop_frequent_lines(docs: DataFrame, store: LineStore, min_docs: int) -> DataFrame:
     """docs with the columns ``n_lines``, ``n_dropped`` and the new ``text``. Other columns, whatever their names, are kept,
     but for columns of these names, which are replaced."""
@@ -180,34 +195,22 @@ def drop_frequent_lines(docs: DataFrame, store: LineStore, min_docs: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = None if joined else {k: CuckooFilter.from_bytes(b) for k, b in sent.value[0].items()}
-        for batch in batches:
-            texts, lines, dropped = [], [], []
-            drops = batch.column(len(own) + 1).to_pylist() if joined else None
-            parts = list(_digests(utf8(batch.column(len(own))), min_chars))
-            known = {d for _, ds in parts for d in ds} - {b""}
-            if joined:
-                bad = set()
-            else:
-                bad = set()
-                all_ = list(known)
-                if all_:
-                    h = _halves(all_)
-                    for s in np.unique(h[:, 0] % shards).tolist():
-                        if s in filters:
-                            at = np.flatnonzero(h[:, 0] % shards == s)
-                            for i in at[filters[s].contains(h[at, 0])]:
-                                if tuple(h[i].tolist()) in sent.value[1]:
-                                    bad.add(all_[i])
-            for i, (ls, ds) in enumerate(parts):
-                if joined:
-                    pairs = [(d["h1"], d["h2"]) for d in drops[i] or []]
-                    bad = {np.array(p, ">i8").tobytes() for p in pairs}
-                kept = [x for x, d in zip(ls, ds, strict=True) if d not in bad]
-                texts.append(b"\n".join(kept))
-                lines.append(len(ls))
-                dropped.append(len(ls) - len(kept))
-            cols = [batch.column(k) for k in range(len(own))] + [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts, lines, dropped = [], [], []
+                drops = batch.column(len(own) + 1).to_pylist() if joined else None
+                parts = list(_digests(utf8(batch.column(len(own))), min_chars))
+                bad = set() if joined else _exact({d for _, ds in parts for d in ds} - {b""}, filters, shards, sent.value[1])
+                for i, (ls, ds) in enumerate(parts):
+                    if joined:
+                        bad = {np.array([d["h1"], d["h2"]], ">i8").tobytes() for d in drops[i] or []}
+                    kept = [x for x, d in zip(ls, ds, strict=True) if d not in bad]
+                    texts.append(b"\n".join(kept))
+                    lines.append(len(ls))
+                    dropped.append(len(ls) - len(kept))
+                cols = [batch.column(k) for k in range(len(own))] + [pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     out_schema = schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     return hits.select(*own, "text", *(["_drops"] if joined else [])).mapInArrow(run, out_schema)
