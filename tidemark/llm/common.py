@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -32,11 +33,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs. Spark deletes them when the driver's collector finds their job unreachable,
+    which on a driver with memory to spare may be half an hour later; until then they fill the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def fold(doc_id, mod: int = 5) -> int:
