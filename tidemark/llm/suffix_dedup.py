@@ -58,36 +58,35 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def block_pieces(text: bytes, width: int) -> tuple[np.ndarray, ...]:
-    """Of a text: (start, strings, least hash, left key, right key) of its pieces, in order. The keys are hashes of the k-gram with
-    the bytes on one side of it that half of a string's others can fill; where the text has none, they are the position's own."""
+    """Of a text: (start, strings, least hash, side keys) of its pieces, in order. The side keys, of 32 bits each, are hashes of the
+    k-gram with the bytes to its left, and to its right, that half of a string's others can fill; where the text has none, they
+    are the position's own."""
     n = len(text) - width + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none, none
+        return none, none, none, none
     size, side = len(text), (width - GRAM + 1) // 2
     with np.errstate(over="ignore"):
         up, down = _powers(size + 1)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum((np.frombuffer(text, np.uint8) + np.uint64(1)) * up[:size], out=sums[1:])
         grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: size - GRAM + 1])  # polynomials in the bytes, modulo 2**64
-        m, at, span, have = grams.view(np.int64), np.arange(len(grams)), width - GRAM + 1, 1
-
-        def least_of(i: slice, j: slice):
-            right = m[j] < m[i]  # of equal hashes the leftmost
-            return np.where(right, m[j], m[i]), np.where(right, at[j], at[i])
-
+        # the low 16 bits are left out: 48 tell buckets apart, and take less room in shuffles
+        grams = (grams & ~np.uint64(0xFFFF)).view(np.int64)
+        m, span, have = grams, width - GRAM + 1, 1
         while 2 * have <= span:
-            m, at = least_of(slice(None, -have), slice(have, None))
+            m = np.minimum(m[:-have], m[have:])
             have *= 2
         if have < span:
-            m, at = least_of(slice(0, n), slice(span - have, span - have + n))
-        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # at most width - GRAM + 1 strings have one k-gram in common
-        count, at = np.diff(np.r_[start, n]), at[start]
-        least = m[start]
+            m = np.minimum(m[:n], m[span - have : span - have + n])
+        # a piece ends where the least hash changes, or where its k-gram leaves the string and an equal one further on takes over
+        start = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (grams[: n - 1] == m[:-1])])
+        count, least = np.diff(np.r_[start, n]), m[start]
+        at = start + (np.lib.stride_tricks.sliding_window_view(grams, span)[start] == least[:, None]).argmax(1)
         a, b = at - side, at + GRAM + side
         left = np.where(a >= 0, _mixed((sums[at + GRAM] - sums[np.maximum(a, 0)]) * down[np.maximum(a, 0)] + np.uint64(1)), up[at] ^ sums[-1])
         right = np.where(b <= size, _mixed((sums[np.minimum(b, size)] - sums[at]) * down[at] + np.uint64(2)), up[at] ^ ~sums[-1])
-    return start, count, least, left.view(np.int64), right.view(np.int64)
+    return start, count, least, ((left & ~np.uint64(0xFFFFFFFF)) | (right >> np.uint64(32))).view(np.int64)
 
 
 def text_pieces(text: bytes, width: int) -> tuple[np.ndarray, ...]:
@@ -142,19 +141,22 @@ def _held(filters: dict, shards: int, h: np.ndarray) -> np.ndarray:
 
 
 #: Columns of pieces: least hash, hash of the piece, side keys, document, first byte, number of strings, bytes.
-_KINDS = {"h": "long", "k": "long", "lk": "long", "rk": "long", "doc_id": "long", "start": "long", "strings": "int", "piece": "binary"}
+_KINDS = {"h": "long", "k": "long", "sk": "long", "doc_id": "long", "start": "long", "strings": "int", "piece": "binary"}
 
 
-def _find_pieces(docs: DataFrame, width: int, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """The pieces whose h, or whose k, stands in wanted (a table of that one column), and a few more that its filter lets through."""
+def _find_pieces(docs: DataFrame, width: int, wanted: DataFrame, columns: list[str], first: tuple | None = None) -> DataFrame:
+    """The pieces whose h, or whose k, stands in wanted (a table of that one column), and a few more that its filter lets through.
+    first: filters of h that pieces must pass before their k is made."""
     by = wanted.columns[0]
-    filters, shards = _filters(wanted)
+    filters, shards = _filters(wanted) if by == "k" or first is None else first
+    early, early_shards = first if by == "k" and first else (None, 1)
     names = columns if filters is not None or by in columns else [*columns, by]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         known = None if filters is None else {s: CuckooFilter.from_bytes(b) for s, b in filters.value.items()}
+        before = None if early is None else {s: CuckooFilter.from_bytes(b) for s, b in early.value.items()}
         rows: dict[str, list] = {c: [] for c in names}
         size = 0
 
@@ -166,10 +168,11 @@ def _find_pieces(docs: DataFrame, width: int, wanted: DataFrame, columns: list[s
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                found = dict(zip(("start", "strings", "h", "lk", "rk"), text_pieces(text, width), strict=True))
-                if known is not None and by == "h":
-                    hit = _held(known, shards, found["h"])
-                    found = {c: v[hit] for c, v in found.items()}
+                found = dict(zip(("start", "strings", "h", "sk"), text_pieces(text, width), strict=True))
+                for held, of, use in ((known, shards, by == "h"), (before, early_shards, True)):
+                    if held is not None and use:
+                        hit = _held(held, of, found["h"])
+                        found = {c: v[hit] for c, v in found.items()}
                 cut = [text[a:b] for a, b in zip(found["start"].tolist(), (found["start"] + found["strings"] + width - 1).tolist(), strict=True)]
                 found["k"] = np.array([xxh3_64_intdigest(p) for p in cut], np.uint64).view(np.int64)
                 if known is not None and by == "k":
@@ -219,18 +222,18 @@ def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list) -> Iterato
 
 
 def _to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, k, doc_id, n, lk, rk) of distinct pieces -> those of two documents, and those that must be sorted (sorting)."""
+    """Sorted (h, k, doc_id, n, sk) of distinct pieces -> those of two documents, and those that must be sorted (sorting)."""
 
     def rows() -> Iterator[tuple]:
-        for bucket in _buckets(batches, 6):
+        for bucket in _buckets(batches, 5):
             if len(bucket) == 1:
                 h, k, doc, n, *_ = bucket[0]
                 if n > 1:
                     yield h, k, doc, False
                 continue
-            left, right = Counter(b[4] for b in bucket), Counter(b[5] for b in bucket)
-            for h, k, doc, n, lk, rk in bucket:
-                sorting = left[lk] > 1 or right[rk] > 1
+            left, right = Counter(b[4] >> 32 for b in bucket), Counter(b[4] & 0xFFFFFFFF for b in bucket)
+            for h, k, doc, n, sk in bucket:
+                sorting = left[sk >> 32] > 1 or right[sk & 0xFFFFFFFF] > 1
                 if sorting or n > 1:
                     yield h, k, doc, sorting
 
@@ -272,19 +275,20 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     numbered = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     shared = materialize(_count_hashes(numbered, width), "shared-hashes")
-    found = _find_pieces(numbered, width, shared, ["h", "k", "lk", "rk", "doc_id"])
-    distinct = found.groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min("lk").alias("lk"), F.min("rk").alias("rk"))
+    passing = _filters(shared)
+    found = _find_pieces(numbered, width, shared, ["h", "k", "sk", "doc_id"], passing)
+    distinct = found.groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min("sk").alias("sk"))
     distinct = materialize(distinct, "distinct-pieces")
     large = materialize(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > BUCKET).select("h"), "large-buckets")
     some_large = large.count() > 0
     small = distinct.join(large, "h", "left_anti") if some_large else distinct
     # dealt by bucket: at most BUCKET rows of one hash meet
-    marked = small.select("h", "k", "doc_id", "n", "lk", "rk").repartition("h").sortWithinPartitions("h").mapInArrow(_to_sort, "h long, k long, low long, sorting boolean")
+    marked = small.select("h", "k", "doc_id", "n", "sk").repartition("h").sortWithinPartitions("h").mapInArrow(_to_sort, "h long, k long, low long, sorting boolean")
     if some_large:
         marked = marked.unionByName(distinct.join(large, "h", "left_semi").select("h", "k", F.col("doc_id").alias("low"), F.lit(True).alias("sorting")))
     marked = materialize(marked, "marked-pieces")
     sorting = marked.where("sorting").select("h", "k", "low")
-    texts = _find_pieces(numbered, width, sorting.select("k").distinct(), ["h", "k", "piece"]).groupBy("h", "k").agg(F.first("piece").alias("piece"))
+    texts = _find_pieces(numbered, width, sorting.select("k").distinct(), ["h", "k", "piece"], passing).groupBy("h", "k").agg(F.first("piece").alias("piece"))
     texts = materialize(sorting.join(texts, ["h", "k"]).select("h", "k", "low", "piece"), "piece-texts")
     small = texts.join(large, "h", "left_anti") if some_large else texts
     classes = small.repartition("h").sortWithinPartitions("h").mapInArrow(_classes(width), "h long, k long, low long, high long, mins array<long>")
@@ -292,7 +296,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
         classes = classes.unionByName(_large_classes(texts.join(large, "h", "left_semi"), width))
     alike = marked.where("NOT sorting").select("h", "k", "low", F.col("low").alias("high"), F.lit(None).cast("array<long>").alias("mins"))
     classes = materialize(classes.unionByName(alike), "string-classes")
-    places = _find_pieces(numbered, width, classes.select("k").distinct(), ["h", "k", "doc_id", "start", "strings"])
+    places = _find_pieces(numbered, width, classes.select("k").distinct(), ["h", "k", "doc_id", "start", "strings"], passing)
     covered = places.join(classes, ["h", "k"]).where("low < doc_id")
     which = F.when(F.col("high") >= F.col("doc_id"), F.transform("mins", lambda m: m < F.col("doc_id")))
     covers = covered.groupBy("doc_id").agg(F.collect_list(F.struct("k", "start", "strings", which.alias("which"))).alias("covers"))
