@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 #: Words kept by each Python worker; words beyond it are encoded again in each batch that has them.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 _CACHES: dict[str, tuple] = {}
 
 
@@ -59,24 +59,25 @@ class WordEncoder:
             cache.update((w, known[w]) for w, _, _ in parted)
         return known
 
-    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text, equal to the library's encode."""
+    def encode(self, texts: Iterable[bytes], split: list[list[bytes]] | None = None) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text, equal to the library's encode. split: the texts' lower-cased words, if known."""
         texts = list(texts)
-        split = [None if b"<|" in t else t.lower().split() for t in texts]  # special tokens: the whole text goes to the library
+        whole = [b"<|" in t for t in texts]  # special tokens: the whole text goes to the library
+        split = split or [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
         new: set[bytes] = set()
-        for words in split:
-            if words:
+        for words, w in zip(split, whole, strict=True):
+            if not w:
                 new.update(words)
         known = self._learn(new)
         get, rest = self.cache.get, known.get
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
+        for text, words, w in zip(texts, split, whole, strict=True):
+            if w:
                 yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 yield b"".join([get(w) or rest(w, b"") for w in words])
 
 
-def word_ids(path: str) -> Callable[[Iterable[bytes]], Iterator[bytes]]:
+def word_ids(path: str) -> Callable[..., Iterator[bytes]]:
     if path not in _CACHES:
         _CACHES[path] = WordEncoder(path)
     return _CACHES[path].encode
