@@ -31,7 +31,8 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.option("compression", "zstd")
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)

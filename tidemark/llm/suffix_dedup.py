@@ -37,6 +37,8 @@ GRAM = 24
 BUCKET = 4000
 KEYS_PER_SHARD = 1_000_000
 BLOCK = 1 << 20
+#: Texts whose pieces a task holds at once.
+TEXTS = 200
 _R1, _R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -167,13 +169,18 @@ def _find_pieces(docs: DataFrame, width: int, wanted: DataFrame, columns: list[s
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                found = dict(zip(("start", "strings", "h", "sk"), text_pieces(text, width), strict=True))
-                for held, of, use in ((known, shards, by == "h"), (before, early_shards, True)):
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                texts = utf8(part.column(1))
+                each = [text_pieces(t, width) for t in texts]
+                found = {c: np.concatenate([e[i] for e in each]) for i, c in enumerate(("start", "strings", "h", "sk"))}
+                found["of"] = np.repeat(np.arange(len(texts)), [len(e[0]) for e in each])
+                # filters are asked for all pieces of these texts at once
+                for held, n_shards, use in ((before, early_shards, True), (known, shards, by == "h")):
                     if held is not None and use:
-                        hit = _held(held, of, found["h"])
+                        hit = _held(held, n_shards, found["h"])
                         found = {c: v[hit] for c, v in found.items()}
-                cut = [text[a:b] for a, b in zip(found["start"].tolist(), (found["start"] + found["strings"] + width - 1).tolist(), strict=True)]
+                cut = [texts[o][x:y] for o, x, y in zip(found["of"].tolist(), found["start"].tolist(), (found["start"] + found["strings"] + width - 1).tolist(), strict=True)]
                 found["k"] = np.array([xxh3_64_intdigest(p) for p in cut], np.uint64).view(np.int64)
                 if known is not None and by == "k":
                     hit = _held(known, shards, found["k"])
@@ -182,7 +189,8 @@ def _find_pieces(docs: DataFrame, width: int, wanted: DataFrame, columns: list[s
                 n = len(found["h"])
                 if not n:
                     continue
-                found |= {"doc_id": np.full(n, doc, np.int64), "strings": found["strings"].astype(np.int32), "start": found["start"].astype(np.int64)}
+                docs_ = np.array(part.column(0).to_pylist(), np.int64)
+                found |= {"doc_id": docs_[found["of"]], "strings": found["strings"].astype(np.int32), "start": found["start"].astype(np.int64)}
                 for c in names:
                     rows[c] += cut if c == "piece" else [found[c]]
                 size += n
