@@ -15,7 +15,7 @@ from ..params import DftParams, StftParams
 from .segment import segmentation
 
 #: Longest transform that is written as expressions; longer ones go to numpy in Arrow batches.
-EXPRESSIONS = 16
+EXPRESSIONS = 8
 
 
 def window(name: str, n: int, symmetric: bool = False) -> list[float]:
