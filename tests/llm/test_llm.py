@@ -398,6 +398,26 @@ def test_lm(spark, docs, odd):
     assert lm_score.lm_scores(df.limit(0), F.lit(True), WORD).count() == 0
 
 
+def test_lm_learns_from_all_training_texts(spark, docs, monkeypatch):
+    texts = [*docs.text[:50], *ODD_TEXTS]
+    df = frame(spark, texts)
+    ids = list(wordids.WordEncoder(WORD).encode([(t or "").encode() for t in texts]))
+    encoded = spark.createDataFrame([(k, bytearray(np.frombuffer(b, "<u4").astype("<u2").tobytes())) for k, b in enumerate(ids)], "row long, ids binary")
+    own = [np.frombuffer(b, "<u4") for b in ids]
+    pairs = Counter(p for d in own for p in zip([lm_score.END, *d.tolist()], [*d.tolist(), lm_score.END], strict=True))
+    assert {(r.pair >> 16, r.pair & 0xFFFF): r.n for r in lm_score.pair_counts(encoded).collect()} == pairs
+    # each text's windows move the weights in each pass
+    follow = np.zeros((lm_score.IDS, attention.CLASSES))
+    weights = lm_score.fit(encoded, np.zeros(lm_score.IDS, int), follow, epochs=2)
+    assert set(np.flatnonzero(weights.moves[: lm_score.IDS])) - {lm_score.PAD} == {lm_score.END, *(int(i) for d in own for i in d)}
+    # scores are the same whether a pair's count is in the model or comes from the table
+    train = F.col("doc_id") % 5 != 1
+    want = {r.doc_id: r.score for r in lm_score.lm_scores(df, train, WORD).collect()}
+    monkeypatch.setattr(attention, "PAIRED", 30)
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(df, train, WORD).collect()}
+    assert all(math.isclose(got[k], want[k], rel_tol=2e-3, abs_tol=0.05) for k in want)
+
+
 # 10 Jaccard join
 
 
