@@ -98,6 +98,16 @@ def test_quality_rejects_planted_outliers(spark):
     assert not any(kept[k] for k in range(400, 440))
 
 
+def test_quality_rejects_one_outlying_share(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() for _ in range(rng.randint(60, 300))) for _ in range(400)] + [" | ".join(f"{word()} {word()}" for _ in range(50)) for _ in range(40)]
+    rows = quality.quality_rules(frame(spark, texts)).collect()
+    assert not any(r.kept for r in rows if r.doc_id >= 400)
+    assert all(r.base_failed or r.kept == (r.d2 <= quality.CHI2_975) for r in rows)
+    assert np.mean([r.kept for r in rows if r.doc_id < 400]) >= 0.95
+
+
 def test_native_matrices(spark):
     a = np.random.default_rng(1).normal(size=(5, 5))
     cov = a @ a.T + np.eye(5)

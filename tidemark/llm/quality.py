@@ -4,7 +4,9 @@ All of it is DataFrame and SQL expressions. Five statistics of each text (words,
 repeated eight-word windows) are transformed to a vector. Per group of (lang, source) concentration steps look for the half of
 the vectors (``core`` of them) whose covariance has the least determinant: distances under the present mean and covariance, a
 threshold at the core's quantile, then mean and covariance of the vectors below it. Steps start from two robust guesses and the
-lower determinant wins; the estimate is made consistent at the median, reweighted once, and vectors beyond ``cutoff`` are rejected.
+lower determinant wins; the estimate is made consistent at the median, reweighted once and made consistent again, and vectors
+beyond the chi-squared law's 97.5 % bound are rejected. ``FLOORS`` widen covariances, so the last factor of consistency is 1 at
+least: less would take the floors back.
 
 A group's moments and quantile sketches are summed in every task first, so a group with a third of all rows costs no more than
 any other; groups too small to fit are pooled by language, then over all. Means and factors are sent to the tasks if their number
@@ -185,12 +187,15 @@ def robust_outliers(df: DataFrame, core: float = 0.75, steps: int = 4, min_group
     raw = _with_params(fit, best, ["gid"], groups).select("gid", "x", distance("x", "mean", "factor").alias("d2"))
     middle = raw.groupBy("gid").agg((F.percentile_approx("d2", 0.5, 10_000) / CHI2_50).alias("c"))
     inner = _with_params(raw, middle, ["gid"], groups, 40).where(F.col("d2") <= CHI2_975 * F.greatest("c", F.lit(1e-9)))
-    final = materialize(_fit(inner, ["gid"]), "mcd-final")
-    out = _with_params(df, final.select("gid", "mean", "factor"), ["gid"], groups)
-    return out.withColumn("d2", distance("x", "mean", "factor")).drop("mean", "factor", "gid")
+    final = materialize(_fit(inner, ["gid"]), "mcd-final").select("gid", "mean", "factor")
+    last = _with_params(fit, final, ["gid"], groups).select("gid", distance("x", "mean", "factor").alias("d2"))
+    scale = last.groupBy("gid").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI2_50, F.lit(1.0)).alias("scale"))
+    final = materialize(final.join(scale, "gid"), "mcd-scaled")
+    out = _with_params(df, final, ["gid"], groups)
+    return out.withColumn("d2", distance("x", "mean", "factor") / F.col("scale")).drop("mean", "factor", "scale", "gid")
 
 
-def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, cutoff: float = 60.0) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 20, max_repeat: int = 30, cutoff: float = CHI2_975) -> DataFrame:
     """One row per document: doc_id, the five counts, base_failed, kept, and d2 (the robust distance)."""
     have = set(docs.columns)
     own = [F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("lang", "source")]
