@@ -108,6 +108,16 @@ def test_quality_rejects_one_outlying_share(spark):
     assert np.mean([r.kept for r in rows if r.doc_id < 400]) >= 0.95
 
 
+def test_quality_of_a_group_with_two_fifths_of_outliers(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() for _ in range(rng.randint(60, 300))) for _ in range(300)] + [" | ".join(f"{word()} {word()}" for _ in range(50)) for _ in range(200)]
+    df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    rows = quality.quality_rules(df).collect()
+    assert not any(r.kept for r in rows if r.doc_id >= 300)
+    assert np.mean([r.kept for r in rows if r.doc_id < 300]) >= 0.95
+
+
 def test_native_matrices(spark):
     a = np.random.default_rng(1).normal(size=(5, 5))
     cov = a @ a.T + np.eye(5)

@@ -2,9 +2,9 @@ r"""Quality rules: robust multivariate outliers by minimum-covariance-determinan
 
 All of it is DataFrame and SQL expressions. Five statistics of each text (words, mean word length, symbols, repeated lines,
 repeated eight-word windows) are transformed to a vector. Per group of (lang, source) concentration steps look for the half of
-the vectors (``core`` of them) whose covariance has the least determinant: distances under the present mean and covariance, a
-threshold at the core's quantile, then mean and covariance of the vectors below it. Steps start from two robust guesses and the
-lower determinant wins; the estimate is made consistent at the median, reweighted once and made consistent again, and vectors
+the vectors (``core``) whose covariance has the least determinant: distances under the present mean and covariance, a
+threshold at the core's quantile, then mean and covariance of the vectors below it. Steps start from two robust guesses and go on
+until no group's determinant falls any more; each keeps its lowest, and the lower of the two wins; the estimate is made consistent at the median, reweighted once and made consistent again, and vectors
 beyond the chi-squared law's 97.5 % bound are rejected. ``FLOORS`` widen covariances, so the last factor of consistency is 1 at
 least: less would take the floors back.
 
@@ -29,6 +29,8 @@ WINDOW = 8
 #: Spread below which a coordinate is not told apart, by coordinate; it keeps covariances regular where most values are nought.
 FLOORS = (0.35, 0.08, 0.05, 0.10, 0.10)
 P = len(FLOORS)
+#: Half a log-determinant that falls by less has stopped falling.
+FALL = 1e-6
 #: Quantiles of chi-squared with five degrees of freedom; fixed values.
 CHI2_50, CHI2_975 = 4.3515, 12.8325
 
@@ -153,7 +155,7 @@ def _with_params(df: DataFrame, params: DataFrame, keys: list[str], groups: int,
     return df.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
-def robust_outliers(df: DataFrame, core: float = 0.75, steps: int = 4, min_group: int = 200) -> DataFrame:
+def robust_outliers(df: DataFrame, core: float = 0.5, min_group: int = 200) -> DataFrame:
     """df (with lang, source, x, fit) and the column d2: squared robust distances; null where nothing could be fitted.
 
     ``fit`` tells which rows the estimates may rest on."""
@@ -176,10 +178,21 @@ def robust_outliers(df: DataFrame, core: float = 0.75, steps: int = 4, min_group
     two = F.array(sum((a * a for a in z[1:]), z[0] * z[0]), F.greatest(*[F.abs(a) for a in z]))
     scored = scored.select("gid", "x", F.posexplode(two).alias("start", "d2"))
     keys = ["gid", "start"]
-    for k in range(steps):
+    lowest: dict[tuple, float] = {}
+    kept, k = None, 0
+    while True:
         limit = scored.groupBy(*keys).agg(F.percentile_approx("d2", core, 10_000).alias("limit"))
         near = _with_params(scored, limit, keys, groups, 40).where("d2 <= limit")
-        params = materialize(_fit(near, keys), f"mcd-step{k}")
+        params = _fit(near, keys)
+        if kept is not None:  # a group's lowest so far stays if the step did not lower it
+            both = kept.unionByName(params).groupBy(*keys).agg(F.min_by(F.struct("n", "mean", "factor", "logdet"), "logdet").alias("b"))
+            params = both.select(*keys, "b.*")
+        kept = params = materialize(params, f"mcd-step{k}")
+        k += 1
+        now = {(r.gid, r.start): r.logdet for r in params.select(*keys, "logdet").collect()}
+        if all(g in lowest and not d < lowest[g] - FALL for g, d in now.items()):
+            break
+        lowest = now
         pairs = fit.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
         scored = _with_params(pairs, params, keys, groups).select("gid", "start", "x", distance("x", "mean", "factor").alias("d2"))
     best = params.groupBy("gid").agg(F.min(F.struct("logdet", "start", "mean", "factor")).alias("b")).select("gid", "b.mean", "b.factor")
