@@ -49,6 +49,21 @@ def test_rows_only(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
 
 
+def test_evaluation_is_of_detected_onsets(spark, sf):
+    """Frames are a sixteenth of a second apart, so within the tolerance only equal ones match."""
+    times = {n: {} for n in ("flux_onsets", "entropy_onsets")}
+    for n, found in times.items():
+        for r in catalog.queries()[n](spark, sf).collect():
+            found.setdefault(r.series_id, []).append(r.frame / 16)
+    got = {r.name: r for r in catalog.queries()["evaluate_onsets"](spark, sf).collect()}
+    assert set(got) == set(times["flux_onsets"]) | set(times["entropy_onsets"])
+    for name, r in got.items():
+        e, t = (sorted(times[n].get(name, [])) for n in ("flux_onsets", "entropy_onsets"))
+        hits = len({round(x * 16) for x in e} & {round(x * 16) for x in t})
+        assert math.isclose(r.precision, hits / len(e) if e else 0, abs_tol=1e-6)
+        assert math.isclose(r.recall, hits / len(t) if t else 0, abs_tol=1e-6)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -82,9 +82,11 @@ def entropy_onsets(s, d):
 
 
 def evaluate_onsets(s, d):
-    t = A.sig_user(s, d).where("frame % 5 = 0").select(F.col("series_id").alias("name"), (F.col("frame") / 10.0).alias("time"))
-    e = A.sig_user(s, d).where("frame % 7 = 0").select(F.col("series_id").alias("name"), (F.col("frame") / 10.0 + 0.02).alias("time"))
-    return O.evaluate_onsets(t, e).select("name", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f").alias("f"))
+    """Onsets by flux held against onsets by entropy, over all frames."""
+    signal = A.sig_user(s, d)
+    t = O.entropy_onsets(signal, 16, SEG, PeakPickingParams(1, 1, 0.1, 0.01), m_dim=2, delay=2, n_bins=4)
+    e = O.flux_onsets(signal, STFT, PeakPickingParams(1, 1, 0.1, 0.1))
+    return O.evaluate_onsets(*(x.select(F.col("series_id").alias("name"), "time") for x in (t, e))).select("name", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f").alias("f"))
 
 
 def _peaks_sql(source: str, keys: str, b: int, a: int, alpha: float, delta: float) -> str:
