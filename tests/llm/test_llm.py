@@ -455,7 +455,7 @@ def classes_by_hand(rows, percent=80):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
-@pytest.mark.parametrize("forced", [{}, {"BLOCK": 8, "SMALL": 3, "LEAF": 2, "SAMPLE": 1, "COMMON": 2, "IDS_LIMIT": 0}])
+@pytest.mark.parametrize("forced", [{}, {"BLOCK": 8, "LEAF": 2, "SAMPLE": 1, "COMMON": 2, "IDS_LIMIT": 0}])
 def test_jaccard(spark, forced, monkeypatch):
     for k, v in forced.items():
         monkeypatch.setattr(jaccard_join, k, v)

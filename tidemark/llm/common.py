@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+import weakref
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Broadcasts larger than this many bytes are not made; each caller has another way beyond it.
 BROADCAST_LIMIT = 64 << 20
+#: Texts that a task takes from the JVM at once, in jobs that read whole texts.
+TEXT_ROWS = 1000
+
+#: Where the tables of ``materialize`` lie.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,30 +26,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests), one is made and set."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset one is made, if driver and executors are one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+@contextmanager
+def own_job(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Jobs run herein delete their shuffle files when they end, and hand Python ``rows`` rows at once."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)} if rows else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. ``discard`` deletes it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    writer = writer.partitionBy(*partition_by) if partition_by else writer
-    writer.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs. Spark deletes them when the driver's collector finds their job unreachable,
-    which on a driver with memory to spare may be half an hour later; until then they fill the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with own_job(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def fold(doc_id, mod: int = 5) -> int:

@@ -5,13 +5,14 @@ r"""N-gram Jaccard join: exact links between documents' shingle sets, found with
    Hash order is taken, with shingles that a sample of documents shows to be common put last (the sample sets the order alone,
    and any order is exact). Each set stands in the buckets of its prefix shingles.
 3. In a bucket, sets form a signature tree: leaves by size, and nodes with the OR of their members' token bitmaps, the AND, and the
-   range of sizes. Dual traversal drops node pairs whose greatest possible overlap is too small for a link. Small buckets give all
-   surviving pairs; larger ones a spanning forest of them, in which pairs of one tree are not looked at again.
+   range of sizes. Dual traversal drops node pairs whose greatest possible overlap is too small for a link. A bucket that fits a leaf
+   gives all surviving pairs; larger ones a spanning forest of them, in which pairs of one tree are not looked at again.
 4. Surviving pairs are narrowed by wider bitmaps, then checked exactly on the whole sets; links form components. Where a forest's pair turned out to be no link, the
    bucket is gone through again and all its surviving pairs between different components are checked, so no link is lost.
 
 Common shingles are dealt over several tasks by document; each task's trees send one member on, and buckets whose trees
-don't all meet are gone through again, block against block. Tasks hold one bucket (or block) of bitmaps at a time.
+don't all meet are gone through again, in blocks: those of the bucket's largest component against those of the other rows, and
+these against each other. Tasks hold one bucket (or two blocks) of bitmaps at a time.
 
 Null, empty and blank texts have empty sets, no links and themselves as component. Ties are settled by id. Repeated doc_ids are one
 node: it has the links of all its texts. A null doc_id has no links and a null component. Other columns are ignored.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, utf8
+from .common import TEXT_ROWS, discard, materialize, table, utf8
 from .components import components
 from .shingles import shingle_set
 
@@ -37,9 +38,9 @@ WIDE = 8192
 #: One document in SAMPLE shows which shingles are common: those that COMMON sampled documents or more hold.
 SAMPLE, COMMON = 16, 8
 COMMON_LIMIT = 2_000_000
-#: Sets of a bucket that a task takes together; a bucket of up to SMALL gives all its pairs.
-BLOCK, SMALL, LEAF = 4096, 8, 8
-IDS_LIMIT = 4_000_000
+#: Sets of a bucket that a task takes together, and of a tree's leaf. A bucket no larger than a leaf is a tree of one node.
+BLOCK, LEAF = 1024, 8
+IDS_LIMIT = 1_000_000
 
 
 def bitmap(s: np.ndarray, width: int = BITS) -> bytes:
@@ -175,11 +176,12 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield pa.RecordBatch.from_pydict({"token": pa.array(s.view(np.int64))})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = materialize(sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON), "common-shingles")
+    counts = materialize(sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON), "common-shingles", TEXT_ROWS)
     least = COMMON
     while counts.where(F.col("n") >= least).count() > COMMON_LIMIT:
         least *= 2
     got = counts.where(F.col("n") >= least).toArrow()
+    discard(counts)
     token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(token)
     return token[order], np.maximum(1, -(-n[order] * SAMPLE // BLOCK)).astype(np.int32)
@@ -252,8 +254,8 @@ def _forests(percent: int):
             maps, size = _maps(t.column(5)), np.diff(bounds)
             own, run_of = np.repeat(size, size), np.repeat(np.arange(len(size)), size)
             pairs = []
-            for d in range(1, SMALL):  # small buckets, all at once: rows d apart
-                a = np.flatnonzero((own[:-d] <= SMALL) & (run_of[:-d] == run_of[d:]))
+            for d in range(1, LEAF):  # small buckets, all at once: rows d apart
+                a = np.flatnonzero((own[:-d] <= LEAF) & (run_of[:-d] == run_of[d:]))
                 a = a[doc[a] != doc[a + d]]
                 if len(a):
                     ok = possible(n[a], maps[a], n[a + d], maps[a + d], percent)
@@ -261,7 +263,7 @@ def _forests(percent: int):
             if pairs and len(both := np.unique(np.sort(np.concatenate(pairs), 1), axis=0)):
                 yield _emit(0, None, both[:, 1], both[:, 0])
             dealt = salted[bounds[:-1]] > 1
-            for k in np.flatnonzero((size > SMALL) | dealt):
+            for k in np.flatnonzero((size > LEAF) | dealt):
                 b = slice(bounds[k], bounds[k + 1])
                 found, label = traverse(n[b], maps[b], np.arange(size[k]), percent, True) if size[k] > 1 else ([], np.zeros(1, int))
                 if found:
@@ -319,7 +321,7 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 found = [shingle_set(t) for t in utf8(part.column(1))]
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n": pa.array([len(s) for s in found], pa.int64()), "m": pa.array([bitmap(s, WIDE) for s in found], pa.binary()), "s": pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))})
 
-    sets = materialize(wanted.mapInArrow(run, "doc_id long, n long, m binary, s array<long>"), "pair-sets")
+    sets = materialize(wanted.mapInArrow(run, "doc_id long, n long, m binary, s array<long>"), "pair-sets", TEXT_ROWS)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,16 +334,38 @@ def _links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     u, v = ([F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}")] for x in "uv")
     wide = pairs.join(sets.select(*u), "u").join(sets.select(*v), "v").select("u", "v", "nu", "mu", "nv", "mv").mapInArrow(narrow, kind)
     wide = materialize(wide, "narrowed-pairs")
+    discard(ids)
     left = wide.where("linked").select("u", "v").join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a")), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")), "v").select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("same"))
     linked = 100 * F.col("same") >= percent * (F.col("na") + F.col("nb") - F.col("same"))
-    return materialize(both.select("u", "v", linked.alias("linked")).unionByName(wide.where("NOT linked")), "links")
+    out = materialize(both.select("u", "v", linked.alias("linked")).unionByName(wide.where("NOT linked")), "links")
+    discard(sets, wide)
+    return out
+
+
+def _meeting_places(again: DataFrame, parts: DataFrame) -> DataFrame:
+    """(token, pair, doc_id, n, map, component) of the rows of open buckets, dealt so that any two rows of different components
+    meet under one pair.
+
+    The bucket's largest component needs no look within itself: its blocks meet the blocks of the other rows, and these each other.
+    With few other rows, every row of the largest component is sent once, however large it is."""
+    sizes = parts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("long")
+    sizes = sizes.select("token", "major", (F.col("all") <= BLOCK).alias("whole"), blocks(F.col("most")).alias("cs"), blocks(F.col("all") - F.col("most")).alias("ms"))
+    rows = again.join(sizes, "token")
+    at = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    to = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    code = lambda kind, i, j: F.lit(kind) + i * F.lit(1 << 30) + j
+    of_most = to("ms", lambda i: code(0, i, at("cs")))
+    others = F.concat(to("cs", lambda j: code(0, at("ms"), j)), to("ms", lambda i: code(1 << 60, F.least(i, at("ms")), F.greatest(i, at("ms")))))
+    pair = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).when(F.col("component") == F.col("major"), of_most).otherwise(others)
+    return rows.select("token", F.explode(pair).alias("pair"), "doc_id", "n", "map", "component")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id; docs need doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(_signatures(docs, _common(docs), percent), "shingle-signatures")
+    sets = materialize(_signatures(docs, _common(docs), percent), "shingle-signatures", TEXT_ROWS)
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
     least = materialize(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "set-representatives")
     members = sets.select("doc_id", "n", "s1", "s2").join(least, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
@@ -353,7 +377,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     shared = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id").mapInArrow(_shared(percent), "token long, salt int, doc_id long, salted int")
     shared = materialize(shared, "shared-prefixes")
-    payload = usable.select("doc_id", "n", "map")
+    payload = materialize(usable.select("doc_id", "n", "map").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "bitmaps")
+    discard(least, sets)
     rows = shared.join(payload, "doc_id").select("token", "salt", "doc_id", "salted", "n", "map")
     out = materialize(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "doc_id").mapInArrow(_forests(percent), _PAIRS), "tree-pairs")
     sent_on = out.where("kind = 2").select("token", F.col("u").alias("doc_id"), "n", "map")
@@ -366,16 +391,18 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     wrong = links.groupBy("u", "v").agg(F.max("linked").alias("linked")).where("NOT linked")
     open_ = found.where("kind = 1").join(wrong, ["u", "v"], "left_semi").select("token").union(meet.where("kind = 3").select("token")).distinct()
     open_ = materialize(open_, "open-tokens")
+    discard(out, meet)
     labels = components(true)
     if open_.count():
-        again = shared.join(open_, "token", "left_semi").join(payload, "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        again = again.withColumn("component", F.coalesce("component", "doc_id"))
-        others = F.transform(F.sequence(F.lit(0), F.col("salted") - 1), lambda x: F.least(x, F.col("salt")) * F.col("salted").cast("long") + F.greatest(x, F.col("salt")))
-        again = again.select("token", F.explode(others).alias("pair"), "doc_id", "n", "map", "component")
-        more = again.repartition("token", "pair").sortWithinPartitions("token", "pair", "doc_id").mapInArrow(_across(percent), _PAIRS)
+        again = shared.join(open_, "token", "left_semi").select("token", "doc_id").distinct().join(payload, "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        again = materialize(again.withColumn("component", F.coalesce("component", "doc_id")), "open-buckets")
+        parts = again.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+        more = _meeting_places(again, parts).repartition("token", "pair").sortWithinPartitions("token", "pair", "doc_id").mapInArrow(_across(percent), _PAIRS)
         more = materialize(more.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), "across-pairs")
-        true = true.unionByName(_links(more, docs, percent).where("linked").select("u", "v"))
-        labels = components(true)
+        new = _links(more, docs, percent)
+        before, labels = labels, components(true.unionByName(new.where("linked").select("u", "v")))
+        discard(again, more, new, before)
+    discard(open_, links, pairs, shared, payload)
     joined = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
