@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, table
+from tidemark.llm.common import TEXT_ROWS, discard, materialize, table
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.langid import predict, train
@@ -66,7 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            docs = materialize(docs, name, TEXT_ROWS)
+            discard(before)
     return docs
