@@ -1,17 +1,19 @@
 r"""Exact substring dedup with suffix arrays, sharded by content.
 
-Every ``width`` bytes of text have a least hash among their k-grams; equal strings have equal least hashes, so they meet in one
-bucket. A stretch of neighbouring strings with the same k-gram is a piece, and pieces, not texts, go to the buckets:
-
-1. Count in how many documents each least hash stands. Only those of two documents or more go on (cuckoo filters, sent to the
-   tasks while they are small, else a join).
-2. Sum equal pieces of such hashes to their least doc_id, in every task first, so a passage of a third of all documents is one row.
-   A string holds its k-gram and half of its other bytes on one side of it or the other; pieces that agree with no other
-   piece of their bucket on either side share no string with it, and need no sorting.
-3. In each bucket the other distinct pieces are sorted by a suffix array (linear grouping by Lyndon prefixes, ``gsaca``);
+In every ``width`` bytes of text the eight bytes with the least hash are the string's anchor; equal strings have equal anchors at
+equal places. Neighbouring strings with one anchor, whose distances to it fall into one class of ``REACH``, are a unit: they hold
+``width - REACH + 1`` bytes in common, whose hash ``h`` is the unit's bucket, so equal strings stand in units of one bucket. Units,
+not texts, go to the buckets:
+
+1. Find the hashes that occur twice or more. Tasks send them to the reducers as sorted arrays, one row for a part of all hashes.
+2. Write the places of units with such hashes (cuckoo filters, sent to the tasks while they are small, else a join), and sum equal
+   units to their least doc_id, in every task first, so a passage of a third of all documents is one row.
+   Units that share no longer stretch (``width - STEP + 1`` bytes) with another unit of their bucket share no string with it, and
+   need no sorting.
+3. In each bucket the other distinct units are sorted by a suffix array (linear grouping by Lyndon prefixes, ``gsaca``);
    suffixes with ``width`` bytes in common are neighbours there, and each such class gets its least doc_id. Buckets of over
-   ``BUCKET`` distinct pieces are not brought into one task: their strings are summed in a shuffle.
-4. Pieces' least doc_ids meet the documents again: every string that also starts in a smaller doc_id is covered, and the covered
+   ``BUCKET`` distinct units are sorted in chunks, and the chunks' classes, a row for each distinct string, are summed in a shuffle.
+4. Units' least doc_ids meet the places: every string that also starts in a smaller doc_id is covered, and the covered
    bytes are taken out. Strings are judged on the input.
 
 Null text is empty; texts shorter than ``width`` bytes lose nothing. Documents with equal doc_id never cover each other, and rows
@@ -20,37 +22,34 @@ with a null doc_id neither cover nor lose anything. Columns other than doc_id an
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, materialize, table, utf8
+from .common import BROADCAST_LIMIT, TEXT_ROWS, discard, materialize, own_job, table, utf8
 from .cuckoo import CuckooFilter
 from .gsaca import window_classes
 
-GRAM = 24
-#: Distinct pieces of a bucket that one task takes.
-BUCKET = 4000
+ANCHOR, REACH, STEP = 8, 15, 5
+#: Distinct units of a bucket that one task sorts together, and bytes of units of small buckets that are sorted in one go.
+BUCKET, TOGETHER = 4000, 8192
 KEYS_PER_SHARD = 1_000_000
-BLOCK = 1 << 20
-#: Texts whose pieces a task holds at once.
-TEXTS = 200
+#: Bytes of text whose units are made at once; texts whose places are made at once; hashes that a task holds; bytes of text a reducer's part stands for.
+BLOCK, TEXTS, HELD, PART_BYTES = 1 << 18, 200, 1 << 22, 32 << 20
+#: Large buckets whose numbers of chunks are sent to all tasks, at most.
+LARGE_LIMIT = 1_000_000
 _R1, _R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            for k, r in enumerate((int(_R1), pow(int(_R1), -1, 1 << 64))):
-                _POWERS[k] = np.r_[np.uint64(1), np.cumprod(np.full(size, r, np.uint64))]
-    return _POWERS
+def _loads(buffer: bytes) -> np.ndarray:
+    """The eight bytes at every place of a buffer, as numbers."""
+    out = np.empty(len(buffer) - 7, np.uint64)
+    for r in range(min(8, len(out))):
+        out[r::8] = np.frombuffer(buffer, "<u8", (len(buffer) - r) // 8, r)
+    return out
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,62 +58,168 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def block_pieces(text: bytes, width: int) -> tuple[np.ndarray, ...]:
-    """Of a text: (start, strings, least hash, side keys) of its pieces, in order. The side keys, of 32 bits each, are hashes of the
-    k-gram with the bytes to its left, and to its right, that half of a string's others can fill; where the text has none, they
-    are the position's own."""
-    n = len(text) - width + 1
-    none = np.zeros(0, np.int64)
-    if n <= 0:
-        return none, none, none, none
-    size, side = len(text), (width - GRAM + 1) // 2
+def _hash(x: np.ndarray, at: np.ndarray, size: int, more: np.ndarray | None = None, most: int = 0, seed: int = 0) -> np.ndarray:
+    """Hashes of the ``size`` bytes from each place on, and ``more`` (``most`` at most) after them, given the loads of the buffer."""
+    h = np.full(len(at), np.uint64(0x165667B19E3779F9 + seed))
+    end = at + size if more is None else at + size + more
     with np.errstate(over="ignore"):
-        up, down = _powers(size + 1)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum((np.frombuffer(text, np.uint8) + np.uint64(1)) * up[:size], out=sums[1:])
-        grams = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: size - GRAM + 1])  # polynomials in the bytes, modulo 2**64
-        # the low 16 bits are left out: 48 tell buckets apart, and take less room in shuffles
-        grams = (grams & ~np.uint64(0xFFFF)).view(np.int64)
-        m, span, have = grams, width - GRAM + 1, 1
-        while 2 * have <= span:
-            m = np.minimum(m[:-have], m[have:])
-            have *= 2
-        if have < span:
-            m = np.minimum(m[:n], m[span - have : span - have + n])
-        # a piece ends where the least hash changes, or where its k-gram leaves the string and an equal one further on takes over
-        start = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (grams[: n - 1] == m[:-1])])
-        count, least = np.diff(np.r_[start, n]), m[start]
-        at = start + (np.lib.stride_tricks.sliding_window_view(grams, span)[start] == least[:, None]).argmax(1)
-        a, b = at - side, at + GRAM + side
-        left = np.where(a >= 0, _mixed((sums[at + GRAM] - sums[np.maximum(a, 0)]) * down[np.maximum(a, 0)] + np.uint64(1)), up[at] ^ sums[-1])
-        right = np.where(b <= size, _mixed((sums[np.minimum(b, size)] - sums[at]) * down[at] + np.uint64(2)), up[at] ^ ~sums[-1])
-    return start, count, least, ((left & ~np.uint64(0xFFFFFFFF)) | (right >> np.uint64(32))).view(np.int64)
-
-
-def text_pieces(text: bytes, width: int) -> tuple[np.ndarray, ...]:
-    if len(text) <= BLOCK:
-        return block_pieces(text, width)
-    parts = []
-    for k in range(0, len(text) - width + 1, BLOCK):
-        start, *rest = block_pieces(text[k : k + BLOCK + width - 1], width)
-        parts.append((start + k, *rest))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _count_hashes(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for o in range(0, size - 7, 8):
+            h = (h ^ (h >> np.uint64(30))) * _R2 + x[at + o] * _R1
+        for o in range(-(-(size % 8 + most) // 8), 0, -1):  # the rest ends with the bytes; loads may overlap
+            h = (h ^ (h >> np.uint64(30))) * _R2 + x[end - 8 * o] * _R1
+        return _mixed(h if more is None else h * _R2 + more.astype(np.uint64))
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Loads of texts one behind the other, and where each starts."""
+    return _loads(b"".join(texts) + bytes(15)), np.cumsum([0, *map(len, texts)])[:-1]
+
+
+def unit_hash(x: np.ndarray, at: np.ndarray, strings: np.ndarray, width: int) -> np.ndarray:
+    """Hash of all bytes of units, by the place of their first byte and their number of strings, REACH at most."""
+    return _hash(x, at, width, np.asarray(strings, np.int64) - 1, REACH - 1).view(np.int64)
+
+
+def _block_units(parts: list[tuple[int, int, bytes]], width: int, keep: Callable | None, whole: bool) -> dict[str, np.ndarray]:
+    x, first = _joined([p for *_, p in parts])
+    sizes = np.array([len(p) for *_, p in parts])
+    n, span = int(sizes.sum()) - width + 1, width - ANCHOR + 1
+    with np.errstate(over="ignore"):
+        order = np.ascontiguousarray((x[: n + span - 1] * _R1).view(np.uint32)[1::2])
+    m, have = order, 1
+    while 2 * have <= span:
+        m = np.minimum(m[:-have], m[have:])
+        have *= 2
+    if have < span:
+        m = np.minimum(m[:n], m[span - have : span - have + n])
+    # a run of strings ends where the least hash changes, or where its anchor leaves the string and an equal one further on takes over
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(m[1:], m[:-1], out=new[1:])
+    new[1:] |= order[: n - 1] == m[:-1]
+    stop = first + sizes - width + 1  # strings from here on leave the part
+    new[first] = True
+    new[stop[:-1]] = True
+    start = np.flatnonzero(new)
+    count = np.diff(np.r_[start, n])
+    part = np.searchsorted(first, start, "right") - 1
+    ok = start < stop[part]
+    start, count, part = start[ok], count[ok], part[ok]
+    anchor = start + (np.lib.stride_tricks.sliding_window_view(order, span)[start] == m[start][:, None]).argmax(1)
+    # a unit for each class of distances in a run; distances fall from one string to the next
+    far = anchor - start
+    near = far - count + 1
+    reps = far // REACH - near // REACH + 1
+    of = np.repeat(np.arange(len(start)), reps)
+    kind = far[of] // REACH - (np.arange(len(of)) - np.repeat(np.cumsum(reps) - reps, reps))
+    far, near, anchor, part = np.minimum(far[of], kind * REACH + REACH - 1), np.maximum(near[of], kind * REACH), anchor[of], part[of]
+    h = _hash(x, anchor - kind * REACH, width - REACH + 1)
+    with np.errstate(over="ignore"):
+        h = _mixed(h + kind.astype(np.uint64))
+    # the low 16 bits are left out: 48 tell buckets apart, and take less room in shuffles
+    h = (h & ~np.uint64(0xFFFF)).view(np.int64)
+    if not whole:
+        return {"h": h}
+    if keep is not None:
+        hit = np.flatnonzero(keep(h))
+        h, far, near, anchor, part, kind = h[hit], far[hit], near[hit], anchor[hit], part[hit], kind[hit]
+    at, strings = anchor - far, far - near + 1
+    sk = np.zeros(len(h), np.int64)
+    for s in range(-(-REACH // STEP)):  # 21 bits for each stretch that some string of the unit holds; nought where none does
+        low = kind * REACH + s * STEP
+        have = np.flatnonzero((near < low + STEP) & (far >= low))
+        key = _hash(x, anchor[have] - low[have], width - STEP + 1, seed=1 + s) >> np.uint64(43)
+        sk[have] |= np.maximum(key, np.uint64(1)).astype(np.int64) << (21 * s)
+    number, offset = np.array([k for k, *_ in parts]), np.array([o for _, o, _ in parts])
+    return {"of": number[part], "start": at - first[part] + offset[part], "strings": strings, "h": h, "sk": sk, "k": unit_hash(x, at, strings, width)}
+
+
+def units(texts: list[bytes], width: int, keep: Callable | None = None, whole: bool = True) -> dict[str, np.ndarray]:
+    """Units of texts: of (which text), start, strings (how many), h, sk (stretches), k (hash of all its bytes); or h alone.
+
+    keep: tells of an array of h which units are wanted."""
+    parts, size, found = [], 0, []
+    for k, t in enumerate(texts):
+        for at in range(0, len(t) - width + 1, BLOCK):
+            p = t[at : at + BLOCK + width - 1] if len(t) > BLOCK else t
+            parts.append((k, at, p))
+            size += len(p)
+            if size >= BLOCK:
+                found.append(_block_units(parts, width, keep, whole))
+                parts, size = [], 0
+    if parts:
+        found.append(_block_units(parts, width, keep, whole))
+    names = ("of", "start", "strings", "h", "sk", "k") if whole else ("h",)
+    return {c: np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in names}
+
+
+def _packed(h: np.ndarray) -> bytes:
+    """Sorted 48-bit hashes (as unsigned numbers with 16 low bits of nought) in six bytes each."""
+    return (h >> np.uint64(32)).astype("<u4").tobytes() + ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // 6
+    return np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(16)
+
+
+def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sorted array: the values that stand there once, and those that stand there more often."""
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    twice = np.diff(np.r_[first, len(h)]) > 1
+    return h[first[~twice]], h[first[twice]]
+
+
+def _shared_hashes(docs: DataFrame, width: int) -> DataFrame:
+    """(h): hashes of units that occur twice or more."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, (-(-size // PART_BYTES) - 1).bit_length())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            h.sort()
+            rows = []
+            for twice, keys in enumerate(_repeated(h)):
+                part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+                rows += [(p, bool(twice), _packed(keys[a:b])) for p, a, b in zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["part", "twice", "blob"])
+
+        for batch in batches:
+            for low in range(0, batch.num_rows, TEXTS):
+                held.append(units(utf8(batch.column(0).slice(low, TEXTS)), width, whole=False)["h"].view(np.uint64))
+                n += len(held[-1])
+                if n > HELD:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, once, more = None, [], []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            h = np.concatenate([*once, *more, *more])
+            h.sort()
+            keys = _repeated(h)[1].view(np.int64)
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_pydict({"h": pa.array(keys[at : at + 100_000])})
+
         for batch in batches:
-            held, size = [], 0
-            for text in [*utf8(batch.column(0)), None]:
-                if text is not None:
-                    held.append(np.unique(text_pieces(text, width)[2]))
-                    size += len(held[-1])
-                if size and (text is None or size > 1 << 20):
-                    h, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"h": pa.array(h), "n": pa.array(n.astype(np.int32))})
-                    held, size = [], 0
+            for part, twice, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != last and last is not None:
+                    yield from found()
+                    once, more = [], []
+                last = part
+                (more if twice else once).append(_unpacked(blob))
+        if last is not None:
+            yield from found()
 
-    return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    sent = docs.select("text").mapInArrow(send, "part long, twice boolean, blob binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "h long")
 
 
 def _filters(keys: DataFrame):
@@ -126,15 +231,20 @@ def _filters(keys: DataFrame):
 
     def build(group: pa.Table) -> pa.Table:
         h = group["h"].to_numpy()
-        return pa.table({"shard": pa.array([int(h[0] % shards)], pa.int32()), "blob": pa.array([CuckooFilter.build(h).to_bytes()], pa.binary())})
+        return pa.table({"shard": pa.array([int(_shard(h[:1], shards)[0])], pa.int32()), "blob": pa.array([CuckooFilter.build(h).to_bytes()], pa.binary())})
 
-    sharded = keys.select(F.col(name).alias("h"), F.pmod(name, F.lit(shards)).cast("int").alias("shard"))
-    blobs = sharded.groupBy("shard").applyInArrow(build, "shard int, blob binary").collect()
+    sharded = keys.select(F.col(name).alias("h"), F.pmod(F.shiftright(name, 16), F.lit(shards)).cast("int").alias("shard"))
+    with own_job(keys.sparkSession):
+        blobs = sharded.groupBy("shard").applyInArrow(build, "shard int, blob binary").collect()
     return keys.sparkSession.sparkContext.broadcast({r.shard: bytes(r.blob) for r in blobs}), shards
 
 
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return (h >> 16) % shards
+
+
 def _held(filters: dict, shards: int, h: np.ndarray) -> np.ndarray:
-    hit, shard = np.zeros(len(h), bool), h % shards
+    hit, shard = np.zeros(len(h), bool), _shard(h, shards)
     for s in filters if len(filters) < 8 else np.unique(shard).tolist():
         if s in filters:
             at = np.flatnonzero(shard == s)
@@ -142,208 +252,268 @@ def _held(filters: dict, shards: int, h: np.ndarray) -> np.ndarray:
     return hit
 
 
-#: Columns of pieces: least hash, hash of the piece, side keys, document, first byte, number of strings, bytes.
-_KINDS = {"h": "long", "k": "long", "sk": "long", "doc_id": "long", "start": "long", "strings": "int", "piece": "binary"}
+#: Columns of places: bucket, hash of the unit, its stretches, document, first byte, number of strings.
+_KINDS = {"h": "long", "k": "long", "sk": "long", "doc_id": "long", "start": "long", "strings": "int"}
 
 
-def _find_pieces(docs: DataFrame, width: int, wanted: DataFrame, columns: list[str], first: tuple | None = None) -> DataFrame:
-    """The pieces whose h, or whose k, stands in wanted (a table of that one column), and a few more that its filter lets through.
-    first: filters of h that pieces must pass before their k is made."""
-    by = wanted.columns[0]
-    filters, shards = _filters(wanted) if by == "k" or first is None else first
-    early, early_shards = first if by == "k" and first else (None, 1)
-    names = columns if filters is not None or by in columns else [*columns, by]
+def _places(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
+    """The places of units whose h stands in wanted, and a few more that its filter lets through."""
+    filters, shards = _filters(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         known = None if filters is None else {s: CuckooFilter.from_bytes(b) for s, b in filters.value.items()}
-        before = None if early is None else {s: CuckooFilter.from_bytes(b) for s, b in early.value.items()}
-        rows: dict[str, list] = {c: [] for c in names}
-        size = 0
+        keep = None if known is None else lambda h: _held(known, shards, h)
+        for batch in batches:
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                found = units(utf8(part.column(1)), width, keep)
+                found |= {"doc_id": part.column(0).to_numpy()[found["of"]], "strings": found["strings"].astype(np.int32)}
+                if len(found["h"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in _KINDS], list(_KINDS))
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(rows[c], pa.binary()) if c == "piece" else pa.array(np.concatenate(rows[c])) for c in names], names)
-            for r in rows.values():
-                r.clear()
-            return out
+    out = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in _KINDS.items()))
+    return out if filters is not None else out.join(wanted, "h", "left_semi")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole runs of rows with equal leading columns, and the runs' bounds, from a stream sorted by them."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rest = now if rest is None else pa.concat_tables([rest, now])
+        if rest.num_rows < 20_000:
+            continue
+        bounds = _bounds(rest, keys)
+        if len(bounds) > 1:
+            end = int(bounds[-1])
+            yield rest.slice(0, end).combine_chunks(), bounds
+            rest = rest.slice(end)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.r_[_bounds(rest, keys), rest.num_rows]
+
+
+def _bounds(t: pa.Table, keys: int) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in range(keys):
+        c = t.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (h, k, low, high, sk) of distinct units (low, high: of their doc_ids) -> those that may lie in two documents, and
+    whether they must be sorted."""
+    for t, bounds in _runs(batches):
+        h, k, low, high, sk = (c.to_numpy() for c in t.columns)
+        size = np.diff(bounds)
+        run = np.repeat(np.arange(len(size)), size)
+        two = (np.minimum.reduceat(low, bounds[:-1]) < np.maximum.reduceat(high, bounds[:-1]))[run]
+        sorting = np.zeros(len(h), bool)
+        for s in range(-(-REACH // STEP)):
+            key = (sk >> (21 * s)) & ((1 << 21) - 1)
+            have = np.flatnonzero((key > 0) & two & (size[run] > 1))
+            _, back, times = np.unique(run[have] << 21 | key[have], return_inverse=True, return_counts=True)
+            sorting[have] |= times[back] > 1
+        out = np.flatnonzero(sorting | (low < high))
+        yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(k[out]), pa.array(low[out]), pa.array(sorting[out])], ["h", "k", "low", "sorting"])
+
+
+def _unit_bytes(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """(h, k, low, piece): the bytes of units at one place each. Documents meet the places in them."""
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("h", "k", "start", "strings")).alias("places"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(low, TEXTS)
                 texts = utf8(part.column(1))
-                each = [text_pieces(t, width) for t in texts]
-                found = {c: np.concatenate([e[i] for e in each]) for i, c in enumerate(("start", "strings", "h", "sk"))}
-                found["of"] = np.repeat(np.arange(len(texts)), [len(e[0]) for e in each])
-                # filters are asked for all pieces of these texts at once
-                for held, n_shards, use in ((before, early_shards, True), (known, shards, by == "h")):
-                    if held is not None and use:
-                        hit = _held(held, n_shards, found["h"])
-                        found = {c: v[hit] for c, v in found.items()}
-                cut = [texts[o][x:y] for o, x, y in zip(found["of"].tolist(), found["start"].tolist(), (found["start"] + found["strings"] + width - 1).tolist(), strict=True)]
-                found["k"] = np.array([xxh3_64_intdigest(p) for p in cut], np.uint64).view(np.int64)
-                if known is not None and by == "k":
-                    hit = _held(known, shards, found["k"])
-                    found = {c: v[hit] for c, v in found.items()}
-                    cut = [p for p, x in zip(cut, hit.tolist(), strict=True) if x] if "piece" in names else cut
-                n = len(found["h"])
-                if not n:
-                    continue
-                docs_ = np.array(part.column(0).to_pylist(), np.int64)
-                found |= {"doc_id": docs_[found["of"]], "strings": found["strings"].astype(np.int32), "start": found["start"].astype(np.int64)}
-                for c in names:
-                    rows[c] += cut if c == "piece" else [found[c]]
-                size += n
-                if size > 50_000:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
+                of, (h, k, start, strings) = _listed(part.column(2))
+                ok, _ = _as_listed(texts, of, start, strings, k, width)
+                of, h, k, start, strings = of[ok], h[ok], k[ok], start[ok], strings[ok]
+                pieces = [texts[o][a:b] for o, a, b in zip(of.tolist(), start.tolist(), (start + strings + width - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array(part.column(0).to_numpy()[of]), pa.array(pieces, pa.binary())], ["h", "k", "low", "piece"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} {_KINDS[c]}" for c in names))
-    return out if filters is not None else out.join(wanted, by, "left_semi").select(*columns)
+    met = docs.join(wanted, "doc_id").select("doc_id", "text", "places")
+    return met.mapInArrow(run, "h long, k long, low long, piece binary").dropDuplicates(["h", "k"])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
-    """Rows of equal first column, from a stream sorted by it."""
-    last, bucket = None, []
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True):
-            if row[0] != last and bucket:
-                yield bucket
-                bucket = []
-            last = row[0]
-            bucket.append(row)
-    if bucket:
-        yield bucket
-
-
-def _in_batches(rows: Iterator[tuple], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+def _listed(column) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs: the row of each struct, and the structs' fields."""
+    sizes = np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(sizes)), sizes), [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
 
 
-def _to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (h, k, doc_id, n, sk) of distinct pieces -> those of two documents, and those that must be sorted (sorting)."""
+def _as_listed(texts: list[bytes], of: np.ndarray, start: np.ndarray, strings: np.ndarray, k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the places hold the unit of hash k (another text with the same doc_id may not), and the texts' starts when joined."""
+    x, first = _joined(texts)
+    ok = start + strings + width - 1 <= np.array([len(t) for t in texts], np.int64)[of]
+    at = np.flatnonzero(ok)
+    ok[at] = unit_hash(x, (first[of] + start)[at], strings[at], width) == k[at]
+    return ok, first
 
-    def rows() -> Iterator[tuple]:
-        for bucket in _buckets(batches, 5):
-            if len(bucket) == 1:
-                h, k, doc, n, *_ = bucket[0]
-                if n > 1:
-                    yield h, k, doc, False
-                continue
-            left, right = Counter(b[4] >> 32 for b in bucket), Counter(b[4] & 0xFFFFFFFF for b in bucket)
-            for h, k, doc, n, sk in bucket:
-                sorting = left[sk >> 32] > 1 or right[sk & 0xFFFFFFFF] > 1
-                if sorting or n > 1:
-                    yield h, k, doc, sorting
 
-    yield from _in_batches(rows(), ["h", "k", "low", "sorting"], [pa.int64()] * 3 + [pa.bool_()])
+#: Rows of sorted units: done (0), a distinct string of a chunk (1: k is its class, a and b its hash), a unit of a chunk (2: mins are classes).
+_SORTED = "kind int, h long, chunk long, k long, low long, high long, a long, b long, mins array<long>"
 
 
 def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted (h, k, low, piece) of distinct pieces -> least doc_ids of each piece's strings."""
-
-        def rows() -> Iterator[tuple]:
-            for bucket in _buckets(batches, 4):
-                of = window_classes([b[3] for b in bucket], width)
-                least = np.full(max(int(c.max()) for c in of) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, np.concatenate(of), np.repeat(np.array([b[2] for b in bucket], np.int64), [len(c) for c in of]))
-                for (h, k, *_), c in zip(bucket, of, strict=True):
+        """Sorted (h, chunk, k, low, piece, chunks) of distinct units -> least doc_ids of each unit's strings."""
+        waiting: list[tuple] = []
+        size = 0
+
+        def done() -> pa.RecordBatch:
+            rows = []
+            of = window_classes([w[4] for w in waiting], width)
+            counts = [len(c) for c in of]
+            flat = np.concatenate(of)
+            least = np.full(int(flat.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, flat, np.repeat(np.array([w[3] for w in waiting], np.int64), counts))
+            h, chunk, *_, chunks = waiting[0]
+            if chunks > 1:  # a chunk stands alone
+                cls, first = np.unique(flat, return_index=True)
+                x, begin = _joined([w[4] for w in waiting])
+                at = np.concatenate([b + np.arange(n) for b, n in zip(begin.tolist(), counts, strict=True)])[first]
+                a, b = (_hash(x, at, width, seed=s).view(np.int64).tolist() for s in (77, 78))
+                rows += [(1, h, chunk, c, m, None, p, q, None) for c, m, p, q in zip(cls.tolist(), least[cls].tolist(), a, b, strict=True)]
+                rows += [(2, h, chunk, w[2], w[3], None, None, None, c) for w, c in zip(waiting, of, strict=True)]
+            else:
+                for (h, chunk, k, *_), c in zip(waiting, of, strict=True):
                     m = least[c]
                     low, high = int(m.min()), int(m.max())
-                    yield h, k, low, high, None if low == high else m
+                    rows.append((0, h, chunk, k, low, high, None, None, None if low == high else m))
+            return _sorted_rows(rows)
 
-        yield from _in_batches(rows(), ["h", "k", "low", "high", "mins"], [pa.int64()] * 4 + [pa.list_(pa.int64())])
+        last = None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:2] != last:
+                    if waiting and (size >= TOGETHER or row[5] > 1 or waiting[0][5] > 1):
+                        yield done()
+                        waiting, size = [], 0
+                    last = row[:2]
+                waiting.append(row)
+                size += len(row[4])
+        if waiting:
+            yield done()
 
     return run
 
 
-def _large_classes(texts: DataFrame, width: int) -> DataFrame:
-    """The same for buckets too large for one task: each string is a row, and its least doc_id is summed in a shuffle."""
-    strings = texts.select("h", "k", "low", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {width - 1}), i -> substring(piece, i, {width}))")).alias("at", "s"))
-    keyed = strings.select("h", "k", "low", "at", F.xxhash64("s").alias("a"), F.xxhash64(F.lit(1), "s").alias("b"))
-    least = keyed.groupBy("a", "b").agg(F.min("low").alias("m"))
-    back = keyed.join(least, ["a", "b"]).groupBy("h", "k").agg(F.min("m").alias("low"), F.max("m").alias("high"), F.sort_array(F.collect_list(F.struct("at", "m"))).alias("all"))
-    return back.select("h", "k", "low", "high", F.transform("all", lambda x: x.m).alias("mins"))
+def _sorted_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.int64()] * 7, pa.list_(pa.int64())]
+    names = [c.split()[0] for c in _SORTED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _across_chunks(done: DataFrame) -> DataFrame:
+    """Units of large buckets with the least doc_ids over all chunks: strings meet by their hashes, a row for each chunk they are in."""
+    strings = done.where("kind = 1").select("h", "chunk", "k", "low", "a", "b")
+    least = strings.groupBy("a", "b").agg(F.min("low").alias("least"))
+    met = strings.join(least, ["a", "b"]).select(F.lit(1).alias("kind"), "h", "chunk", "k", F.col("least").alias("low"), F.lit(None).cast("array<long>").alias("mins"))
+    both = met.unionByName(done.where("kind = 2").select("kind", "h", "chunk", "k", "low", "mins"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, {}
+        for batch in batches:
+            rows = []
+            for h, chunk, kind, k, low, mins in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (h, chunk) != last:
+                    last, least = (h, chunk), {}
+                if kind == 1:
+                    least[k] = low
+                else:
+                    m = [least[c] for c in mins]
+                    rows.append((0, h, chunk, k, min(m), max(m), None, None, None if min(m) == max(m) else m))
+            if rows:
+                yield _sorted_rows(rows)
+
+    dealt = both.select("h", "chunk", "kind", "k", "low", "mins").repartition("h", "chunk").sortWithinPartitions("h", "chunk", "kind")
+    return dealt.mapInArrow(run, _SORTED)
 
 
 def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start and end of removed runs) and kept (the remaining bytes), for every row of docs."""
-    if not GRAM < width:
-        raise ValueError(f"width must be over {GRAM}")
+    if width < 24:
+        raise ValueError("width must be 24 or more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     numbered = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    shared = materialize(_count_hashes(numbered, width), "shared-hashes")
-    passing = _filters(shared)
-    found = _find_pieces(numbered, width, shared, ["h", "k", "sk", "doc_id"], passing)
-    distinct = found.groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min("sk").alias("sk"))
-    distinct = materialize(distinct, "distinct-pieces")
-    large = materialize(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("pieces")).where(F.col("pieces") > BUCKET).select("h"), "large-buckets")
-    some_large = large.count() > 0
-    small = distinct.join(large, "h", "left_anti") if some_large else distinct
+    shared = materialize(_shared_hashes(numbered, width), "shared-hashes", TEXT_ROWS)
+    all_places = materialize(_places(numbered, width, shared), "all-places", TEXT_ROWS)
+    discard(shared)
+    distinct = all_places.groupBy("h", "k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("sk").alias("sk"))
+    distinct = materialize(distinct, "distinct-units")
+    counted = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("units")).where(F.col("units") > BUCKET)
+    large_table = materialize(counted.select("h", F.ceil(F.col("units") / BUCKET).alias("chunks")), "large-buckets")
+    n_large = large_table.count()
+    large = F.broadcast(large_table) if n_large <= LARGE_LIMIT else large_table
+    small = distinct.join(large, "h", "left_anti") if n_large else distinct
     # dealt by bucket: at most BUCKET rows of one hash meet
-    marked = small.select("h", "k", "doc_id", "n", "sk").repartition("h").sortWithinPartitions("h").mapInArrow(_to_sort, "h long, k long, low long, sorting boolean")
-    if some_large:
-        marked = marked.unionByName(distinct.join(large, "h", "left_semi").select("h", "k", F.col("doc_id").alias("low"), F.lit(True).alias("sorting")))
-    marked = materialize(marked, "marked-pieces")
-    sorting = marked.where("sorting").select("h", "k", "low")
-    texts = _find_pieces(numbered, width, sorting.select("k").distinct(), ["h", "k", "piece"], passing).groupBy("h", "k").agg(F.first("piece").alias("piece"))
-    texts = materialize(sorting.join(texts, ["h", "k"]).select("h", "k", "low", "piece"), "piece-texts")
-    small = texts.join(large, "h", "left_anti") if some_large else texts
-    classes = small.repartition("h").sortWithinPartitions("h").mapInArrow(_classes(width), "h long, k long, low long, high long, mins array<long>")
-    if some_large:
-        classes = classes.unionByName(_large_classes(texts.join(large, "h", "left_semi"), width))
-    alike = marked.where("NOT sorting").select("h", "k", "low", F.col("low").alias("high"), F.lit(None).cast("array<long>").alias("mins"))
-    classes = materialize(classes.unionByName(alike), "string-classes")
-    places = _find_pieces(numbered, width, classes.select("k").distinct(), ["h", "k", "doc_id", "start", "strings"], passing)
-    covered = places.join(classes, ["h", "k"]).where("low < doc_id")
-    which = F.when(F.col("high") >= F.col("doc_id"), F.transform("mins", lambda m: m < F.col("doc_id")))
-    covers = covered.groupBy("doc_id").agg(F.collect_list(F.struct("k", "start", "strings", which.alias("which"))).alias("covers"))
+    marked = small.select("h", "k", "low", "high", "sk").repartition("h").sortWithinPartitions("h").mapInArrow(_to_sort, "h long, k long, low long, sorting boolean")
+    if n_large:
+        marked = marked.unionByName(distinct.join(large, "h", "left_semi").select("h", "k", "low", F.lit(True).alias("sorting")))
+    marked = materialize(marked, "marked-units")
+    places = materialize(all_places.drop("sk").join(marked, ["h", "k"]), "places")
+    discard(all_places, distinct, marked)
+    one = places.where("sorting AND doc_id = low").groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.min("strings").alias("strings"))
+    pieces = materialize(_unit_bytes(numbered, one, width), "unit-bytes")
+    numbers = pieces.join(large, "h", "left") if n_large else pieces.withColumn("chunks", F.lit(None).cast("long"))
+    numbers = numbers.withColumn("chunks", F.coalesce("chunks", F.lit(1)).cast("long"))
+    dealt = numbers.select("h", F.pmod(F.xxhash64("k"), F.col("chunks")).alias("chunk"), "k", "low", "piece", "chunks")
+    done = materialize(dealt.repartition("h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(_classes(width), _SORTED), "sorted-units")
+    classes = done.where("kind = 0")
+    if n_large:
+        classes = classes.unionByName(_across_chunks(done))
+    sorted_ = places.where("sorting").drop("low").join(classes.select("h", "k", "low", "high", "mins"), ["h", "k"]).where("low < doc_id")
+    bit = F.transform("mins", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    which = F.when(F.col("high") >= F.col("doc_id"), F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))).otherwise(F.lit(-1).cast("long"))
+    plain = places.where("NOT sorting AND low < doc_id").withColumn("which", F.lit(-1).cast("long"))
+    columns = ["doc_id", "k", "start", "strings", "which"]
+    covers = plain.select(*columns).unionByName(sorted_.withColumn("which", which).select(*columns))
+    covers = materialize(covers.groupBy("doc_id").agg(F.collect_list(F.struct("k", "start", "strings", "which")).alias("covers")), "covers")
+    discard(places, pieces, done, large_table)
     joined = docs.join(covers, "doc_id", "left").select("doc_id", "text", "covers")
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         for batch in batches:
-            n_bytes, removed, spans, kept = [], [], [], []
-            for text, covers in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                runs, left = [], text
-                if covers:
-                    step = np.zeros(len(text) + width + 1, np.int64)
-                    for c in covers:
-                        a, n = c["start"], c["strings"]
-                        if xxh3_64_intdigest(text[a : a + n + width - 1]) != c["k"] % (1 << 64):
-                            continue  # of another text with this doc_id
-                        if c["which"] is None:
-                            step[a] += 1
-                            step[a + n - 1 + width] -= 1
-                        else:
-                            at = a + np.flatnonzero(np.array(c["which"], bool))
-                            step[at] += 1
-                            step[at + width] -= 1
-                    gone = np.cumsum(step[: len(text)]) > 0
-                    edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-                    runs = [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                    left = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                n_bytes.append(len(text))
-                removed.append(len(text) - len(left))
-                spans.append(runs)
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                texts = utf8(part.column(1))
+                gone, first = _covered(texts, part.column(2), width)
+                removed, spans, kept = [], [], []
+                for text, a in zip(texts, first.tolist(), strict=True):
+                    mine = gone[a : a + len(text)]
+                    edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).tolist() if mine.any() else []
+                    spans.append([{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2], strict=True)])
+                    kept.append(b"".join(text[x:y] for x, y in zip([0, *edge[1::2]], [*edge[::2], len(text)], strict=True)) if edge else text)
+                    removed.append(len(text) - len(kept[-1]))
+                n_bytes = [len(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
+def _covered(texts: list[bytes], covers, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of joined texts are covered, and the texts' starts."""
+    of, (k, start, strings, which) = _listed(covers)
+    start, strings = start.astype(np.int64), strings.astype(np.int64)
+    ok, first = _as_listed(texts, of, start, strings, k.astype(np.int64), width)
+    at, n, which = (first[of] + start)[ok], strings[ok], which.astype(np.int64)[ok]
+    size = sum(map(len, texts))
+    step = np.zeros(size + width + 1, np.int64)
+    all_ = which == -1
+    np.add.at(step, at[all_], 1)
+    np.add.at(step, (at + n - 1 + width)[all_], -1)
+    for i in range(REACH):
+        some = at[~all_ & (i < n) & ((which >> i) & 1 > 0)] + i
+        np.add.at(step, some, 1)
+        np.add.at(step, some + width, -1)
+    return np.cumsum(step[:size]) > 0, first
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), width=50)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
