@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, utf8
-from .wordids import word_ids
+from .wordids import CACHE_WORDS, word_ids
 
 
 def cut(length: int, classes: list[int]) -> list[int]:
@@ -84,14 +84,16 @@ class _Packer:
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+
+    cache_words: words whose ids a Python worker keeps, at about 200 bytes each; it has no bearing on results."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer, encode = _Packer(capacity, TaskContext.get().partitionId()), word_ids(tokenizer)
+        packer, encode = _Packer(capacity, TaskContext.get().partitionId()), word_ids(tokenizer, cache_words)
 
         def rows(found: list) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(found), 20_000):

@@ -9,14 +9,15 @@ import numpy as np
 
 #: Words kept by each Python worker; words beyond it are encoded again in each batch that has them.
 CACHE_WORDS = 450_000
-_CACHES: dict[str, tuple] = {}
+_CACHES: dict[tuple, WordEncoder] = {}
 
 
 class WordEncoder:
     """For tokenizers that lower-case, drop white space and mark word ends, as word_bpe_49k.json does: there the ids of a text
     are those of its words, one after the other, and of a letter and a following full stop or comma those of each alone."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,11 +52,11 @@ class WordEncoder:
         for w in whole:
             (plain if w.isalpha() or (s := w.decode().lower()).isalpha() and s == w.decode() else odd).append(w)
         known = dict(zip(plain, self._plain(plain), strict=True)) | dict(zip(odd, self._alone(odd), strict=True))
-        if len(cache) < CACHE_WORDS:
+        if len(cache) < self.cache_words:
             cache.update(known)
         for w, core, stop in parted:
             known[w] = (cache.get(core) or known[core]) + stop
-        if len(cache) < CACHE_WORDS:
+        if len(cache) < self.cache_words:
             cache.update((w, known[w]) for w, _, _ in parted)
         return known
 
@@ -77,7 +78,7 @@ class WordEncoder:
                 yield b"".join([get(w) or rest(w, b"") for w in words])
 
 
-def word_ids(path: str) -> Callable[..., Iterator[bytes]]:
-    if path not in _CACHES:
-        _CACHES[path] = WordEncoder(path)
-    return _CACHES[path].encode
+def word_ids(path: str, cache_words: int = CACHE_WORDS) -> Callable[..., Iterator[bytes]]:
+    if (path, cache_words) not in _CACHES:
+        _CACHES[path, cache_words] = WordEncoder(path, cache_words)
+    return _CACHES[path, cache_words].encode
