@@ -48,7 +48,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 2048 tokens; ids are little-endian unsigned 32-bit numbers."""
     import public_tokenizers
 
-    return harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    return harmonic_pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, cache_words=100_000)
 
 
 STAGES = [
