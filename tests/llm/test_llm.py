@@ -23,6 +23,7 @@ from tidemark.llm.cuckoo import CuckooFilter  # noqa: E402
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
+SUBWORDS = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 ODD_TEXTS = [None, "", " ", "\n\n", "word", "a\nb\na", "é́ 漢字 🙂", "x" * 5000, "the quick brown fox jumps over the lazy dog " * 40, "<|endoftext|> hi <|endoftext|>", "\x1c\x85 \t.", "one two three four"]
 
 
@@ -391,19 +392,19 @@ def test_model_is_a_distribution_and_causal():
 
 def last(m, d, end):
     """log10 probability of the end after d."""
-    x, y, _ = attention.windows([d], m.end, m.pad)
-    keep = attention.windows
+    flat, y, owner = attention.layout([d], m.end, m.pad)
+    keep = attention.layout
     try:
-        attention.windows = lambda *_: (x, np.where((np.arange(y.size).reshape(y.shape) == len(d)), y, -1), np.zeros(len(x), int))
+        attention.layout = lambda *_: (flat, np.where((np.arange(y.size).reshape(y.shape) == len(d)), y, -1), owner)
         return m.score([d])[0]
     finally:
-        attention.windows = keep
+        attention.layout = keep
 
 
 def test_lm(spark, docs, odd):
     texts = [*docs.text[:60], *ODD_TEXTS]
     df = frame(spark, texts)
-    got = lm_score.lm_scores(df, F.col("doc_id") % 5 != 1, WORD).collect()
+    got = lm_score.lm_scores(df, F.col("doc_id") % 5 != 1, SUBWORDS).collect()
     counts = Counter()
     for k, t in enumerate(texts):
         if k % 5 != 1:
@@ -415,29 +416,41 @@ def test_lm(spark, docs, odd):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(counts[x] > 0 for x in w), n, r.doc_id % 5 == 1)
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
         assert r.score < 0
-    assert lm_score.lm_scores(df.limit(0), F.lit(True), WORD).count() == 0
+    assert lm_score.lm_scores(df.limit(0), F.lit(True), SUBWORDS).count() == 0
 
 
 def test_lm_learns_from_all_training_texts(spark, docs, monkeypatch):
     texts = [*docs.text[:50], *ODD_TEXTS]
     df = frame(spark, texts)
-    ids = list(wordids.WordEncoder(WORD).encode([(t or "").encode() for t in texts]))
-    encoded = spark.createDataFrame([(k, bytearray(np.frombuffer(b, "<u4").astype("<u2").tobytes())) for k, b in enumerate(ids)], "row long, ids binary")
-    own = [np.frombuffer(b, "<u4") for b in ids]
+    ids = [lm_score.encode_words(lm_score.encoder(*SUBWORDS), (t or "").lower().encode().split()) for t in texts]
+    encoded = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(ids)], "row long, ids binary")
+    own = [np.frombuffer(b, "<u2").astype(int) for b in ids]
     pairs = Counter(p for d in own for p in zip([lm_score.END, *d.tolist()], [*d.tolist(), lm_score.END], strict=True))
     assert {(r.pair >> 16, r.pair & 0xFFFF): r.n for r in lm_score.pair_counts(encoded).collect()} == pairs
-    # each text's windows move the weights in each pass
+    # each text's windows move the weights in each pass; with shares, each text does in one pass of as many as there are shares
     follow = np.zeros((lm_score.IDS, attention.CLASSES))
-    weights = lm_score.fit(encoded, np.zeros(lm_score.IDS, int), follow, epochs=2)
-    assert set(np.flatnonzero(weights.moves[: lm_score.IDS])) - {lm_score.PAD} == {lm_score.END, *(int(i) for d in own for i in d)}
+    for share, epochs in ((1, 2), (3, 3)):
+        monkeypatch.setattr(attention, "SHARE", share)
+        weights = lm_score.fit(encoded, np.zeros(lm_score.IDS, int), follow, epochs=epochs)
+        assert set(np.flatnonzero(weights.moves[: lm_score.IDS])) - {lm_score.PAD} == {lm_score.END, *(int(i) for d in own for i in d)}
     # scores are the same whether a pair's count is in the model or comes from the table
     train = F.col("doc_id") % 5 != 1
-    want = {r.doc_id: r.score for r in lm_score.lm_scores(df, train, WORD).collect()}
+    want = {r.doc_id: r.score for r in lm_score.lm_scores(df, train, SUBWORDS).collect()}
     monkeypatch.setattr(attention, "PAIRED", 30)
-    got = {r.doc_id: r.score for r in lm_score.lm_scores(df, train, WORD).collect()}
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(df, train, SUBWORDS).collect()}
     assert all(math.isclose(got[k], want[k], rel_tol=2e-3, abs_tol=0.05) for k in want)
 
 
+def test_subwords_of_cut_texts(monkeypatch):
+    encoding = lm_score.encoder(*SUBWORDS)
+    words_ = [*"a b\u3000 \u3000c it's 12 -- <|endoftext|> é́ 漢字 🙂".encode().split(), b"x" * 300]
+    want = encoding.encode_ordinary((b" " + b" ".join(words_)).decode())
+    for run in (1, 2, 1000):
+        monkeypatch.setattr(lm_score, "RUN", run)
+        assert np.frombuffer(lm_score.encode_words(encoding, words_), "<u2").tolist() == want
+    assert lm_score.encode_words(encoding, []) == b""
+
+
 # 10 Jaccard join
 
 
