@@ -159,6 +159,37 @@ def test_suffix_array():
         assert gsaca.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_suffix_arrays_side_by_side(monkeypatch):
+    rng = random.Random(3)
+    for short in (512, 20):
+        monkeypatch.setattr(gsaca, "SHORT", short)
+        for _ in range(150):
+            texts = [bytes(rng.choice(rng.choice([b"a", b"ab", b"abcd"])) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 30))]
+            sa, at = gsaca.suffix_arrays(texts), 0
+            for t in texts:
+                assert (sa[at : at + len(t)] - at).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+                at += len(t)
+
+
+def test_units_hold_each_string_once_and_equal_strings_meet(monkeypatch):
+    rng = random.Random(1)
+    vocab = ["".join(rng.choices("abcde", k=rng.randint(1, 6))) for _ in range(30)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 120))).encode() for _ in range(100)] + [b"a" * 500, b"ab" * 300, b"", b"x" * 50, b"y" * 49]
+    for width, block in ((50, 1 << 18), (50, 300), (24, 1 << 18), (64, 1 << 18)):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        found = suffix_dedup.units(texts, width)
+        bucket, key, held = {}, {}, [set() for _ in texts]
+        for of, start, n, h, k in zip(*(found[c].tolist() for c in ("of", "start", "strings", "h", "k")), strict=True):
+            assert 1 <= n <= suffix_dedup.REACH
+            assert key.setdefault(texts[of][start : start + n + width - 1], k) == k
+            for at in range(start, start + n):
+                assert at not in held[of]
+                held[of].add(at)
+                assert bucket.setdefault(texts[of][at : at + width], h) == h
+        assert held == [set(range(max(0, len(t) - width + 1))) for t in texts]
+        assert (suffix_dedup.units(texts, width, whole=False)["h"] == found["h"]).all()
+
+
 def removed(rows, width=50):
     """{doc_id: (bytes, removed, spans, kept)} by a table of all strings."""
     seen, out = set(), {}

@@ -89,17 +89,109 @@ def suffix_array(text: bytes) -> list[int]:
     return sa
 
 
-def window_classes(pieces: list[bytes], width: int) -> list[np.ndarray]:
-    """For each piece, the class of each of its windows of ``width`` bytes; equal windows, of any pieces, have equal classes."""
-    text = b"\xff".join(pieces)
-    sa = np.array(suffix_array(text), np.int64)
-    starts = np.cumsum([0, *(len(p) + 1 for p in pieces)])
-    valid = np.zeros(len(text) + 1, bool)
-    for s, p in zip(starts.tolist(), pieces, strict=False):
-        valid[s : s + max(0, len(p) - width + 1)] = True
-    order = sa[valid[sa]]
-    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), width)[order]
-    new = np.r_[False, (rows[1:] != rows[:-1]).any(1)]  # neighbours whose common prefix is shorter
-    of = np.full(len(text) + 1, -1, np.int64)
-    of[order] = np.cumsum(new)
-    return [of[s : s + max(0, len(p) - width + 1)] for s, p in zip(starts.tolist(), pieces, strict=False)]
+#: Texts up to this length are sorted side by side, each step being taken for all of them at once.
+SHORT = 512
+
+
+def suffix_arrays(texts: list[bytes]) -> np.ndarray:
+    """The suffix arrays of texts one behind the other, as positions in the joined text.
+
+    The same construction; the texts' present groups are processed together, so a step costs little however short the texts are."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+    short = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+    for k in np.flatnonzero(sizes > SHORT).tolist():
+        out[first[k] : first[k] + sizes[k]] = np.array(suffix_array(texts[k]), np.int64) + first[k]
+    if len(short):
+        sa, begin = _side_by_side([texts[k] for k in short.tolist()])
+        at = np.repeat(first[short] - begin, sizes[short])  # from places among the short texts to places among all
+        out[np.arange(len(sa)) + at] = sa + at
+    return out
+
+
+def _side_by_side(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    text = np.frombuffer(b"".join(texts), np.uint8)
+    step, prev = _groups(text, sizes)
+    # places of the groups: by text, then from the group processed last to the one processed first
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    key = of * (int(step.max()) + 1) + (int(step.max()) - step)
+    _, group, members = np.unique(key, return_inverse=True, return_counts=True)
+    free = np.cumsum(members) - members
+    sa, placed = np.full(len(text) + 1, -1, np.int64), np.zeros(len(text) + 1, bool)
+    placed[-1] = True  # the place -1 stands for: no further suffix
+    low, read, stop, j = begin, begin.copy(), begin + sizes, begin + sizes - 1
+    while len(j):
+        walking = np.flatnonzero(~placed[j])
+        w = j[walking]
+        g = group[w]
+        sa[free[g]] = w
+        free[g] += 1
+        placed[w] = True
+        j[walking] = prev[w]
+        ended = np.flatnonzero(placed[j])
+        more = ended[read[ended] < stop[ended]]
+        at = sa[read[more]]
+        j[more] = np.where(at > low[more], at - 1, -1)
+        read[more] += 1
+        if len(more) < len(ended):
+            on = np.ones(len(j), bool)
+            on[ended] = read[ended] < stop[ended]
+            on[more] = True
+            low, read, stop, j = low[on], read[on], stop[on], j[on]
+    return sa[:-1], begin
+
+
+def _groups(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step in which each position's group is processed (the greatest group first), and its previous smaller suffix (or -1).
+
+    Labels order the groups of a text. Positions that gain children are labelled anew, above their group and by their number."""
+    open_, label = np.arange(len(text)), text.astype(np.int64)
+    step, prev = np.zeros(len(text), np.int64), np.full(len(text), -1, np.int64)
+    left, most, k = sizes.copy(), 256, 0
+    while len(open_):
+        first = np.cumsum(left) - left
+        mine = label == np.repeat(np.maximum.reduceat(label, first), left)
+        at = np.flatnonzero(mine)
+        parent = np.maximum.accumulate(np.where(mine, -1, np.arange(len(open_))))[at]  # the nearest one that isn't processed
+        gone = np.add.reduceat(mine, first, dtype=np.int64)
+        has = parent >= np.repeat(first, gone)
+        step[open_[at]] = k
+        prev[open_[at[has]]] = open_[parent[has]]
+        children = np.bincount(parent[has], minlength=len(open_))
+        keep = ~mine
+        open_, label, children = open_[keep], label[keep], children[keep]
+        left = left - gone
+        left = left[left > 0]
+        grow = int(children.max()) + 1 if len(children) else 1
+        if grow > 1:
+            most *= grow
+            if most >= 1 << 62:
+                label = np.unique(label, return_inverse=True)[1]
+                most = (int(label.max()) + 1) * grow
+            label = label * grow + children
+        k += 1
+    return step, prev
+
+
+def bucket_classes(buckets: list[list[bytes]], width: int) -> list[np.ndarray]:
+    """For each piece of each bucket, in order, the class of each of its windows of ``width`` bytes. Equal windows of a bucket have
+    equal classes."""
+    texts = [b"\xff".join(pieces) for pieces in buckets]
+    sa = suffix_arrays(texts)
+    sizes = np.array([len(p) for pieces in buckets for p in pieces], np.int64)
+    last = np.cumsum([len(pieces) for pieces in buckets]) - 1
+    gap = np.ones(len(sizes), np.int64)
+    gap[last] = 0
+    starts = np.cumsum(sizes + gap) - sizes - gap
+    counts = np.maximum(0, sizes - width + 1)
+    edge = np.zeros(len(sa) + 1, np.int64)
+    np.add.at(edge, starts, (counts > 0).astype(np.int64))
+    np.add.at(edge, starts + counts, -(counts > 0).astype(np.int64))
+    order = sa[np.cumsum(edge)[sa] > 0]
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(texts), np.uint8), width)[order]
+    of = np.full(len(sa), -1, np.int64)
+    of[order] = np.cumsum(np.r_[False, (rows[1:] != rows[:-1]).any(1)][: len(order)])  # neighbours whose common prefix is shorter
+    return [of[s : s + n] for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_LIMIT, TEXT_ROWS, discard, materialize, own_job, table, utf8
 from .cuckoo import CuckooFilter
-from .gsaca import window_classes
+from .gsaca import bucket_classes
 
 ANCHOR, REACH, STEP = 8, 15, 5
 #: Distinct units of a bucket that one task sorts together, and bytes of units of small buckets that are sorted in one go.
-BUCKET, TOGETHER = 4000, 8192
+BUCKET, TOGETHER = 4000, 1 << 17
 KEYS_PER_SHARD = 1_000_000
 #: Bytes of text whose units are made at once; texts whose places are made at once; hashes that a task holds; bytes of text a reducer's part stands for.
 BLOCK, TEXTS, HELD, PART_BYTES = 1 << 18, 200, 1 << 22, 32 << 20
@@ -366,7 +366,13 @@ def _classes(width: int):
 
         def done() -> pa.RecordBatch:
             rows = []
-            of = window_classes([w[4] for w in waiting], width)
+            buckets: list[list[bytes]] = []
+            for k, w in enumerate(waiting):
+                if k and waiting[k - 1][:2] == w[:2]:
+                    buckets[-1].append(w[4])
+                else:
+                    buckets.append([w[4]])
+            of = bucket_classes(buckets, width)
             counts = [len(c) for c in of]
             flat = np.concatenate(of)
             least = np.full(int(flat.max()) + 1, np.iinfo(np.int64).max)
@@ -455,14 +461,16 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     if n_large:
         marked = marked.unionByName(distinct.join(large, "h", "left_semi").select("h", "k", "low", F.lit(True).alias("sorting")))
     marked = materialize(marked, "marked-units")
+    discard(distinct)
     places = materialize(all_places.drop("sk").join(marked, ["h", "k"]), "places")
-    discard(all_places, distinct, marked)
+    discard(all_places, marked)
     one = places.where("sorting AND doc_id = low").groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.min("strings").alias("strings"))
     pieces = materialize(_unit_bytes(numbered, one, width), "unit-bytes")
     numbers = pieces.join(large, "h", "left") if n_large else pieces.withColumn("chunks", F.lit(None).cast("long"))
     numbers = numbers.withColumn("chunks", F.coalesce("chunks", F.lit(1)).cast("long"))
     dealt = numbers.select("h", F.pmod(F.xxhash64("k"), F.col("chunks")).alias("chunk"), "k", "low", "piece", "chunks")
-    done = materialize(dealt.repartition("h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(_classes(width), _SORTED), "sorted-units")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes are not brought into few tasks
+    done = materialize(dealt.repartition(tasks, "h", "chunk").sortWithinPartitions("h", "chunk").mapInArrow(_classes(width), _SORTED), "sorted-units")
     classes = done.where("kind = 0")
     if n_large:
         classes = classes.unionByName(_across_chunks(done))
