@@ -5,13 +5,14 @@ where it starts as merging would leave them, so the token that ends each prefix
 byte changes the count by a fixed amount that depends on finitely much: on the suffix that may still become part of a token,
 and the tokens ending inside it. That is a deterministic transducer. It is joined with the automaton of the pre-tokenizer
 (runs of letters, digits, other signs and white space, each with one blank before it, and contractions; white space gives its
-last character to what follows). States and transitions are compiled when first met, up to a bound; each transition holds the
-change of the token count, which may be negative where a merge takes tokens back. A piece that leaves the compiled part once the
-bound is reached is evaluated by the same recurrence without storing states (``direct``).
+last character to what follows). States and transitions are compiled when first met; each transition holds the change of the
+token count, which may be negative where a merge takes tokens back. When the bounded table of states is full it is dropped and
+compiled anew from the state at hand, so every text runs through the transducer, whatever its words.
 
-Texts are cut where white space follows other signs. There the automaton always stands at its start, so the map of each piece
-from entry states to (exit state, count) has one entry; maps compose associatively, in a prefix scan. Pieces of any other cut
-have maps too (``chunk_map``). Piece counts are kept in a bounded table.
+Texts are cut into chunks of ``CHUNK`` characters, anywhere. Each chunk gives a map from the states it may be entered in to (exit state,
+count); maps compose associatively, in a prefix scan. Where white space follows another sign the automaton always stands as at
+its start, so the entry state matters only for a chunk's head, and the counts of whole pieces, transitions from start
+to start, are kept in a bounded table.
 
 Null and empty texts have no tokens. Strings of special tokens in a text count as one token each and part the text, as by default.
 """
@@ -34,11 +35,14 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0               
 #: Endings that are tokens of their own after an apostrophe; fixed values.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-#: The pre-tokenizer's expression, a format of byte-level vocabularies; fixed value. White space and its complement are spelt out.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^{S}\p{L}\p{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-
 PIECES = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 40_000, 600_000, 1_000_000
+#: Where white space follows another sign: the place after a match's first sign.
+BOUNDARY = re.compile(f"[^{SPACES}](?=[{SPACES}])")
+#: Compiled states, remembered pieces and pairs of tokens of a worker at most. A full table of states is dropped and compiled anew.
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 600_000, 1_000_000
+#: Characters of a text that make a chunk.
+CHUNK = 4096
+START = ("start",)
 
 
 def byte_signs() -> dict[str, int]:
@@ -101,16 +105,16 @@ class Transducer:
 
         self.bpe = ByteBpe(path)
         self._letter, self._digit = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
-        self._pre = regex.compile(PRE_TOKENS.replace("{S}", SPACES))
         self._spaces = frozenset(SPACES)
         self.pieces: dict[str, int] = {}
         self.keys: list[tuple] = []
         self.ids: dict[tuple, int] = {}
         self.steps: list[dict[str, tuple[int, int]]] = []
         self.inner: dict[tuple, tuple] = {}
-        self.start = self._id(("start",))
+        self.start = self._id(START)
 
     def _id(self, key: tuple) -> int:
+        """The number of a state; it holds until the table is dropped."""
         k = self.ids.get(key)
         if k is None:
             k = self.ids[key] = len(self.keys)
@@ -146,7 +150,7 @@ class Transducer:
             for b in c.encode():
                 state, change = self._byte(state, b)
                 total += change
-            if len(self.inner) >= 4 * MAX_STATES:
+            if len(self.inner) >= 2 * MAX_STATES:
                 self.inner.clear()
             got = self.inner[key] = (state, total)
         return got
@@ -190,13 +194,13 @@ class Transducer:
                     for x in "'" + seen + c:
                         whole, more = self._char(whole, x)
                         count += more
-                    return ("start",), count - self._so_far(seen)
+                    return START, count - self._so_far(seen)
                 return ("quote", after, seen + c), self._so_far(seen + c) - self._so_far(seen)
             if not seen and kind == "O":
                 state, change = self._char(state, c)
                 return ("O", state), change
             if not seen:
-                return self._move(("start",), c)
+                return self._move(START, c)
             state, count = self._letters(seen)
             key, change = self._move(("L", state), c)
             return key, change
@@ -204,7 +208,7 @@ class Transducer:
         if kind == mode:
             state, change = self._char(state, c)
             return (mode, state), change
-        return self._move(("start",), c)
+        return self._move(START, c)
 
     def _letters(self, seen: str) -> tuple[tuple, int]:
         state, count = self.ROOT, 0
@@ -217,25 +221,46 @@ class Transducer:
         """Count of an apostrophe and the letters after it while no contraction has been made of them."""
         return 1 + self._letters(seen)[1]
 
+    def _forget(self) -> None:
+        """Drop all compiled states; numbers given out before are void."""
+        self.keys.clear()
+        self.ids.clear()
+        self.steps.clear()
+        self.start = self._id(START)
+
     def step(self, state: int, c: str) -> tuple[int, int]:
         got = self.steps[state].get(c)
         if got is None:
             key, change = self._move(self.keys[state], c)
+            if len(self.keys) >= MAX_STATES and key not in self.ids:
+                self._forget()
+                return self._id(key), change
             got = self.steps[state][c] = (self._id(key), change)
         return got
 
-    def run(self, text: str, state: int | None = None) -> tuple[int, int]:
-        """(exit state, count) of text from a state."""
-        state = self.start if state is None else state
+    def run(self, text: str, key: tuple = START) -> tuple[tuple, int]:
+        """(exit state, count) of text from a state; states are told by their keys, which outlast the compiled numbers."""
+        state = self.start if key is START else self._id(key)
         total, steps = 0, self.steps
         for c in text:
             got = steps[state].get(c) or self.step(state, c)
             state, change = got
             total += change
-        return state, total
-
-    def chunk_map(self, text: str, entries: Iterable[int]) -> dict[int, tuple[int, int]]:
-        return {s: self.run(text, s) for s in entries}
+        return self.keys[state], total
+
+    def chunk_map(self, text: str, entries: Iterable[tuple]) -> dict[tuple, tuple[tuple, int]]:
+        """{entry state: (exit state, count)} of a chunk cut anywhere.
+
+        Up to the first white space behind another sign the entry state matters; from there on every piece begins at the start."""
+        cut = BOUNDARY.search(text)
+        if cut is None:
+            return {s: self.run(text, s) for s in entries}
+        head, found, total = text[: cut.start() + 1], PIECES.findall(text, cut.start() + 1), 0
+        last = found.pop()
+        for p, n in zip(found, map(self.pieces.get, found), strict=True):
+            total += self.piece(p) if n is None else n
+        exit_, n = self.run(last)
+        return {s: (exit_, self.run(head, s)[1] + total + n) for s in entries}
 
     @staticmethod
     def compose(first: dict, second: dict) -> dict:
@@ -251,52 +276,25 @@ class Transducer:
         return maps
 
     def piece(self, text: str) -> int:
-        """Count of a piece that begins and ends where white space begins, or with the text."""
-        if len(self.keys) < MAX_STATES:
-            n = self.run(text)[1]
-        else:
-            n, state, steps = 0, self.start, self.steps
-            for c in text:
-                got = steps[state].get(c)
-                if got is None:
-                    n = self.direct(text)
-                    break
-                state, change = got
-                n += change
+        """Count of a piece that begins and ends where white space begins, or with the text: a transition from start to start."""
+        n = self.run(text)[1]
         if len(text) <= 48 and len(self.pieces) < MAX_PIECES:
             self.pieces[text] = n
         return n
 
-    def direct(self, text: str) -> int:
-        """The count of text from the start, by the recurrence that the states stand for."""
-        tokens, heads, beside, total = self.bpe.tokens, self.bpe.heads, self.bpe.beside, 0
-        for word in self._pre.findall(text):
-            w = word.encode()
-            ends, counts, low = [b""], [0], 0
-            for i in range(1, len(w) + 1):
-                while w[low : i - 1] not in heads:
-                    low += 1
-                for j in range(low, i):
-                    t = w[j:i]
-                    if t in tokens and (j == 0 or beside(ends[j], t)):
-                        ends.append(t)
-                        counts.append(counts[j] + 1)
-                        break
-            total += counts[-1]
-        return total
-
-    def count(self, text: str, block: int = 1 << 16) -> int:
+    def count(self, text: str, chunk: int = CHUNK) -> int:
         special = self.bpe.special
         if any(s in text for s in special):
             parts = re.split("|".join(map(re.escape, special)), text)
-            return len(parts) - 1 + sum(self.count(p, block) for p in parts)
-        found = PIECES.findall(text)
-        maps = []
-        for k in range(0, len(found), block):
-            known = [self.pieces.get(p) for p in found[k : k + block]]
-            n = sum([self.piece(p) if c is None else c for p, c in zip(found[k : k + block], known, strict=True)])
-            maps.append({0: (0, n)})
-        return self.scan(maps)[-1][0][1] if maps else 0
+            return len(parts) - 1 + sum(self.count(p, chunk) for p in parts)
+        maps: list[dict] = []
+        for k in range(0, len(text), chunk):
+            # a chunk can be entered in the start, or in what the one before may leave behind
+            entries = {e for e, _ in maps[-1].values()} if maps else {START}
+            if maps and len(entries) == 1:
+                entries.add(START)
+            maps.append(self.chunk_map(text[k : k + chunk], entries))
+        return self.scan(maps)[-1][START][1] if maps else 0
 
 
 _BUILT: dict[str, Transducer] = {}
