@@ -3,7 +3,8 @@ follow-the-regularised-leader with elastic-net penalties, then temperature calib
 
 N-grams of one to three lower-cased characters (all that is no letter counts as a blank) are hashed to ``BUCKETS`` features.
 Document frequencies are counted over all training documents. The regression is fitted on a bounded sample: about
-``per_language`` labelled documents of each language, picked by a hash of the id; a fifth of it sets the temperature. Weights of
+``per_language`` labelled texts of each language, picked by a hash of the text, each text once however often it occurs under
+whatever ids; a fifth of it sets the temperature. Weights of
 a feature stay at nought until its gradients pass the L1 penalty, so the model is sparse. Every text is read whole, in blocks.
 
 Null text and text without a letter is ``und``, with score 1; where nothing could be learned every text is ``und``, with score 0.
@@ -12,21 +13,23 @@ Rows are independent of each other, so ties and repeated rows need no rule. Othe
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_column, materialize, table
+from .common import discard, fold_column, materialize, own_job, table
 
 BITS = 15
 BUCKETS = 1 << BITS
 BLOCK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+#: Languages that can be learned; more are an error, since the sample and the weights grow with their number.
+MAX_LANGS = 1000
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 _ODD = np.uint32(2654435761)
 
@@ -132,21 +135,27 @@ def train(docs: DataFrame, training: Column, per_language: int = 400) -> LangMod
         if n:
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(BUCKETS + 1), pa.int64()), "n": pa.array(np.r_[total, n], pa.int64())})
 
-    found = learn.select("text").mapInArrow(df, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    with own_job(spark):
+        found = learn.select("text").mapInArrow(df, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(BUCKETS + 1)
     counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1
 
     per = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = materialize(per.select("lang", (F.lit(float(per_language) * (1 << 20)) / F.col("n")).alias("share")), "lang-shares")
-    picked = learn.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")).select("doc_id", "lang", "text")
+    if share.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    picked = learn.join(F.broadcast(share), "lang").withColumn("key", F.xxhash64("text")).where(F.pmod("key", F.lit(1 << 20)) < F.col("share"))
+    picked = picked.select("lang", "key", "text").dropDuplicates(["lang", "key"])
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(gram_counts(t), idf) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([a.astype(np.uint16 if BITS <= 16 else np.uint32).tobytes() for a, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["doc_id", "lang", "at", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([a.astype(np.uint16 if BITS <= 16 else np.uint32).tobytes() for a, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary())], ["key", "lang", "at", "x"])
 
-    got = sorted(picked.mapInArrow(sample, "doc_id long, lang string, at binary, x binary").collect(), key=lambda r: (r.doc_id if r.doc_id is not None else -1, r.lang, r.x))
+    with own_job(spark):
+        got = sorted(picked.mapInArrow(sample, "key long, lang string, at binary, x binary").collect(), key=lambda r: (r.key, r.lang))
+    discard(share)
     langs = sorted({r.lang for r in got})
     rows = [(np.frombuffer(r.at, np.uint16 if BITS <= 16 else np.uint32).astype(np.int64), np.frombuffer(r.x, np.float32), langs.index(r.lang)) for r in got]
     fit, rest = [r for k, r in enumerate(rows) if k % 5], rows[::5]
