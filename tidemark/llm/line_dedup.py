@@ -6,7 +6,7 @@ key, so a line that a third of all documents share costs one row per task. Each
 only the rest are looked up in the shard's exact table, and what the filters let through is always settled by exact counts.
 
 Null text is an empty text, an empty text is one empty line, and keys shorter than ``min_chars`` never drop. Repeated lines of
-a document count once. Rows whose doc_id is null or repeated are each treated as a document of their own.
+a document count once. Every row is a document of its own, also those whose doc_id is null or repeated.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, materialize, table, utf8
+from .common import BROADCAST_LIMIT, TEXT_ROWS, discard, materialize, table, utf8
 from .cuckoo import CuckooFilter
 
 STRIP = b" \t\n\x0b\x0c\r"
@@ -66,13 +67,34 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineStore:
-    """Reference counts of line keys. ``counts``: (shard, h1, h2, n); ``filters``: (shard, blob). Both are tables in the
-    shared folder, rewritten by insert() and delete(); a store is a value, so earlier versions remain readable."""
+    """Reference counts of line keys: (shard, h1, h2, n), and a filter for each shard: (shard, blob).
 
-    def __init__(self, spark: SparkSession, shards: int, min_chars: int, counts: DataFrame | None = None, filters: DataFrame | None = None):
+    insert() and delete() write the shards that they touch to a new table in the shared folder; other shards stay where they are. A store is
+    a value, so earlier versions remain readable. Tables are brought together when there are more than ``TABLES`` of them, and
+    the shards doubled when they hold over ``2 * KEYS_PER_SHARD`` keys on average, so a shard always fits a task."""
+
+    TABLES = 8
+
+    def __init__(self, spark: SparkSession, shards: int, min_chars: int, tables: tuple[tuple[DataFrame, frozenset[int]], ...] = ()):
         self.spark, self.shards, self.min_chars = spark, shards, min_chars
-        self.counts = counts if counts is not None else spark.createDataFrame([], "shard int, h1 long, h2 long, n long")
-        self.filters = filters if filters is not None else spark.createDataFrame([], "shard int, blob binary")
+        self.tables = tables  # with the shards that later tables replace
+
+    def _rows(self) -> DataFrame:
+        out = self.spark.createDataFrame([], _STORE)
+        for t, stale in self.tables:
+            if stale:
+                gone = self.spark.createDataFrame(pd.DataFrame({"shard": sorted(stale)}), "shard int")
+                t = t.join(F.broadcast(gone), "shard", "left_anti")
+            out = out.unionByName(t)
+        return out
+
+    @property
+    def counts(self) -> DataFrame:
+        return self._rows().where("kind = 0").select("shard", "h1", "h2", "n")
+
+    @property
+    def filters(self) -> DataFrame:
+        return self._rows().where("kind = 2").select("shard", "blob")
 
     def insert(self, docs: DataFrame) -> LineStore:
         return self._apply(docs, 1)
@@ -84,19 +106,40 @@ class LineStore:
     def _apply(self, docs: DataFrame, sign: int) -> LineStore:
         change = document_keys(docs, self.min_chars).groupBy("h1", "h2").agg((F.sum("n") * sign).alias("n"))
         shard = F.pmod(F.col("h1"), F.lit(self.shards)).cast("int")
-        rows = (
-            self.counts.select("shard", F.lit(0).alias("kind"), "h1", "h2", "n", F.lit(None).cast("binary").alias("blob"))
-            .unionByName(change.select(shard.alias("shard"), F.lit(1).alias("kind"), "h1", "h2", "n", F.lit(None).cast("binary").alias("blob")))
-            .unionByName(self.filters.select("shard", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("n"), "blob"))
-        )
-        schema = "shard int, kind int, h1 long, h2 long, n long, blob binary"
-        out = materialize(rows.groupBy("shard").applyInArrow(_merge_shard, schema), "line-store")
-        return LineStore(self.spark, self.shards, self.min_chars, out.where("kind = 0").select("shard", "h1", "h2", "n"), out.where("kind = 2").select("shard", "blob"))
+        change = change.select(shard.alias("shard"), F.lit(1).alias("kind"), "h1", "h2", "n", F.lit(None).cast("binary").alias("blob"))
+        before = self._rows()
+        if self.tables:
+            change = materialize(change, "line-changes", TEXT_ROWS)
+            touched = change.select("shard").distinct()
+            before = before.join(F.broadcast(touched), "shard", "left_semi")
+        new = materialize(before.unionByName(change).groupBy("shard").applyInArrow(_merge_shard, _STORE), "line-store", TEXT_ROWS)
+        if not self.tables:
+            return LineStore(self.spark, self.shards, self.min_chars, ((new, frozenset()),))
+        stale = frozenset(r.shard for r in new.select("shard").distinct().collect())
+        discard(change)
+        old = tuple((t, gone | stale) for t, gone in self.tables if len(gone | stale) < self.shards)
+        return LineStore(self.spark, self.shards, self.min_chars, (*old, (new, frozenset())))._tidied()
+
+    def _tidied(self) -> LineStore:
+        shards = self.shards
+        keys = self.counts.count()
+        while keys > 2 * KEYS_PER_SHARD * shards:
+            shards *= 2
+        if shards == self.shards and len(self.tables) <= self.TABLES:
+            return self
+        shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int")
+        rows = self._rows().where("kind = 0").withColumn("shard", shard) if shards > self.shards else self._rows()
+        out = materialize(rows.groupBy("shard").applyInArrow(_merge_shard, _STORE), "line-store")
+        return LineStore(self.spark, shards, self.min_chars, ((out, frozenset()),))
 
     def frequent(self, min_docs: int) -> DataFrame:
         return self.counts.where(F.col("n") >= min_docs).select("h1", "h2")
 
 
+#: Rows of a store: keys with their counts (kind 0), changes (1) and the shard's filter (2).
+_STORE = "shard int, kind int, h1 long, h2 long, n long, blob binary"
+
+
 def _merge_shard(group: pa.Table) -> pa.Table:
     """Apply a shard's changes: keys that its filter has not seen are appended; the others meet the exact table."""
     kind = group["kind"].to_numpy()
@@ -143,19 +186,28 @@ def _frequent_filters(frequent: DataFrame, shards: int) -> DataFrame:
     return frequent.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "shard int, blob binary")
 
 
-def _exact(digests: set[bytes], filters: dict[int, CuckooFilter], shards: int, exact: set[tuple[int, int]]) -> set[bytes]:
-    """Those of the digests that are frequent: let through by their shard's filter, then found in the exact list."""
+def _exact(digests: set[bytes], filters: dict[int, CuckooFilter], shards: int, exact: np.ndarray) -> set[bytes]:
+    """Those of the digests that are frequent: let through by their shard's filter, then found in the sorted exact list."""
     all_, out = list(digests), set()
-    if all_:
+    if all_ and len(exact):
         h = _halves(all_)
         shard = h[:, 0] % shards
+        keys = np.frombuffer(b"".join(all_), "S16")
         for s in np.unique(shard).tolist():
             if s in filters:
                 at = np.flatnonzero(shard == s)
-                out.update(all_[i] for i in at[filters[s].contains(h[at, 0])] if tuple(h[i].tolist()) in exact)
+                at = at[filters[s].contains(h[at, 0])]
+                found = np.minimum(np.searchsorted(exact, keys[at]), len(exact) - 1)
+                out.update(all_[i] for i in at[exact[found] == keys[at]].tolist())
     return out
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def drop_frequent_lines(docs: DataFrame, store: LineStore, min_docs: int) -> DataFrame:
     """docs with the columns ``n_lines``, ``n_dropped`` and the new ``text``. Other columns, whatever their names, are kept,
     but for columns of these names, which are replaced."""
@@ -166,14 +218,15 @@ def drop_frequent_lines(docs: DataFrame, store: LineStore, min_docs: int) -> Dat
     min_chars, shards = store.min_chars, store.shards
     blobs: dict[int, bytes] | None = None
     exact: np.ndarray | None = None
-    if n * 24 <= BROADCAST_LIMIT:  # 2.4 bytes a key at worst in the filters, 16 in the exact list
+    row, marks = _unused(docs, "row"), _unused(docs, "drops")
+    if n * 24 <= BROADCAST_LIMIT:  # 2.4 bytes a key at worst in the filters, 16 in the exact list, here and in the tasks
         blobs = {r.shard: bytes(r.blob) for r in _frequent_filters(frequent, shards).collect()}
         got = frequent.toArrow()
-        exact = np.stack([got["h1"].to_numpy(), got["h2"].to_numpy()], 1) if n else np.zeros((0, 2), np.int64)
+        exact = np.sort(np.stack([got["h1"].to_numpy(), got["h2"].to_numpy()], 1).astype(">i8").view("S16")[:, 0]) if n else np.zeros(0, "S16")
         hits = docs
     else:  # too many to send to every task: the keys of each document meet the exact table in a join
-        docs = docs.withColumn("_row", F.monotonically_increasing_id())
-        docs = materialize(docs, "line-docs")
+        docs = docs.withColumn(row, F.monotonically_increasing_id())
+        docs = materialize(docs, "line-docs", TEXT_ROWS)
 
         def keys(batches):
             for batch in batches:
@@ -183,12 +236,12 @@ def drop_frequent_lines(docs: DataFrame, store: LineStore, min_docs: int) -> Dat
                     rows += [row] * len(ds)
                     digests += ds
                 if rows:
-                    yield _table_of(_halves(digests), _row=pa.array(rows, pa.int64()))
+                    yield _table_of(_halves(digests), doc=pa.array(rows, pa.int64()))
 
-        marked = docs.select("_row", "text").mapInArrow(keys, "h1 long, h2 long, _row long").join(frequent, ["h1", "h2"], "left_semi")
-        marked = marked.groupBy("_row").agg(F.collect_list(F.struct("h1", "h2")).alias("_drops"))
-        hits = docs.join(marked, "_row", "left")
-    sent = spark.sparkContext.broadcast((blobs, None if exact is None else set(map(tuple, exact.tolist()))))
+        marked = docs.select(row, "text").mapInArrow(keys, "h1 long, h2 long, doc long").join(frequent, ["h1", "h2"], "left_semi")
+        marked = marked.groupBy(F.col("doc").alias(row)).agg(F.collect_list(F.struct("h1", "h2")).alias(marks))
+        hits = docs.join(marked, row, "left")
+    sent = spark.sparkContext.broadcast((blobs, exact))
     joined = blobs is None
     schema = hits.select(*own).schema
     names = [*own, "text", "n_lines", "n_dropped"]
@@ -213,7 +266,7 @@ def drop_frequent_lines(docs: DataFrame, store: LineStore, min_docs: int) -> Dat
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     out_schema = schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
-    return hits.select(*own, "text", *(["_drops"] if joined else [])).mapInArrow(run, out_schema)
+    return hits.select(*own, "text", *([marks] if joined else [])).mapInArrow(run, out_schema)
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, shards: int | None = None) -> DataFrame:
@@ -234,11 +287,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP5_SQL = f"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, t.i AS i, ls[t.i] AS line FROM split, unnest(range(1, len(ls) + 1)) AS t(i)),
-keyed AS (SELECT doc_id, i, line, {_KEY} AS k FROM lines),
-frequent AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+WITH split AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT row, doc_id, t.i AS i, ls[t.i] AS line FROM split, unnest(range(1, len(ls) + 1)) AS t(i)),
+keyed AS (SELECT row, doc_id, i, line, {_KEY} AS k FROM lines),
+frequent AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT row) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
-FROM keyed LEFT JOIN frequent f ON keyed.k = f.k GROUP BY doc_id
+FROM keyed LEFT JOIN frequent f ON keyed.k = f.k GROUP BY row, doc_id
 """
