@@ -1,6 +1,6 @@
 r"""Benchmark decontamination: rare n-gram seeds join training passages to test items, Smith-Waterman alignment scores them.
 
-Words are runs of letters, digits and underscores of the lower-cased text. A first pass over all documents counts in how many
+Words are runs of letters, digits and underscores of the lower-cased text, and single characters of scripts written without blanks. A first pass over all documents counts in how many
 of them each pair of neighbouring words of the test items stands. Seeds of an item are its rare pairs and, in every window of
 ``WINDOW`` pairs, the rarest one, however common, so each stretch of an item has a seed and a passage that a third of all documents
 quote is found like any other. In the second pass a document's seed hits are gathered by item and by where the item would start;
@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_LIMIT, table
 
-WORD = re.compile(r"\w+")
+#: Characters of scripts that are written without blanks (kana, Han, Thai, Lao, Burmese, Khmer): each is a word. Fixed values.
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
+WORD, ONE = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]")
+MIXED = re.compile(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])\w)+")
+#: Cells of an alignment's rows that a task holds at once.
+CELLS = 1 << 19
 WINDOW = 4
 #: A pair is rare if at most this share of the documents, or ``RARE_DOCS`` of them, hold it.
 RARE_SHARE, RARE_DOCS = 1e-4, 3
@@ -34,7 +39,8 @@ _LEAK = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "score", "match
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (WORD if text.isascii() or not ONE.search(text) else MIXED).findall(text)
 
 
 class Items:
@@ -112,37 +118,34 @@ class Items:
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
     """Smith-Waterman of each a (item) with each b (passage): (score, matched words, start, end in b), all pairs at once.
 
-    Among equal scores the alignment that ends first in the item, then first in the passage, is taken."""
+    Two rows are held, with each cell's start and number of matches; steps are preferred in the order match or mismatch, word of
+    the item left out, word of the passage left out. Among equal scores the alignment that ends first in the item, then first in the passage, is taken."""
     if not a:
         return []
     n, m, k = max(map(len, a)), max(map(len, b)), len(a)
     A, B = np.full((k, n), -2, np.int64), np.full((k, m), -3, np.int64)
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         A[i, : len(x)], B[i, : len(y)] = x, np.where(y < 0, -3, y)
-    ramp = -GAP * np.arange(m + 1)
-    H = np.zeros((n + 1, k, m + 1), np.int32)
+    place = np.arange(m + 1, dtype=np.int32)
+    ramp, rows = -GAP * place, np.arange(k)
+    score, start, matched = np.zeros((k, m + 1), np.int32), np.tile(place, (k, 1)), np.zeros((k, m + 1), np.int32)
+    best = np.zeros((k, 4), np.int64)  # score, matched, start, end
     for i in range(n):
-        step = np.where(A[:, i, None] == B, MATCH, MISMATCH)
-        h = np.maximum(H[i] + GAP, 0)
-        h[:, 1:] = np.maximum(h[:, 1:], H[i, :, :-1] + step)
-        H[i + 1] = np.maximum.accumulate(h + ramp, axis=1) - ramp
-    flat = H.transpose(1, 0, 2).reshape(k, -1)
-    best = flat.argmax(1)
-    out = []
-    for c in range(k):
-        i, j = divmod(int(best[c]), m + 1)
-        score, end, matched = int(flat[c, best[c]]), j, 0
-        while H[i, c, j] > 0:
-            same = A[c, i - 1] == B[c, j - 1]
-            if H[i, c, j] == H[i - 1, c, j - 1] + (MATCH if same else MISMATCH):
-                matched += bool(same)
-                i, j = i - 1, j - 1
-            elif H[i, c, j] == H[i - 1, c, j] + GAP:
-                i -= 1
-            else:
-                j -= 1
-        out.append((score, matched, j, end))
-    return out
+        same = A[:, i, None] == B
+        h, s, t = score + GAP, start.copy(), matched.copy()
+        across = score[:, :-1] + np.where(same, np.int32(MATCH), np.int32(MISMATCH))
+        take = across >= h[:, 1:]
+        h[:, 1:], s[:, 1:], t[:, 1:] = np.where(take, across, h[:, 1:]), np.where(take, start[:, :-1], s[:, 1:]), np.where(take, matched[:, :-1] + same, t[:, 1:])
+        none = h <= 0
+        h, s, t = np.where(none, 0, h), np.where(none, place, s), np.where(none, 0, t)
+        score = np.maximum.accumulate(h + ramp, axis=1) - ramp
+        source = np.maximum.accumulate(np.where(score == h, place, 0), axis=1)
+        start, matched = np.take_along_axis(s, source, 1), np.take_along_axis(t, source, 1)
+        end = score.argmax(1)
+        now = score[rows, end]
+        better = np.flatnonzero(now > best[:, 0])
+        best[better] = np.stack([now, matched[rows, end], start[rows, end], end], 1)[better]
+    return [tuple(x) for x in best.tolist()]
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -199,8 +202,14 @@ def _search(items: Items, texts: list, min_share: float, min_matched: int, at_on
 
     def settle() -> None:
         open_.sort(key=lambda x: len(x[3]))  # alike lengths together
-        for k in range(0, len(open_), at_once):
-            part = open_[k : k + at_once]
+        k = 0
+        while k < len(open_):
+            # alignments are as wide as their longest passage, so long ones are taken fewer at a time
+            n = at_once
+            while n > 1 and n * len(open_[min(k + n, len(open_)) - 1][3]) > CELLS:
+                n //= 2
+            part = open_[k : k + n]
+            k += n
             for (doc, item, start, _), (score, matched, s, e) in zip(part, align([items.items[x[1]] for x in part], [x[3] for x in part]), strict=True):
                 size = len(items.items[item])
                 if score >= min_share * MATCH * size and matched >= min(min_matched, size):
