@@ -1,10 +1,13 @@
 """Harmonic packing: pieces in reciprocal-capacity classes, each class's bins filled with a fixed number of pieces.
 
-A class k holds pieces of length capacity // k, and a bin of class k holds k of them. With the classes 1, 2, 4, ..., capacity
-every document is cut into whole bins and, for the rest, at most one piece of each smaller power of two, so a filled bin has no
-padding. Each task fills its own bins and needs nothing of other tasks; at its end an open bin with m pieces becomes one
-sequence for each power of two in m, whose length is a power of two and is not padded either. No shuffle is made, a task holds
-one batch and fewer than two sequences' worth of open pieces a class, and a repeated task gives the same rows.
+Class k holds the pieces of over capacity / (k + 1) and up to capacity / k tokens, and a bin of class k holds k of them. Whole bins
+are cut off a document first. What is left goes into its class whole if k such pieces fill a bin but for one in ``SLACK`` of it;
+else a piece of capacity / (k + 1) tokens, of which k + 1 fill a bin, is cut off, and what is left then is dealt with alike. So a document is cut into two or
+three pieces beyond its whole bins, and a bin's padding is below one in SLACK.
+
+Each task fills its own bins and needs nothing of other tasks. At its end the pieces of open bins are laid one behind the other
+into sequences, cut where one is full, and the last sequence is cut into powers of two, which need no padding. No shuffle is made, a task holds
+one batch and less than a sequence's worth of open pieces a class, and a repeated task gives the same rows.
 
 Null text is an empty text: a document of the end id alone. Equal rows are packed as often as they stand there.
 """
@@ -21,12 +24,20 @@ from .common import table, utf8
 from .wordids import CACHE_WORDS, word_ids
 
 
-def cut(length: int, classes: list[int]) -> list[int]:
-    """Lengths of the pieces of a document, longest first. classes: piece lengths, falling, the last 1."""
-    out = []
-    for size in classes:
-        k, length = divmod(length, size)
-        out += [size] * k
+#: A bin may be padded by less than one in SLACK of its capacity.
+SLACK = 64
+
+
+def cut(length: int, capacity: int) -> list[tuple[int, int]]:
+    """(piece length, class) of a document's pieces, in order."""
+    out = [(capacity, 1)] * (length // capacity)
+    rest = length % capacity
+    while rest:
+        k = capacity // rest
+        waste = capacity - k * rest
+        size, k = (rest, k) if waste * SLACK < capacity or waste <= capacity % (k + 1) else (capacity // (k + 1), k + 1)
+        out.append((size, k))
+        rest -= size
     return out
 
 
@@ -44,11 +55,8 @@ class _Packer:
     """Open bins of one task. Sequence ids: task number << 36, then a running number."""
 
     def __init__(self, capacity: int, task: int):
-        if capacity & (capacity - 1):
-            raise ValueError("capacity must be a power of two")
         self.capacity, self.next = capacity, task << 36
-        self.classes = [capacity >> k for k in range(capacity.bit_length())]
-        self.open: dict[int, list] = {size: [] for size in self.classes}
+        self.open: dict[int, list] = {}
 
     def _emit(self, pieces: list) -> list:
         out, at = [], 0
@@ -60,26 +68,35 @@ class _Packer:
 
     def add(self, doc, ids: bytes) -> list:
         out, start, total = [], 0, len(ids) // 4
-        for size in cut(total, self.classes):
-            bin_ = self.open[size]
+        for size, k in cut(total, self.capacity):
+            bin_ = self.open.setdefault(k, [])
             bin_.append((doc, start, size, ids[4 * start : 4 * (start + size)], total))
-            if len(bin_) == self.capacity // size:
+            if len(bin_) == k:
                 out += self._emit(bin_)
-                self.open[size] = []
+                del self.open[k]
             start += size
         return out
 
     def close(self) -> list:
-        out = []
-        for size, bin_ in self.open.items():
-            at, part = 0, self.capacity // size
-            while at < len(bin_):
-                while part > len(bin_) - at:
-                    part //= 2
-                out += self._emit(bin_[at : at + part])
-                at += part
+        rest = [piece for _, bin_ in sorted(self.open.items()) for piece in bin_]
+        self.open, out, now = {}, [], []
+        size = sum(n for _, _, n, _, _ in rest)
+        goal = self._whole(size)
+        for doc, start, n, ids, total in rest:
+            at = 0
+            while at < n:
+                part = min(n - at, goal)
+                now.append((doc, start + at, part, ids[4 * at : 4 * (at + part)], total))
+                at, goal, size = at + part, goal - part, size - part
+                if not goal:
+                    out += self._emit(now)
+                    now, goal = [], self._whole(size)
         return out
 
+    def _whole(self, size: int) -> int:
+        """Length of the next sequence when ``size`` tokens are left: a full one, or the greatest power of two."""
+        return self.capacity if size >= self.capacity else 1 << (size.bit_length() - 1) if size else 0
+
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
