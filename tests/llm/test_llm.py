@@ -149,6 +149,13 @@ def test_chat_round_trip_and_machine(spark):
     assert chat.read_chats(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_segments_are_read_in_any_order(spark, sf):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    segments = chat.format_chats(rows)
+    want = {r.conv_id: r.turns_sha256 for r in chat.read_chats(segments, ordered=True).collect()}
+    assert {r.conv_id: r.turns_sha256 for r in chat.read_chats(segments.orderBy(F.xxhash64("text"))).collect()} == want
+
+
 # 3 suffix arrays
 
 
@@ -292,6 +299,29 @@ def test_store_is_reversible(spark):
     assert counts(store.delete(one)) == []
 
 
+def test_store_touches_few_shards_and_grows(spark, monkeypatch):
+    counts = lambda s: sorted((r.h1, r.h2, r.n) for r in s.counts.collect())
+    store = line_dedup.LineStore(spark, 50, 1).insert(frame(spark, ["\n".join(f"l{k}" for k in range(60))]))
+    more = store.insert(frame(spark, ["l1\nnew"]))
+    assert [len(gone) for _, gone in more.tables] == [2, 0]
+    whole = line_dedup.LineStore(spark, 1, 1).insert(frame(spark, ["\n".join(f"l{k}" for k in range(60)), "l1\nnew"]))
+    assert counts(more) == counts(whole)
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 8)
+    grown = whole.insert(frame(spark, ["l2"]))
+    assert grown.shards == 4 and len(grown.tables) == 1
+    assert counts(grown.delete(frame(spark, ["l2"]))) == counts(whole)
+    monkeypatch.setattr(line_dedup.LineStore, "TABLES", 1)
+    assert len(more.insert(frame(spark, ["l3"])).tables) == 1
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1])
+def test_line_dedup_leaves_columns_alone(spark, limit, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LIMIT", limit)
+    df = spark.createDataFrame([(k % 3, "x\ny" if k < 10 else "y", "r", 5, True) for k in range(12)], "doc_id long, text string, row string, drops long, _row boolean")
+    got = line_dedup.line_dedup(df, min_docs=10).collect()
+    assert {(r.text, r.row, r.drops, r._row) for r in got} == {("", "r", 5, True)} and len(got) == 12  # equal doc_ids are documents of their own
+
+
 def test_cuckoo_filter():
     h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 60_000)
     c = CuckooFilter.build(h[:20_000])
@@ -324,7 +354,23 @@ def test_packing(spark, odd):
             assert offset == at
             at += length
         assert at <= 256
-        assert at & (at - 1) == 0  # no padding at all
+
+
+def test_packing_pads_and_cuts_little(docs):
+    lengths = [(k, len(t or "") // 3 + 1) for k, t in enumerate(docs.text)] + [(1000 + k, n) for k, n in enumerate([1, 2047, 2048, 2049, 4096, 100_000])]
+    rows = packing.pack_lengths(lengths, 2048)
+    size, pieces = Counter(), Counter(d for d, *_ in rows)
+    for _, _, n, q, at in sorted(rows, key=lambda r: (r[3], r[4])):
+        assert at == size[q]
+        size[q] += n
+    padding = sum(2048 - n for n in size.values() if n & (n - 1))
+    assert max(size.values()) <= 2048 and sum(size.values()) == sum(n for _, n in lengths)
+    assert padding < 0.015 * sum(size.values())
+    cuts = [pieces[k] - n // 2048 for k, n in lengths]
+    assert sum(cuts) / len(cuts) < 3.2
+    for length in range(1, 5000):
+        parts = packing.cut(length, 2048)
+        assert sum(n for n, _ in parts) == length and all(n * k <= 2048 for n, k in parts)
 
 
 def test_word_ids_equal_the_library():
@@ -348,6 +394,36 @@ def sw(a, b):
     return max(map(max, h))
 
 
+def test_words_of_scripts_without_blanks():
+    assert decontaminate.words("Ab c_1 漢字かな, สวย é") == ["ab", "c_1", "漢", "字", "か", "な", "ส", "ว", "ย", "é"]
+    assert decontaminate.words(None) == []
+
+
+def traced(a, b):
+    """(score, matched, start, end) by a whole table and a walk back through it."""
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    i, j = map(int, np.unravel_index(h.argmax(), h.shape))
+    score, end, matched = int(h[i, j]), j, 0
+    while h[i, j] > 0:
+        same = a[i - 1] == b[j - 1]
+        if h[i, j] == h[i - 1, j - 1] + (2 if same else -1):
+            matched, i, j = matched + bool(same), i - 1, j - 1
+        elif h[i, j] == h[i - 1, j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return score, matched, (j if score else 0), (end if score else 0)
+
+
+def test_alignment_places():
+    rng = random.Random(4)
+    a, b = ([np.array([rng.randint(0, 4) for _ in range(rng.randint(1, 14))]) for _ in range(300)] for _ in range(2))
+    assert decontaminate.align(a, b) == [traced(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def test_alignment():
     rng = random.Random(1)
     a, b = ([np.array([rng.randint(0, 5) for _ in range(rng.randint(1, 12))]) for _ in range(150)] for _ in range(2))
@@ -389,6 +465,14 @@ def test_language(spark, sf, docs, odd):
     assert (langid.train(odd.limit(0), F.lit(True))).langs == []
 
 
+def test_signs_without_letters_and_repeated_texts(spark):
+    model = langid.LangModel(["a"], np.zeros((langid.BUCKETS, 1), np.float32), np.ones(langid.BUCKETS), 1.0)
+    assert [model.predict(t)[0] for t in ("²½ 12_", "ª", "漢", "é", "")] == ["und", "a", "a", "a", "und"]
+    rows = [(None, "the same text", "a")] * 3000 + [(1, f"text number {k}", "b") for k in range(500)]
+    got = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=50)
+    assert got.langs in (["a", "b"], ["b"])  # one distinct text of a language may not be picked
+
+
 def test_penalties_make_weights_sparse():
     rng = np.random.default_rng(0)
     rows = [(np.array([k % 2, 10 + int(rng.integers(0, 500))]), np.array([1.0, 0.3], np.float32), k % 2) for k in range(300)]
