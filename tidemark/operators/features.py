@@ -52,6 +52,11 @@ def fspl_total(amp: Column, ref: float = SPL_REF) -> Column:
     return 10.0 * F.log10(F.greatest(F.lit(1.0), total(F.transform(amp, lambda a: (a / ref) * (a / ref)))))
 
 
+def fsplc(frq: Column, amp: Column, ref: float = SPL_REF) -> Column:
+    """C-weighted level of each bin."""
+    return fspl(F.zip_with(frq, amp, lambda f, a: c_weighting(f) * a), ref)
+
+
 def fsplc_total(frq: Column, amp: Column, ref: float = SPL_REF) -> Column:
     return fspl_total(F.zip_with(frq, amp, lambda f, a: c_weighting(f) * a), ref)
 

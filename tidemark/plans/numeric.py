@@ -129,6 +129,10 @@ def log_attack_time(s, d):
     return X.log_attack_time(A.sig_vec(s, d), FPS).select("series_id", r6("lat").alias("lat"))
 
 
+def fsplc_bins(s, d):
+    return _bins(spectra(s, d), X.fsplc(F.col("frq"), F.col("amp")), "l")
+
+
 def bandpass(s, d):
     return _bins(S.bandpass_filter(A.sig_vec(s, d), 64.0, 4.0, 12.0), F.col("data"), "x")
 
@@ -140,6 +144,18 @@ _CB = f"{SPEC}, {_BANK}, cb AS (SELECT s.series_id, z.z, coalesce(sum(b.w * spec
 _SL = "pow(10 * log10(greatest(v, 1e-11::DOUBLE) / 1e-11::DOUBLE), 0.23::DOUBLE)"
 _STFT = f"WITH {seg_cte(16, 8, True, True)}, {spec_cte('seg', 'series_id, seg', 16, 16, 'hamming')}"
 
+def _recursion(b, a) -> str:
+    """The filter as a difference equation over a segment's samples, outside of which all is nought."""
+    past = " + ".join([f"{v!r}::DOUBLE * coalesce(CASE WHEN i >= {k} THEN x[i + 1 - {k}] END, 0)" if k else f"{v!r}::DOUBLE * x[i + 1]" for k, v in enumerate(b)])
+    fed = " ".join(f"- ({v!r}::DOUBLE) * coalesce(CASE WHEN i >= {k} THEN y[i + 1 - {k}] END, 0)" for k, v in enumerate(a) if k)
+    return f"""WITH RECURSIVE v AS (SELECT vec_id AS series_id, embedding::DOUBLE[] AS x FROM embeddings),
+f(series_id, x, i, y) AS (SELECT series_id, x, 0, []::DOUBLE[] FROM v UNION ALL
+  SELECT series_id, x, i + 1, list_append(y, ({past}) {fed}) FROM f WHERE i < 64)
+SELECT series_id, k.k, round(y[k.k + 1], 6) + 0.0 AS x FROM f, range(0, 64) AS k(k) WHERE i = 64"""
+
+
+_BANDPASS = _recursion(*(c.tolist() for c in S.butter_bandpass(64.0, 4.0, 12.0)))
+
 QUERIES = {
     "dft_magnitude": _magnitude("rect", 64),
     "dft_hamming": _magnitude("hamming", 64),
@@ -188,6 +204,14 @@ l AS (SELECT x.series_id, y.k - x.k AS lag, CASE WHEN y.k = x.k THEN 0 ELSE sum(
 m AS (SELECT series_id, lag, coalesce(r / nullif(max(r) OVER (PARTITION BY series_id), 0), 0) AS r FROM l)
 SELECT series_id, round(coalesce(sum(r * lag / (33 / exp(1)) * exp(-lag / 33.0::DOUBLE)) / nullif(count(*) FILTER (r > 0.2), 0), 0), 6) + 0.0 AS roughness FROM m GROUP BY series_id""",
     ),
-    "log_attack_time": (log_attack_time, None),
-    "bandpass": (bandpass, None),
+    "log_attack_time": (
+        log_attack_time,  # the analytic signal: bins above nought count twice, the middle one once
+        f"""WITH {VEC}, ft AS (SELECT series_id, k, sum(x * cos(2 * pi() * k * j / 64)) * w AS re, -sum(x * sin(2 * pi() * k * j / 64)) * w AS im
+  FROM vec CROSS JOIN (SELECT k, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS w FROM range(0, 33) AS k(k)) GROUP BY series_id, k, w),
+env AS (SELECT series_id, j, sqrt(pow(sum(re * cos(2 * pi() * k * j / 64) - im * sin(2 * pi() * k * j / 64)), 2) + pow(sum(re * sin(2 * pi() * k * j / 64) + im * cos(2 * pi() * k * j / 64)), 2)) AS e FROM ft CROSS JOIN range(0, 64) AS j(j) GROUP BY series_id, j),
+top AS (SELECT series_id, j, row_number() OVER (PARTITION BY series_id ORDER BY round(e, 9) DESC, j) AS r FROM env)
+SELECT series_id, round(CASE WHEN j > 0 THEN ln(j / {FPS}::DOUBLE) ELSE 0 END, 6) + 0.0 AS lat FROM top WHERE r = 1""",
+    ),
+    "bandpass": (bandpass, _BANDPASS),
+    "fsplc_bins": (fsplc_bins, f"{SPEC} SELECT series_id, k, round(10 * log10(greatest(1, pow(148693636.0::DOUBLE * f * f / ((f * f + 148693636.0::DOUBLE) * (f * f + 424.36::DOUBLE)) * a / 2e-5::DOUBLE, 2))), 6) + 0.0 AS l FROM (SELECT series_id, k, k * 500.0::DOUBLE AS f, a FROM spec)"),
 }

@@ -162,7 +162,7 @@ def gamma_uniform(s, d):
 
 def sort_param(s, d):
     o = A.obs(s, d)
-    return o.select("id", F.posexplode(H.sort_param(F.slice("x", 1, 8), F.slice("x", 9, 8))).alias("k", "v")).select("id", F.col("k").cast("long").alias("k"), r6("v").alias("v"))
+    return o.select("id", F.posexplode(H.sort_param(F.slice("x", 1, 32), F.slice("x", 33, 32))).alias("k", "v")).select("id", F.col("k").cast("long").alias("k"), r6("v").alias("v"))
 
 
 def hmm_fit(s, d):
@@ -250,8 +250,13 @@ al AS (SELECT e.series_id, a, b, k.k, coalesce(c, 0) AS c FROM e CROSS JOIN rang
 tp AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY c DESC, k DESC) AS r FROM al)
 SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY k) - 1 AS k, round(a + (k + 0.5) * (b - a) / 10, 6) + 0.0 AS lam FROM tp WHERE r <= 3""",
     ),
-    "sort_param": (sort_param, f"WITH {VEC} SELECT a.series_id AS id, row_number() OVER (PARTITION BY a.series_id ORDER BY a.x, b.x) - 1 AS k, round(b.x, 6) + 0.0 AS v FROM vec a JOIN vec b ON a.series_id = b.series_id AND b.j = a.j + 8 WHERE a.j < 8"),
-    "stationary": (stationary, None),
+    "sort_param": (sort_param, f"WITH {VEC} SELECT a.series_id AS id, row_number() OVER (PARTITION BY a.series_id ORDER BY a.x, b.x) - 1 AS k, round(b.x, 6) + 0.0 AS v FROM vec a JOIN vec b ON a.series_id = b.series_id AND b.j = a.j + 32 WHERE a.j < 32"),
+    "stationary": (
+        stationary,  # the matrix averaged with the identity has the same distribution and settles; it is squared thirty times
+        f"""WITH RECURSIVE {_TPM}, sq(series_id, k, m) AS (SELECT series_id, 0, list((p + CASE WHEN i = j THEN 1 ELSE 0 END) / 2 ORDER BY i, j) FROM tpm GROUP BY series_id
+  UNION ALL SELECT series_id, k + 1, list_transform(range(0, 25), lambda c: list_sum(list_transform(range(0, 5), lambda l: m[c // 5 * 5 + l + 1] * m[l * 5 + c % 5 + 1]))) FROM sq WHERE k < 30)
+SELECT series_id, i.i::INTEGER AS i, round(m[i.i + 1], 6) + 0.0 AS p FROM sq, range(0, 5) AS i(i) WHERE k = 30""",
+    ),
     "hmm_fit": (hmm_fit, None),
     "hmm_score": (hmm_score, None),
     "pca": (pca, None),
