@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,18 +46,19 @@ def noise(spark: SparkSession, level: float, n: int = 9000, seed: int = 0) -> Da
 
 
 def lorenz_attractor(spark: SparkSession, n: int, sigma: float = 10.0, rho: float = 28.0, beta: float = 8 / 3, init: tuple = (0.0, 1.0, 1.05), dt: float = 0.01) -> DataFrame:
-    """frame, x, y, z by Euler steps, row 0 being init. An ordered fold: one row, as long as the trajectory."""
-
-    def step(acc, _):
-        last = F.element_at(acc, -1)
-        nxt = F.struct(
-            (last.x + dt * (sigma * (last.y - last.x))).alias("x"), (last.y + dt * (last.x * (rho - last.z) - last.y)).alias("y"), (last.z + dt * (last.x * last.y - beta * last.z)).alias("z")
-        )
-        return F.concat(acc, F.array(nxt))
-
-    start = F.array(F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("xyz", init, strict=True)]))
-    rows = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), start, step) if n > 1 else start
-    return spark.range(1).select(F.posexplode(rows).alias("frame", "p")).select(F.col("frame").cast("long").alias("frame"), "p.x", "p.y", "p.z")
+    """frame, x, y, z by Euler steps, row 0 being init. An ordered fold: one task makes it, some rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, z = map(float, init)
+        for _ in batches:
+            for k in range(0, n, 65536):
+                rows = np.empty((min(65536, n - k), 3))
+                for i in range(len(rows)):
+                    rows[i] = x, y, z
+                    x, y, z = x + dt * (sigma * (y - x)), y + dt * (x * (rho - z) - y), z + dt * (x * y - beta * z)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(rows))), *(pa.array(rows[:, c].copy()) for c in range(3))], ["frame", "x", "y", "z"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "frame long, x double, y double, z double")
 
 
 def norm_circle(spark: SparkSession, n_classes: int, n_per_class: int, class_std: float, center: tuple = (0.0, 0.0), radius: float = 5.0, seed: int = 0) -> DataFrame:

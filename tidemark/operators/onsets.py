@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import total
+from ..functions.arrays import schema_with
 from ..params import PeakPickingParams, SegmentationParams, StftParams
 from .features import spectral_flux
 from .phase_space import embedding_entropy
@@ -16,34 +17,54 @@ from .segment import segmentation
 from .spectral import stft
 
 
-def peaks(values: Column, params: PeakPickingParams) -> Column:
-    """Flags of an array's peaks. A peak is the greatest of its neighbourhood, exceeds the neighbourhood's mean by delta and isn't
+def peaks(v: np.ndarray, params: PeakPickingParams) -> np.ndarray:
+    """Flags of a series' peaks. A peak is the greatest of its neighbourhood, exceeds the neighbourhood's mean by delta and isn't
     below a decaying threshold. Places before the beginning and after the end repeat the end values."""
-    b, a = params.n_before, params.n_after
+    b, a, alpha = params.n_before, params.n_after, params.alpha
+    if not len(v):
+        return np.zeros(0, bool)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(v, (b, a), "edge"), a + b + 1)
+    top, mean, threshold, g = np.empty(len(v)), np.empty(len(v)), np.empty(len(v)), 0.0
+    for k in range(0, len(v), 65536):
+        top[k : k + 65536], mean[k : k + 65536] = near[k : k + 65536].max(1), near[k : k + 65536].sum(1) / (a + b + 1)
+    for k, x in enumerate(v.tolist()):
+        threshold[k] = g
+        g = max(x, alpha * g + (1 - alpha) * x)
+    return (v >= top) & (v >= mean + params.delta) & (v >= threshold)
 
-    def flags(v: Column) -> Column:
-        last = F.size(v) - 1
-        threshold = F.aggregate(
-            v,
-            F.struct(F.lit(0.0).alias("g"), F.expr("cast(array() as array<double>)").alias("all")),
-            lambda s, x: F.struct(F.greatest(x, params.alpha * s.g + (1 - params.alpha) * x).alias("g"), F.concat(s.all, F.array(s.g)).alias("all")),
-        )
 
-        def one(x: Column, i: Column) -> Column:
-            near = F.transform(F.sequence(i - b, i + a), lambda k: F.get(v, F.least(F.greatest(k, F.lit(0)), last)))
-            return (x >= F.array_max(near)) & (x >= total(near) / float(a + b + 1) + params.delta)
-
-        return F.transform(F.arrays_zip(F.transform(v, one).alias("c"), threshold.all.alias("g"), v.alias("v")), lambda z: z.c & (z.v >= z.g))
+def pick(odf: DataFrame, params: PeakPickingParams) -> DataFrame:
+    """odf (series_id, seg, frame, time, value) with is_peak. The threshold is an ordered fold: a series' values come sorted to one
+    task, which holds one series at a time and works in time proportional to its length."""
+    names = ["series_id", "seg", "frame", "time", "value"]
+    odf = odf.select(*names)
 
-    return F.transform(F.array(values), flags)[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
 
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(open_).combine_chunks()
+            flags = peaks(t["value"].to_numpy(), params)
+            yield from t.append_column("is_peak", pa.array(flags, pa.bool_())).to_batches(max_chunksize=10_000)
 
-def pick(odf: DataFrame, params: PeakPickingParams) -> DataFrame:
-    """odf (series_id, seg, frame, time, value) with is_peak. The threshold is an ordered fold, so a series' values are one row."""
-    packed = odf.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("seg", "frame", "time", "value"))).alias("rows"))
-    values = F.transform("rows", lambda r: r.value)
-    found = packed.select("series_id", "rows", peaks(values, params).alias("flags"))
-    return found.select("series_id", F.posexplode("rows").alias("at", "r"), "flags").select("series_id", "r.*", F.get("flags", F.col("at")).alias("is_peak"))
+        last = None
+        for batch in batches:
+            series, low = batch.column(0).to_pylist(), 0
+            for k in range(len(series)):
+                if open_ and series[k] != last or k > low and series[k] != last:
+                    if k > low:
+                        open_.append(batch.slice(low, k - low))
+                    yield from done()
+                    open_.clear()
+                    low = k
+                last = series[k]
+            if len(series) > low:
+                open_.append(batch.slice(low))
+        if open_:
+            yield from done()
+
+    ordered = odf.repartition("series_id").sortWithinPartitions("series_id", "seg")
+    return ordered.mapInArrow(run, schema_with(odf, names, "is_peak boolean"))
 
 
 def flux_odf(signal: DataFrame, params: StftParams) -> DataFrame:

@@ -18,23 +18,53 @@ from .segment import segmentation
 EXPRESSIONS = 8
 
 
+#: Coefficients of sums of cosines; fixed values.
+COSINES = {
+    "rect": (1.0,),
+    "boxcar": (1.0,),
+    "hamming": (0.54, 0.46),
+    "hann": (0.5, 0.5),
+    "blackman": (0.42, 0.5, 0.08),
+    "nuttall": (0.3635819, 0.4891775, 0.1365995, 0.0106411),
+    "blackmanharris": (0.35875, 0.48829, 0.14128, 0.01168),
+    "flattop": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368),
+}
+
+
+def _bohman(f: float) -> float:
+    return 0.0 if f >= 1 else (1 - f) * math.cos(math.pi * f) + math.sin(math.pi * f) / math.pi
+
+
+def _parzen(d: float, n: int) -> float:
+    r = d / (n / 2)
+    return 1 - 6 * r * r + 6 * r**3 if d <= (n - 1) / 4 else 2 * (1 - r) ** 3
+
+
+#: Windows by place i of n, symmetric; f is the distance to the middle, as a share of half the length, d the distance in samples.
+SHAPES = {
+    "bartlett": lambda i, n, f, d: 1 - f,
+    "barthann": lambda i, n, f, d: 0.62 - 0.24 * f + 0.38 * math.cos(math.pi * f),
+    "bohman": lambda i, n, f, d: _bohman(f),
+    "cosine": lambda i, n, f, d: math.sin(math.pi / n * (i + 0.5)),
+    "exponential": lambda i, n, f, d: math.exp(-d),
+    "lanczos": lambda i, n, f, d: 1.0 if d == 0 else math.sin(math.pi * f) / (math.pi * f),
+    "parzen": lambda i, n, f, d: _parzen(d, n),
+    "triang": lambda i, n, f, d: triangle(n, i),
+    "tukey": lambda i, n, f, d: 1.0 if f <= 0.5 else 0.5 * (1 + math.cos(2 * math.pi * (f - 0.5))),
+}
+
+
 def window(name: str, n: int, symmetric: bool = False) -> list[float]:
     """Window values; periodic unless symmetric."""
-    m = max(1, n - 1 if symmetric else n)
-    c = lambda k, i: math.cos(2 * math.pi * k * i / m)
-    forms = {
-        "rect": lambda i: 1.0,
-        "boxcar": lambda i: 1.0,
-        "hamming": lambda i: 0.54 - 0.46 * c(1, i),
-        "hann": lambda i: 0.5 - 0.5 * c(1, i),
-        "blackman": lambda i: 0.42 - 0.5 * c(1, i) + 0.08 * c(2, i),
-        "triang": lambda i: triangle(m if symmetric else n + 1, i) if n > 1 else 1.0,
-    }
-    if name not in forms:
+    if name not in COSINES and name not in SHAPES:
         raise ValueError(f"unknown window {name!r}")
-    if name == "triang" and symmetric:
-        return [triangle(n, i) for i in range(n)]
-    return [forms[name](i) for i in range(n)]
+    if n <= 1:
+        return [1.0] * n
+    size = n if symmetric else n + 1  # a periodic window is a longer symmetric one without its last value
+    if name in COSINES:
+        return [sum((-1) ** k * c * math.cos(2 * math.pi * k * i / (size - 1)) for k, c in enumerate(COSINES[name])) for i in range(n)]
+    half = (size - 1) / 2
+    return [SHAPES[name](i, size, abs(i - half) / half, abs(i - half)) for i in range(n)]
 
 
 def triangle(n: int, i: int) -> float:
@@ -142,21 +172,21 @@ def butter_bandpass(fs: float, low: float, high: float, order: int = 4) -> tuple
 
 
 def bandpass_filter(segments: DataFrame, fs: float, low: float, high: float, order: int = 4) -> DataFrame:
-    """data after a causal band-pass with zero initial state; the recursion runs within a row."""
+    """data after a causal band-pass with zero initial state. The recursion steps through the samples of a batch's segments together."""
     b, a = butter_bandpass(fs, low, high, order)
     own = [c for c in segments.columns if c != "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(len(own)).to_pylist():
-                x = np.array(x or [], float)
-                y, state = np.zeros_like(x), np.zeros(len(b) - 1)
-                for i, v in enumerate(x):
-                    y[i] = b[0] * v + state[0]
-                    state[:-1] = state[1:] + b[1:-1] * v - a[1:-1] * y[i]
-                    state[-1] = b[-1] * v - a[-1] * y[i]
-                out.append(y)
+            rows = [np.array(x or [], float) for x in batch.column(len(own)).to_pylist()]
+            x = np.zeros((max(map(len, rows), default=0), len(rows)))
+            for k, r in enumerate(rows):
+                x[: len(r), k] = r
+            y, state = np.zeros_like(x), np.zeros((len(b), len(rows)))
+            for i, v in enumerate(x):
+                y[i] = b[0] * v + state[0]
+                state[:-1] = state[1:] + b[1:, None] * v - a[1:, None] * y[i]
+            out = [y[: len(r), k] for k, r in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(own))), pa.array(out, pa.list_(pa.float64()))], [*own, "data"])
 
     return segments.select(*own, "data").mapInArrow(run, schema_with(segments, own, "data array<double>"))

@@ -7,7 +7,7 @@ import json
 import types
 import typing
 
-WINDOWS = ("rect", "boxcar", "hamming", "hann", "blackman", "triang")
+WINDOWS = tuple("rect boxcar hamming hann blackman triang bartlett barthann blackmanharris bohman cosine exponential flattop lanczos nuttall parzen tukey".split())
 
 
 @dataclasses.dataclass(frozen=True)
@@ -36,6 +36,21 @@ class Params:
         """Field names with their types; nothing else is allowed."""
         return {f.name: str(f.type) for f in dataclasses.fields(cls)}
 
+    @classmethod
+    def json_schema(cls) -> dict:
+        """The JSON schema (draft 7) of the persisted form."""
+        names = {int: "integer", float: "number", bool: "boolean", str: "string", types.NoneType: "null"}
+        hints, fields = typing.get_type_hints(cls), dataclasses.fields(cls)
+        kinds = {f.name: [names[k] for k in (typing.get_args(hints[f.name]) or (hints[f.name],))] for f in fields}
+        return {
+            "$schema": "http://json-schema.org/draft-07/schema#",
+            "title": cls.__name__,
+            "type": "object",
+            "properties": {n: {"type": k[0] if len(k) == 1 else k} for n, k in kinds.items()},
+            "required": [f.name for f in fields if f.default is dataclasses.MISSING],
+            "additionalProperties": False,
+        }
+
     @classmethod
     def from_dict(cls, values: dict):
         unknown = set(values) - {f.name for f in dataclasses.fields(cls)}
