@@ -5,6 +5,8 @@ A model is fitted per series in its own group; a series is an ordered fold and s
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import math
 
 import numpy as np
@@ -198,15 +200,93 @@ def viterbi(x, lam, gamma, delta) -> np.ndarray:
 
 MODEL = "lam array<double>, gamma array<array<double>>, delta array<double>, aic double, bic double, nll double, n_iter int, success boolean"
 
-
-def fit(counts: DataFrame, m: int, init: str = "quantile", diag: float = 0.8, max_iter: int = MAX_ITER) -> DataFrame:
-    """One model per series."""
-    inits = {"quantile": lambda_quantile, "linear": lambda_linear, "hist": lambda_hist}
-    if init not in inits:
-        raise ValueError(f"unknown initial values {init!r}")
-    if m < 1:
-        raise ValueError("at least one state")
-    start = inits[init](counts, m)
+LAMBDAS = ("quantile", "linear", "hist", "random")
+GAMMAS = ("uniform", "softmax", "dirichlet")
+DELTAS = ("stationary", "uniform", "softmax", "dirichlet")
+
+
+@dataclasses.dataclass(frozen=True)
+class HmmParams:
+    """Hyper-parameters: number of states, and initial values by the name of a method or as numbers.
+
+    dirichlet needs the parameters gamma_dp or delta_dp, one positive number for each state; uniform gamma needs fill_diag."""
+
+    m_states: int
+    init_lambda: str | tuple = "quantile"
+    init_gamma: str | tuple = "uniform"
+    init_delta: str | tuple = "stationary"
+    gamma_dp: tuple | None = None
+    delta_dp: tuple | None = None
+    fill_diag: float | None = 0.8
+    seed: int = 0
+
+    def __post_init__(self):
+        m = self.m_states
+        if isinstance(m, bool) or not isinstance(m, int) or m < 1:
+            raise ValueError("the number of states must be a positive integer")
+        for dp in (self.gamma_dp, self.delta_dp):
+            if dp is not None and (len(dp) != m or min(dp) <= 0):
+                raise ValueError("Dirichlet parameters: a positive number for each state")
+        if self.fill_diag is not None and not 0 <= self.fill_diag <= 1:
+            raise ValueError("fill_diag lies in [0, 1]")
+        for name, methods, dp in (("init_lambda", LAMBDAS, ()), ("init_gamma", GAMMAS, self.gamma_dp), ("init_delta", DELTAS, self.delta_dp)):
+            value = getattr(self, name)
+            if isinstance(value, str):
+                if value not in methods:
+                    raise ValueError(f"unknown initial values {value!r}")
+                if value == "dirichlet" and dp is None:
+                    raise ValueError(f"{name} by Dirichlet distributions needs their parameters")
+            elif isinstance(value, tuple | list | np.ndarray):
+                given = np.asarray(value, float)
+                if given.shape != ((m, m) if name == "init_gamma" else (m,)):
+                    raise ValueError(f"{name} must have {m} states")
+                if name == "init_lambda" and (given < 0).any():
+                    raise ValueError("means can't be negative")
+                if name != "init_lambda" and not is_stochastic(given):
+                    raise ValueError(f"{name} must be stochastic")
+            else:
+                raise TypeError(f"{name} must be a name or numbers")
+        if isinstance(self.init_gamma, str) and self.init_gamma == "uniform" and self.fill_diag is None:
+            raise ValueError("uniform initial transitions need fill_diag")
+
+    def to_dict(self) -> dict:
+        plain = lambda v: np.asarray(v, float).tolist() if isinstance(v, tuple | list | np.ndarray) else v
+        return {f.name: plain(getattr(self, f.name)) for f in dataclasses.fields(self)}
+
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict())
+
+    def gamma(self) -> np.ndarray:
+        m = self.m_states
+        if not isinstance(self.init_gamma, str):
+            return np.asarray(self.init_gamma, float)
+        if self.init_gamma == "softmax":
+            return gamma_softmax(m, self.seed)
+        if self.init_gamma == "dirichlet":
+            return gamma_dirichlet(self.gamma_dp, self.seed)
+        out = np.full((m, m), (1 - self.fill_diag) / max(1, m - 1))
+        np.fill_diagonal(out, self.fill_diag if m > 1 else 1.0)
+        return out
+
+    def delta(self, gamma: np.ndarray) -> np.ndarray:
+        if not isinstance(self.init_delta, str):
+            return np.asarray(self.init_delta, float)
+        make = {"stationary": lambda: stationary_distr(gamma), "uniform": lambda: delta_uniform(self.m_states), "softmax": lambda: delta_softmax(self.m_states, self.seed), "dirichlet": lambda: delta_dirichlet(self.delta_dp, self.seed)}
+        return make[self.init_delta]()
+
+    def lambdas(self, counts: DataFrame) -> DataFrame:
+        """series_id, lam."""
+        if not isinstance(self.init_lambda, str):
+            return counts.groupBy("series_id").agg(F.first(F.array(*[F.lit(float(v)) for v in self.init_lambda])).alias("lam"))
+        if self.init_lambda == "random":
+            return lambda_random(counts, self.m_states, self.seed)
+        return {"quantile": lambda_quantile, "linear": lambda_linear, "hist": lambda_hist}[self.init_lambda](counts, self.m_states)
+
+
+def fit(counts: DataFrame, m: int | HmmParams, init: str = "quantile", diag: float = 0.8, max_iter: int = MAX_ITER) -> DataFrame:
+    """One model per series. m: hyper-parameters, or the number of states with the method for means and the diagonal."""
+    params = m if isinstance(m, HmmParams) else HmmParams(m, init_lambda=init, fill_diag=diag)
+    counts, named = check_counts(counts), isinstance(params.init_lambda, str)
     kind = counts.schema["series_id"].dataType.simpleString()
 
     def run(key, left, right):
@@ -216,13 +296,23 @@ def fit(counts: DataFrame, m: int, init: str = "quantile", diag: float = 0.8, ma
             return pd.DataFrame(columns=["series_id", "lam", "gamma", "delta", "aic", "bic", "nll", "n_iter", "success"])
         x = left.sort_values("t")["n"].to_numpy()
         lam = np.maximum(np.asarray(right["lam"].iloc[0], float), 1e-3)
-        lam = lam + np.arange(m) * 1e-3  # equal means would never part
-        gamma = np.full((m, m), (1 - diag) / max(1, m - 1))
-        np.fill_diagonal(gamma, diag if m > 1 else 1.0)
-        r = baum_welch(x, lam, gamma, stationary_distr(gamma), max_iter)
+        if named:
+            lam = lam + np.arange(len(lam)) * 1e-3  # equal means would never part
+        gamma = params.gamma()
+        r = baum_welch(x, lam, gamma, params.delta(gamma), max_iter)
         return pd.DataFrame([(key[0], r["lam"], [g for g in r["gamma"]], r["delta"], r["aic"], r["bic"], r["nll"], r["n_iter"], r["success"])], columns=["series_id", "lam", "gamma", "delta", "aic", "bic", "nll", "n_iter", "success"])
 
-    return counts.groupBy("series_id").cogroup(start.groupBy("series_id")).applyInPandas(run, f"series_id {kind}, {MODEL}")
+    start = params.lambdas(counts).select(F.col("series_id").alias("series"), "lam")
+    return counts.groupBy("series_id").cogroup(start.groupBy("series")).applyInPandas(run, f"series_id {kind}, {MODEL}")
+
+
+def models_json(models: DataFrame, params: HmmParams | None = None) -> DataFrame:
+    """series_id, model: fitted models as JSON objects with params, quality, success and, if given, hyper_params."""
+    parts = [F.struct("lam", "gamma", "delta").alias("params"), F.struct("aic", "bic", "nll", "n_iter").alias("quality"), F.col("success")]
+    text = F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
+    if params is not None:
+        text = F.concat(F.lit(f'{{"hyper_params":{params.to_json()},'), F.substr(text, F.lit(2)))
+    return models.select("series_id", text.alias("model"))
 
 
 def score(counts: DataFrame, models: DataFrame) -> DataFrame:

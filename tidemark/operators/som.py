@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import distance_of, schema_with, total
 from ..functions.arrays import metric as metric_of
-from ..functions.arrays import schema_with, total
 
 #: Largest map whose units are sent to the tasks.
 MAX_UNITS = 10_000
@@ -179,51 +179,93 @@ def umatrix(units: DataFrame, dx: int, dy: int, radius: int = 1, scale: bool = T
     return each.crossJoin(F.broadcast(top)).select("unit", F.coalesce(F.try_divide(F.col("value"), F.col("top")), F.lit(0.0)).alias("value"))
 
 
-def batch_epoch(obs: DataFrame, units: DataFrame, dx: int, dy: int, radius: float, metric="euclidean") -> DataFrame:
+def batch_epoch(obs: DataFrame, units: DataFrame, dx: int, dy: int, radius: float, metric="euclidean", nh_shape: str = "gaussian") -> DataFrame:
     """unit, w after one batch epoch: neighbourhood-weighted means of the observations. Sums per unit are made in every task, so
     the shuffle has a row per task, unit and feature at most."""
     matched = best_match(obs, units, metric).select("unit", F.posexplode("x").alias("f", "v"))
     sums = matched.groupBy("unit", "f").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
     pairs = grid_pairs(units.sparkSession, dx, dy)
-    d2 = (F.col("rowa") - F.col("rowb")) * (F.col("rowa") - F.col("rowb")) + (F.col("cola") - F.col("colb")) * (F.col("cola") - F.col("colb"))
-    spread = pairs.select(F.col("unita").alias("target"), F.col("unitb").alias("unit"), gaussian(d2.cast("double"), radius).alias("h"))
+    h = _shape(nh_shape)((F.col("rowa") - F.col("rowb")).cast("double"), (F.col("cola") - F.col("colb")).cast("double"), radius, F).cast("double")
+    spread = pairs.select(F.col("unita").alias("target"), F.col("unitb").alias("unit"), h.alias("h"))
     made = sums.join(F.broadcast(spread), "unit").groupBy("target", "f").agg(F.sum(F.col("h") * F.col("s")).alias("a"), F.sum(F.col("h") * F.col("c")).alias("b"))
     new = made.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("f", F.try_divide("a", "b").alias("w")))).alias("n"))
     joined = units.join(new, units.unit == new.target, "left")
     return joined.select("unit", F.when(F.col("n").isNotNull() & F.forall("n", lambda x: x.w.isNotNull()), F.transform("n", lambda x: x.w)).otherwise(F.col("w")).alias("w"))
 
 
-def fit_batch(obs: DataFrame, dx: int, dy: int, epochs: int, radius: float, seed: int = 10, metric="euclidean") -> tuple[DataFrame, list[float]]:
+#: Neighbourhood shapes by name, of the differences of rows and columns (numpy arrays or columns alike).
+SHAPES = {
+    "gaussian": lambda dr, dc, r, x: x.exp(-(dr * dr + dc * dc) / (2 * r * r)),
+    "mexican": lambda dr, dc, r, x: (1 - (dr * dr + dc * dc) / (r * r)) * x.exp(-(dr * dr + dc * dc) / (2 * r * r)),
+    "star": lambda dr, dc, r, x: ((abs(dr) if x is np else x.abs(dr)) + (abs(dc) if x is np else x.abs(dc)) <= r),
+    "rect": lambda dr, dc, r, x: (np.maximum(abs(dr), abs(dc)) <= r) if x is np else (x.greatest(x.abs(dr), x.abs(dc)) <= r),
+}
+
+
+def _shape(name: str):
+    if name not in SHAPES:
+        raise ValueError(f"unknown neighbourhood {name!r}: one of {sorted(SHAPES)}")
+    return SHAPES[name]
+
+
+def _initial(obs: DataFrame, dx: int, dy: int, init, seed: int) -> DataFrame:
+    """Initial units: rnd (uniform between the features' ends), hist, stm or pca, a function of (obs, dx, dy, seed), or numbers."""
+    if callable(init):
+        return init(obs, dx, dy, seed)
+    if isinstance(init, np.ndarray | list):
+        w = np.asarray(init, float)
+        if w.ndim != 2 or len(w) != dx * dy:
+            raise ValueError("a row of weights for each unit")
+        return _frame(obs.sparkSession, w)
+    if init == "rnd":
+        return sample_uniform(obs, dx * dy, seed)
+    if init == "pca":
+        return sample_pca(obs, dx, dy)
+    if init in ("hist", "stm"):
+        return (sample_hist if init == "hist" else sample_stm)(obs.sparkSession, dx * dy, len(obs.select("x").first().x), seed)
+    raise ValueError(f"unknown initial weights {init!r}")
+
+
+def _checked(eta: float, radius: float, n_iter: int) -> None:
+    if not 0 < eta <= 1:
+        raise ValueError("eta lies in (0, 1]")
+    if radius < 1 or n_iter < 1:
+        raise ValueError("the radius and the number of iterations are 1 at least")
+
+
+def fit_batch(obs: DataFrame, dx: int, dy: int, epochs: int, radius: float, seed: int = 10, metric="euclidean", nh_shape: str = "gaussian", init="rnd", decrease=decrease_linear) -> tuple[DataFrame, list[float]]:
     """Units after batch training with a falling radius, and each epoch's quantisation error. Weights pass through the driver (they
     are a map's, not the data's); each epoch is one pass over the observations."""
     spark = obs.sparkSession
-    units, errors = sample_uniform(obs, dx * dy, seed), []
-    for r in decrease_linear(radius, epochs):
+    _checked(1.0, radius, epochs)
+    units, errors = _initial(obs, dx, dy, init, seed), []
+    for r in decrease(radius, epochs):
         errors.append(quantization_error(best_match(obs, units, metric)).first()[0])
-        rows = batch_epoch(obs, units, dx, dy, r, metric).collect()
+        rows = batch_epoch(obs, units, dx, dy, r, metric, nh_shape).collect()
         units = spark.createDataFrame([(r.unit, list(r.w)) for r in rows], "unit long, w array<double>")
     return units, errors
 
 
-def fit_incremental(obs: DataFrame, dx: int, dy: int, n_iter: int, eta: float, radius: float, seed: int = 10, ball_only: bool = False) -> DataFrame:
+def fit_incremental(obs: DataFrame, dx: int, dy: int, n_iter: int, eta: float, radius: float, seed: int = 10, ball_only: bool = False, metric: str = "euclidean", nh_shape: str = "gaussian", init="rnd") -> DataFrame:
     """The order-dependent trainer: observations are seen one after the other, so they go to one task as the method demands. Use
     fit_batch for data of any size. ball_only: only units within the radius move."""
-    if not 0 < eta <= 1:
-        raise ValueError("eta lies in (0, 1]")
+    _checked(eta, radius, n_iter)
+    shape, far = _shape(nh_shape), distance_of(metric)
+    start = None if isinstance(init, str) and init == "rnd" else weights(_initial(obs, dx, dy, init, seed))
 
     def run(pdf):
         import pandas as pd
 
         x = np.stack(pdf.sort_values("id")["x"].to_numpy()).astype(float)
         rng = np.random.RandomState(seed)
-        w = rng.uniform(x.min(0), x.max(0), (dx * dy, x.shape[1]))
+        w = rng.uniform(x.min(0), x.max(0), (dx * dy, x.shape[1])) if start is None else start.copy()
         place = np.stack(np.divmod(np.arange(dx * dy), dy), 1)
         for e, r in zip(decrease_linear(eta, n_iter, 0.0), decrease_expo(radius, n_iter, 1.0), strict=True):
             for k in rng.permutation(len(x)):
-                d = place - place[((w - x[k]) ** 2).sum(1).argmin()]
-                h = np.exp(-(d**2).sum(1) / (2 * r * r))
+                d = place - place[far(w, x[k]).argmin()]
+                h = np.asarray(shape(d[:, 0], d[:, 1], r, np), float)
                 if ball_only:
-                    h *= np.abs(d).max(1) <= r
+                    h = h * (np.abs(d).max(1) <= r)
                 w += e * h[:, None] * (x[k] - w)
         return pd.DataFrame({"unit": np.arange(len(w)), "w": list(w)})
 
