@@ -1,6 +1,7 @@
 """Closed forms, numpy kernels and defined edge cases of the signal operators."""
 
 import io
+import json
 import math
 import struct
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.functions import generators, scalars
+from tidemark.functions import checks, generators, scalars
 from tidemark.functions.arrays import METRICS
 from tidemark.operators import features, hmm, onsets, phase_space, segment, som, spectral
 from tidemark.params import CorrDimParams, DftParams, PeakPickingParams, SegmentationParams, StftParams
@@ -257,3 +258,213 @@ def test_streaming(spark, tmp_path):
         want.append(v >= g)
         g = max(v, p.alpha * g + (1 - p.alpha) * v)
     assert [r.above for r in spark.table("p").orderBy("ts").collect()] == want
+
+
+def test_windows_in_closed_form():
+    n = 9
+    half = (n - 1) / 2
+    t = [abs(i - half) / half for i in range(n)]
+    forms = {
+        "bartlett": [1 - x for x in t],
+        "cosine": [math.sin(math.pi * (i + 0.5) / n) for i in range(n)],
+        "lanczos": [float(np.sinc(x)) for x in t],
+        "tukey": [1.0 if x <= 0.5 else 0.5 * (1 - math.cos(2 * math.pi * (1 - x))) for x in t],
+        "hann": [math.sin(math.pi * i / (n - 1)) ** 2 for i in range(n)],
+    }
+    for name, want in forms.items():
+        assert np.allclose(spectral.window(name, n, symmetric=True), want)
+    for name in [*spectral.COSINES, *spectral.SHAPES]:
+        w = np.array(spectral.window(name, 16, symmetric=True))
+        assert np.allclose(w, w[::-1]) and abs(spectral.window(name, 17, symmetric=True)[8] - 1) < 2e-3
+        assert np.allclose(spectral.window(name, 16), spectral.window(name, 17, symmetric=True)[:16])
+        assert spectral.window(name, 1) == [1.0]
+        DftParams(1, name)
+
+
+def test_band_pass_edges_and_batches(spark):
+    b, a = spectral.butter_bandpass(64.0, 4.0, 12.0)
+    gain = lambda f: abs(np.polyval(b, np.exp(2j * np.pi * f / 64)) / np.polyval(a, np.exp(2j * np.pi * f / 64)))
+    assert np.allclose([gain(4), gain(12)], math.sqrt(0.5)) and gain(7) > 0.999 and gain(1) < 0.01 and gain(25) < 0.01
+    rng = np.random.default_rng(5)
+    rows = [(f"s{k}", 0, rng.normal(size=n).tolist()) for k, n in enumerate((0, 1, 40, 64))]
+    got = {r.series_id: r.data for r in spectral.bandpass_filter(spark.createDataFrame(rows, "series_id string, seg long, data array<double>").coalesce(1), 64.0, 4.0, 12.0).collect()}
+    for name, _, x in rows:
+        y = []
+        for i in range(len(x)):
+            y.append(sum(b[k] * x[i - k] for k in range(len(b)) if i >= k) - sum(a[k] * y[i - k] for k in range(1, len(a)) if i >= k))
+        assert np.allclose(got[name], y)
+
+
+def test_long_series_are_picked_in_linear_time(spark):
+    odf = spark.range(200_000).select(F.lit("a").alias("series_id"), F.col("id").alias("seg"), F.col("id").alias("frame"), (F.col("id") / 10).alias("time"), (F.col("id") % 1000).cast("double").alias("value"))
+    got = onsets.pick(odf, PeakPickingParams(3, 3, 0.1, 0.5)).where("is_peak").select("frame").collect()
+    assert sorted(r.frame for r in got) == list(range(999, 200_000, 1000))
+
+
+def test_fsplc_of_bins(spark):
+    r = spark.range(1).select(features.fsplc(F.array(F.lit(1000.0), F.lit(50.0)), F.array(F.lit(0.02), F.lit(0.02))).alias("l")).first().l
+    weight = lambda f: 148693636.0 * f * f / ((f * f + 148693636.0) * (f * f + 424.36))
+    assert np.allclose(r, [20 * math.log10(weight(f) * 0.02 / 2e-5) for f in (1000.0, 50.0)])
+
+
+def likelihood(x, lam, gamma, delta):
+    """Summed over all sequences of states."""
+    import itertools
+
+    p = lambda n, v: math.exp(-v) * v**n / math.factorial(n)
+    return sum(delta[s[0]] * math.prod(gamma[a][b] for a, b in itertools.pairwise(s)) * math.prod(p(n, lam[k]) for n, k in zip(x, s, strict=True)) for s in itertools.product(range(len(lam)), repeat=len(x)))
+
+
+def test_hmm_score_sums_over_all_paths(spark):
+    x, lam, gamma, delta = [3, 0, 7, 2, 9], [1.5, 6.0, 3.0], [[0.7, 0.2, 0.1], [0.3, 0.5, 0.2], [0.25, 0.25, 0.5]], [0.5, 0.2, 0.3]
+    counts = spark.createDataFrame([("a", t, n) for t, n in enumerate(x)], "series_id string, t long, n long")
+    model = spark.createDataFrame([("a", lam, gamma, delta)], "series_id string, lam array<double>, gamma array<array<double>>, delta array<double>")
+    got = hmm.score(counts, model).first()
+    assert math.isclose(got.log_likelihood, math.log(likelihood(x, lam, gamma, delta)), rel_tol=1e-9)
+    import itertools
+
+    best = max(itertools.product(range(3), repeat=5), key=lambda s: delta[s[0]] * math.prod(gamma[a][b] for a, b in itertools.pairwise(s)) * math.prod(math.exp(-lam[k]) * lam[k] ** n / math.factorial(n) for n, k in zip(x, s, strict=True)))
+    assert got.states == list(best)
+
+
+def test_hmm_fit_never_lowers_the_likelihood_and_takes_all_initial_values(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.poisson(v, 15) for v in (5, 30, 5)])
+    fitted = hmm.baum_welch(x, np.array([4.0, 25.0]), np.array([[0.8, 0.2], [0.2, 0.8]]), np.array([0.5, 0.5]))
+    assert all(b <= a + 1e-9 for a, b in zip(fitted["history"], fitted["history"][1:], strict=False))
+    counts = spark.createDataFrame([("a", t, int(n)) for t, n in enumerate(x)], "series_id string, t long, n long")
+    given = ((3.0, 40.0), ((0.9, 0.1), (0.2, 0.8)), (0.3, 0.7))
+    options = [dict(init_lambda=given[0], init_gamma=given[1], init_delta=given[2]), dict(init_gamma="softmax", init_delta="softmax"), dict(init_gamma="dirichlet", gamma_dp=(4.0, 1.0), init_delta="dirichlet", delta_dp=(1.0, 1.0)), dict(init_lambda="linear", init_delta="uniform"), dict(init_lambda="hist")]
+    for o in options:
+        p = hmm.HmmParams(2, **o)
+        r = hmm.fit(counts, p).first()
+        assert r.success and np.allclose(sorted(r.lam), sorted(fitted["lam"]), rtol=1e-2) and np.allclose(np.sum(r.gamma, 1), 1)
+    text = json.loads(hmm.models_json(hmm.fit(counts, p), p).first().model)
+    assert text["hyper_params"]["init_lambda"] == "hist" and set(text) == {"hyper_params", "params", "quality", "success"}
+    assert hmm.fit(counts, hmm.HmmParams(2, init_lambda="random", seed=3)).first().n_iter > 0
+
+
+@pytest.mark.parametrize("bad", [dict(m_states=0), dict(m_states=2, init_lambda="x"), dict(m_states=2, init_lambda=(1.0,)), dict(m_states=2, init_lambda=(1.0, -1.0)), dict(m_states=2, init_gamma="dirichlet"), dict(m_states=2, init_delta="dirichlet"), dict(m_states=2, init_gamma=((0.5, 0.6), (0.5, 0.5))), dict(m_states=2, init_delta=(0.5, 0.6)), dict(m_states=2, fill_diag=2.0), dict(m_states=2, gamma_dp=(1.0,)), dict(m_states=2, fill_diag=None)])
+def test_hmm_parameters_are_checked(bad):
+    with pytest.raises(ValueError):
+        hmm.HmmParams(**bad)
+
+
+def test_hmm_refuses_negative_counts(spark):
+    with pytest.raises(Exception, match="non-negative"):
+        hmm.fit(spark.createDataFrame([("a", 0, -1), ("a", 1, 2)], "series_id string, t long, n long"), 1).collect()
+
+
+def observations(spark, n=60, f=4, seed=2):
+    x = np.random.default_rng(seed).random((n, f))
+    return x, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+
+
+def test_pca_equals_singular_values(spark):
+    x, obs = observations(spark)
+    sv, comps, mean = som.pca(obs, 2)
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(sv, s[:2]) and np.allclose(mean, x.mean(0)) and np.allclose(np.abs((comps * vt[:2]).sum(1)), 1)
+
+
+@pytest.mark.parametrize(("metric", "shape"), [("euclidean", "gaussian"), ("cityblock", "mexican"), ("cosine", "star"), ("canberra", "rect")])
+def test_incremental_map_by_hand(spark, metric, shape):
+    x, obs = observations(spark, 20)
+    start = np.random.default_rng(4).random((6, 4))
+    got = np.array([r.w for r in som.fit_incremental(obs, 2, 3, 3, 0.5, 1.5, metric=metric, nh_shape=shape, init=start).orderBy("unit").collect()])
+    w, rng = start.copy(), np.random.RandomState(10)
+    far = {"euclidean": lambda a, b: math.dist(a, b), "cityblock": lambda a, b: sum(abs(a - b)), "cosine": lambda a, b: 1 - a @ b / math.sqrt((a @ a) * (b @ b)), "canberra": lambda a, b: sum(abs(a - b) / (abs(a) + abs(b)))}[metric]
+    near = {"gaussian": lambda a, b, r: math.exp(-(a * a + b * b) / (2 * r * r)), "mexican": lambda a, b, r: (1 - (a * a + b * b) / r**2) * math.exp(-(a * a + b * b) / (2 * r * r)), "star": lambda a, b, r: abs(a) + abs(b) <= r, "rect": lambda a, b, r: max(abs(a), abs(b)) <= r}[shape]
+    for k in range(3):
+        eta, r = 0.5 * (1 - k / 2), 1.5 * (1 / 1.5) ** (k / 2)
+        for i in rng.permutation(20):
+            best = min(range(6), key=lambda u: far(w[u], x[i]))
+            for u in range(6):
+                w[u] += eta * near(u // 3 - best // 3, u % 3 - best % 3, r) * (x[i] - w[u])
+    assert np.allclose(got, w)
+
+
+@pytest.mark.parametrize("shape", ["gaussian", "rect"])
+def test_batch_map_by_hand(spark, shape):
+    x, obs = observations(spark, 30)
+    start = np.random.default_rng(4).random((6, 4))
+    units, errors = som.fit_batch(obs, 2, 3, 3, 1.0, nh_shape=shape, init=start)
+    w = start.copy()
+    for k, r in enumerate(som.decrease_linear(1.0, 3)):
+        d = np.linalg.norm(x[:, None] - w[None], axis=2)
+        assert math.isclose(errors[k], d.min(1).mean(), rel_tol=1e-9)
+        h = np.array([[math.exp(-((a // 3 - b // 3) ** 2 + (a % 3 - b % 3) ** 2) / (2 * r * r)) if shape == "gaussian" else float(max(abs(a // 3 - b // 3), abs(a % 3 - b % 3)) <= r) for b in range(6)] for a in range(6)])
+        share = h[:, d.argmin(1)]
+        hit = share.sum(1) > 0  # other units stay as they are
+        w[hit] = (share @ x)[hit] / share.sum(1, keepdims=True)[hit]
+    assert np.allclose([u.w for u in units.orderBy("unit").collect()], w)
+
+
+def test_initial_weights_and_bad_options(spark):
+    _, obs = observations(spark)
+    for init in ("rnd", "hist", "stm", "pca"):
+        units = som.fit_batch(obs, 2, 2, 1, 1.0, init=init)[0].collect()
+        assert len(units) == 4 and all(len(u.w) == 4 for u in units)
+    assert np.allclose([sum(u.w) for u in som.sample_hist(spark, 5, 4).collect()], 1)
+    assert np.allclose([[sum(u.w[:2]), sum(u.w[2:])] for u in som.sample_stm(spark, 5, 4).collect()], 1)
+    for bad in (dict(init="x"), dict(nh_shape="x"), dict(init=np.zeros((3, 4)))):
+        with pytest.raises(ValueError):
+            som.fit_batch(obs, 2, 2, 1, 1.0, **bad)
+    with pytest.raises(ValueError):
+        som.fit_incremental(obs, 2, 2, 1, 0.0, 1.0)
+
+
+def test_metrics_equal_numpy(spark):
+    from tidemark.functions.arrays import DISTANCES
+
+    rng = np.random.default_rng(7)
+    a, b = rng.random(6), rng.random(6)
+    c = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    assert set(METRICS) == set(DISTANCES)
+    got = spark.range(1).select(*[m(c(a), c(b)).alias(n) for n, m in METRICS.items()]).first()
+    assert all(math.isclose(got[n], d(a[None], b)[0], rel_tol=1e-9) for n, d in DISTANCES.items())
+
+
+def test_correlation_dimension_by_hand(spark):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.integers(-300, 300, 90)).astype(float)
+    got = phase_space.cdim(spark.createDataFrame([("a", 0, x.tolist()), ("b", 0, x[:20].tolist())], "series_id string, seg long, data array<double>"), 2, 3, 200, 10, vectors=80)
+    emb = [[x[i + 2 * k] for k in range(3)] for i in range(80)]
+    dists = [math.dist(emb[i], emb[j]) for i in range(80) for j in range(i, 80)]
+    step = max(1, int(max(dists) / 1000))
+    hist = [0] * 200
+    for d in dists:
+        at = 0 if d < 1 else (math.floor(d) - 1) // step + 1
+        if d < 1 or at + 1 < 200:
+            hist[at] += 1
+    peak = max(range(120), key=lambda k: (hist[k], -k))
+    end = min(peak + 10, 199)
+    c = lambda k: math.log(sum(hist[: k + 1]) / len(dists))
+    want = (c(end) - c(peak)) / (math.log(end * step + 1) - math.log(peak * step + 1))
+    rows = {r.series_id: r.cdim for r in got.collect()}
+    assert math.isclose(rows["a"], want, rel_tol=1e-9) and rows["b"] is None
+
+
+def test_saved_arrays_and_maps_are_read_back(spark, tmp_path):
+    sinks.save_npy(spark, np.arange(6.0).reshape(2, 3), f"{tmp_path}/a.npy")
+    r = audio.load_npy(spark, str(tmp_path)).first()
+    assert list(r["shape"]) == [2, 3] and r.data == [0, 1, 2, 3, 4, 5]
+    units = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "unit long, w array<double>")
+    sinks.save_map(units, f"{tmp_path}/m.json", rows=2)
+    assert sorted((u.unit, u.w) for u in sinks.load_map(spark, f"{tmp_path}/m.json").collect()) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+    sinks.save_weights(units, f"{tmp_path}/w/w.npy")
+    assert np.load(f"{tmp_path}/w/w.npy").tolist() == [[1.0, 2.0], [3.0, 4.0]]
+
+
+def test_checks_and_sums(spark):
+    checks.assert_array(np.zeros((2, 2)), 2, 4, 0, 1)
+    for bad in ((np.zeros(3), 2, 3), (np.zeros(3), 1, 4), (np.full(3, -1), 1, 3, 0), (np.full(3, 2), 1, 3, 0, 1)):
+        with pytest.raises(ValueError):
+            checks.assert_array(*bad)
+    assert checks.assert_and_pass(lambda v: None, 3) == 3 and checks.assert_and_pass(lambda v: 1 / 0, None) is None
+    assert json.dumps([checks.jsonify(v) for v in (None, 1, "a", np.arange(2), np.float64(0.5), {1})]) == '[null, 1, "a", [0, 1], 0.5, "{1}"]'
+    assert checks.time_stamp("%Y") == checks.time_stamp()[:4]
+    values = [1e16, 1.0, -1e16, 3.0, 1e-3]
+    assert math.isclose(spark.range(1).select(checks.fsum(F.array(*map(F.lit, values))).alias("s")).first().s, math.fsum(values), rel_tol=1e-15)
+    schema = StftParams.json_schema()
+    assert schema["required"] == ["fps"] and schema["properties"]["n_fft"]["type"] == ["integer", "null"] and not schema["additionalProperties"]
