@@ -397,7 +397,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         again = shared.join(open_, "token", "left_semi").select("token", "doc_id").distinct().join(payload, "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         again = materialize(again.withColumn("component", F.coalesce("component", "doc_id")), "open-buckets")
         parts = again.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-        more = _meeting_places(again, parts).repartition("token", "pair").sortWithinPartitions("token", "pair", "doc_id").mapInArrow(_across(percent), _PAIRS)
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that few bytes are not brought into few tasks
+        more = _meeting_places(again, parts).repartition(tasks, "token", "pair").sortWithinPartitions("token", "pair", "doc_id").mapInArrow(_across(percent), _PAIRS)
         more = materialize(more.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), "across-pairs")
         new = _links(more, docs, percent)
         before, labels = labels, components(true.unionByName(new.where("linked").select("u", "v")))
