@@ -183,8 +183,10 @@ def _shared_hashes(docs: DataFrame, width: int) -> DataFrame:
             h.sort()
             rows = []
             for twice, keys in enumerate(_repeated(h)):
+                if not len(keys):
+                    continue
                 part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 rows += [(p, bool(twice), _packed(keys[a:b])) for p, a, b in zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["part", "twice", "blob"])
 
