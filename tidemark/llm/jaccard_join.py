@@ -368,7 +368,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = materialize(_signatures(docs, _common(docs), percent), "shingle-signatures", TEXT_ROWS)
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
     least = materialize(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "set-representatives")
-    members = sets.select("doc_id", "n", "s1", "s2").join(least, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
+    members = sets.select("doc_id", "n", "s1", "s2").join(least, ["s1", "s2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     members = materialize(members, "set-members")
     reps = usable.select("doc_id", "n", "prefix", "salts").join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     index = F.col("n") - F.ceil(F.lit(2.0 * percent) * F.col("n") / (100 + percent)) + 1
