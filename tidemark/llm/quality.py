@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_LIMIT, materialize, table
+from .common import BROADCAST_LIMIT, discard, materialize, table
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -187,7 +187,10 @@ def robust_outliers(df: DataFrame, core: float = 0.5, min_group: int = 200) -> D
         if kept is not None:  # a group's lowest so far stays if the step did not lower it
             both = kept.unionByName(params).groupBy(*keys).agg(F.min_by(F.struct("n", "mean", "factor", "logdet"), "logdet").alias("b"))
             params = both.select(*keys, "b.*")
-        kept = params = materialize(params, f"mcd-step{k}")
+        before, kept = kept, materialize(params, f"mcd-step{k}")
+        params = kept
+        if before is not None:
+            discard(before)
         k += 1
         now = {(r.gid, r.start): r.logdet for r in params.select(*keys, "logdet").collect()}
         if all(g in lowest and not d < lowest[g] - FALL for g, d in now.items()):
