@@ -119,6 +119,43 @@ def test_quality_of_a_group_with_two_fifths_of_outliers(spark):
     assert np.mean([r.kept for r in rows if r.doc_id < 300]) >= 0.95
 
 
+def mcd_by_hand(x, core=0.5):
+    """Squared robust distances of one group, step by step as the module says, in numpy."""
+    n, floors = len(x), np.array(quality.FLOORS)
+    q = lambda v, p: np.sort(v)[max(0, math.ceil(p * n) - 1)]
+
+    def fit(rows):
+        cov = np.cov(rows.T, bias=True) + np.diag(floors**2)
+        return np.linalg.slogdet(cov)[1] / 2, rows.mean(0), np.linalg.inv(cov)
+
+    def far(f):
+        return np.einsum("ni,ij,nj->n", x - f[1], f[2], x - f[1])
+
+    mid = np.array([q(c, 0.5) for c in x.T])
+    z = (x - mid) / np.maximum([(q(c, 0.75) - q(c, 0.25)) / 1.349 for c in x.T], floors)
+    d2, kept, lowest = [(z * z).sum(1), np.abs(z).max(1)], [None, None], [np.inf, np.inf]
+    while True:
+        for s in range(2):
+            new = fit(x[d2[s] <= q(d2[s], core)])
+            kept[s] = new if kept[s] is None or new[0] < kept[s][0] else kept[s]
+        if all(not k[0] < low - quality.FALL for k, low in zip(kept, lowest, strict=True)):
+            break
+        lowest, d2 = [k[0] for k in kept], [far(k) for k in kept]
+    raw = far(min(kept, key=lambda k: k[0]))
+    out = far(fit(x[raw <= quality.CHI2_975 * q(raw, 0.5) / quality.CHI2_50]))
+    return out / max(1, q(out, 0.5) / quality.CHI2_50)
+
+
+def test_distances_equal_a_numpy_estimate(spark):
+    rng = np.random.default_rng(9)
+    groups = {("a", "s"): np.r_[rng.normal(0, [1, 0.3, 0.2, 0.4, 0.2], (260, 5)), rng.normal(4, 1, (90, 5))], ("a", "t"): rng.normal(2, 1, (210, 5)) @ rng.normal(size=(5, 5))}
+    rows = [(k, *g, v.tolist(), True) for g, x in groups.items() for k, v in enumerate(x)]
+    got = quality.robust_outliers(spark.createDataFrame(rows, "id long, lang string, source string, x array<double>, fit boolean")).collect()
+    for (lang, source), x in groups.items():
+        d2 = {r.id: r.d2 for r in got if (r.lang, r.source) == (lang, source)}
+        assert np.allclose([d2[k] for k in range(len(x))], mcd_by_hand(x), rtol=1e-6)
+
+
 def test_native_matrices(spark):
     a = np.random.default_rng(1).normal(size=(5, 5))
     cov = a @ a.T + np.eye(5)
@@ -223,6 +260,15 @@ def test_suffix_dedup(spark, docs, forced, monkeypatch):
     assert got == removed(rows)
 
 
+def test_suffix_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b = ("".join(rng.choices("abcdefgh ", k=80)) for _ in range(2))
+    rows = [(1, a), (2, a + "x"), (2, a), (None, a), (3, a), (7, b), (7, b), (8, b), (None, b)]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 80, 0), (2, 81, 80), (2, 80, 80), (None, 80, 0), (3, 80, 80), (7, 80, 0), (7, 80, 0), (8, 80, 80), (None, 80, 0)], key=str)
+    assert suffix_dedup.suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # 4 token counts
 
 
@@ -269,6 +315,17 @@ def test_counts_of_odd_texts(spark, odd):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 3)
 
 
+def test_counts_of_long_texts_and_no_texts(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    text = " ".join(rng.choice(["the", "it's", "12", "\n", "漢字", "abcdefghij" * 3]) for _ in range(150_000))
+    lib = Tokenizer.from_file(BYTE)
+    df = spark.createDataFrame([(None, text), (1, None), (1, "z" * 9000)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(df, BYTE).collect()) == sorted([len(lib.encode(text, add_special_tokens=False).ids), 0, len(lib.encode("z" * 9000, add_special_tokens=False).ids)])
+    assert token_counts.count_tokens(df.limit(0), BYTE).count() == 0
+
+
 # 5 line dedup
 
 
@@ -373,6 +430,13 @@ def test_packing_pads_and_cuts_little(docs):
         assert sum(n for n, _ in parts) == length and all(n * k <= 2048 for n, k in parts)
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "one two"), (4, "three"), (4, "three"), (5, None)], "doc_id long, text string")
+    got = packing.harmonic_pack(df, WORD).collect()
+    assert Counter(r.doc_id for r in got if r.start == 0) == {None: 1, 4: 2, 5: 1}
+    assert packing.harmonic_pack(df.limit(0), WORD).count() == 0
+
+
 def test_word_ids_equal_the_library():
     from tokenizers import Tokenizer
 
@@ -448,6 +512,33 @@ def test_leaks(spark, sf, docs, limit):
     assert decontaminate.find_leaks(df, spark.createDataFrame([], "item_id long, text string")).where(F.size("leaks") > 0).count() == 0
 
 
+def test_leaks_equal_exhaustive_alignment(spark):
+    """Every item against every whole document; what is found has the best alignment there is, and no copy is missed."""
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(8, 40)))) for k in range(12)] + [(50, "漢字仮名交文章例")]
+    texts = []
+    for k in range(60):
+        w = rng.choices(vocab, k=rng.randint(0, 80))
+        if k % 3 == 0:
+            copy = decontaminate.words(items[k % 13][1])
+            for _ in range(len(copy) // 8):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            w[10:10] = copy
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, x.item_id): (x.score, x.matched) for r in decontaminate.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect() for x in r.leaks}
+    want = {}
+    for k, t in enumerate(texts):
+        for i, item in items:
+            a, b = decontaminate.words(item), decontaminate.words(t)
+            number = {w: n for n, w in enumerate(dict.fromkeys(a + b))}
+            score, matched, *_ = traced([number[x] for x in a], [number[x] for x in b]) if b else (0, 0)
+            if score >= 0.4 * 2 * len(a) and matched >= 6:
+                want[k, i] = (score, matched)
+    assert got == want and len(want) >= 20
+
+
 # 8 language ID
 
 
@@ -482,6 +573,41 @@ def test_penalties_make_weights_sparse():
     assert langid.temperature(np.array([[8.0, 0.0]] * 10), np.array([0] * 7 + [1] * 3)) > 2
 
 
+def test_ftrl_by_hand():
+    """The updates coordinate by coordinate, in plain Python."""
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4).astype(np.float32), int(rng.integers(3))) for _ in range(25)]
+    z, n, order = np.zeros((12, 3)), np.zeros((12, 3)), np.random.default_rng(7)
+    lead = lambda a, b: 0.0 if abs(a) <= 0.02 else -(a - math.copysign(0.02, a)) / (1.0 + math.sqrt(b) + 0.1)
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            at, x, y = rows[k]
+            w = [[lead(z[i, c], n[i, c]) for c in range(3)] for i in at]
+            s = [sum(float(x[j]) * w[j][c] for j in range(4)) for c in range(3)]
+            p = [math.exp(v - max(s)) for v in s]
+            for j, i in enumerate(at):
+                for c in range(3):
+                    g = float(x[j]) * (p[c] / sum(p) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) * w[j][c]
+                    n[i, c] += g * g
+    got = langid.ftrl(rows, 3)
+    assert np.allclose(got[:12], [[lead(z[i, c], n[i, c]) for c in range(3)] for i in range(12)], atol=1e-5)
+    assert not got[12:].any()
+
+
+def test_long_texts_are_read_in_blocks(monkeypatch):
+    from tidemark.llm import shingles
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abc漢é ", k=rng.randint(1, 9))) for _ in range(4000))
+    whole, grams = shingles.word_hashes(text.encode()), langid.gram_counts(text)
+    for block in (7, 1000):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert (shingles.word_hashes(text.encode()) == whole).all()
+        assert (langid.gram_counts(text) == grams).all()
+
+
 # 9 LM scoring
 
 
@@ -578,6 +704,13 @@ def test_subwords_of_cut_texts(monkeypatch):
     assert lm_score.encode_words(encoding, []) == b""
 
 
+def test_lm_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b c"), (2, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
+    got = lm_score.lm_scores(df, F.lit(True), SUBWORDS).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in got) == [(0, 4, 11), (2, 3, 11), (2, 3, 11), (3, 1, 11)]
+    assert len({r.score for r in got if r.doc_id == 2}) == 1
+
+
 # 10 Jaccard join
 
 
@@ -616,6 +749,25 @@ def test_jaccard(spark, forced, monkeypatch):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(None, a), (4, a), (4, b), (9, b), (2, a), (None, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(None, 2, None), (4, 2, 2), (4, 2, 2), (9, 2, 2), (2, 2, 2), (None, 0, None)], key=str)
+
+
+def test_hubs_of_the_link_graph(spark, monkeypatch):
+    from tidemark.llm import components
+
+    monkeypatch.setattr(components, "HUB_EDGES", 3)
+    monkeypatch.setattr(components, "HUB", 4)
+    rng = random.Random(3)
+    edges = [(0, k) for k in range(1, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(k, k + 1) for k in range(200, 260)] + [(39, 120)]
+    rng.shuffle(edges)
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in [*range(40), *range(100, 130)]}, **{k: 200 for k in range(200, 261)}}
+
+
 # the pipeline
 
 
