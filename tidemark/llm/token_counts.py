@@ -39,10 +39,13 @@ PIECES = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 #: Where white space follows another sign: the place after a match's first sign.
 BOUNDARY = re.compile(f"[^{SPACES}](?=[{SPACES}])")
 #: Compiled states, remembered pieces and pairs of tokens of a worker at most. A full table of states is dropped and compiled anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 100_000, 600_000, 1_000_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 150_000, 1_200_000, 1_000_000
 #: Characters of a text that make a chunk.
 CHUNK = 4096
 START = ("start",)
+#: Number of the state inside a pre-token that has no byte yet.
+ROOT = 0
+ONE = [bytes([b]) for b in range(256)]
 
 
 def byte_signs() -> dict[str, int]:
@@ -110,8 +113,10 @@ class Transducer:
         self.keys: list[tuple] = []
         self.ids: dict[tuple, int] = {}
         self.steps: list[dict[str, tuple[int, int]]] = []
-        self.inner: dict[tuple, tuple] = {}
-        self.start = self._id(START)
+        self.inner: list[tuple] = []
+        self.inner_ids: dict[tuple, int] = {}
+        self.inner_steps: list[dict[str, tuple[int, int]]] = []
+        self._forget()
 
     def _id(self, key: tuple) -> int:
         """The number of a state; it holds until the table is dropped."""
@@ -123,36 +128,43 @@ class Transducer:
         return k
 
     # A state inside a pre-token: (suffix, tokens that end at each of its cuts or None, counts at the cuts less that at the end).
-    ROOT = (b"", (b"",), (0,))
+    # Such states are numbered too; inner_steps[number] maps a character to (number, change).
+    def _inner_id(self, state: tuple) -> int:
+        k = self.inner_ids.get(state)
+        if k is None:
+            k = self.inner_ids[state] = len(self.inner)
+            self.inner.append(state)
+            self.inner_steps.append({})
+        return k
 
     def _byte(self, state: tuple, b: int) -> tuple[tuple, int]:
         suffix, ends, counts = state
-        grown = suffix + bytes([b])
-        for cut in range(len(ends)):
-            token, before = grown[cut:], ends[cut]
-            if before is not None and token in self.bpe.tokens and (before == b"" or self.bpe.beside(before, token)):
-                break
-        else:
-            raise AssertionError("every byte is a token")
-        change = counts[cut] + 1
-        ends, counts = [*ends, token], [*(c - change for c in counts), 0]
-        heads = self.bpe.heads
-        keep = next(k for k in range(len(grown) + 1) if grown[k:] in heads)
-        live = [grown[k:] in heads for k in range(keep, len(grown) + 1)]
-        out = (grown[keep:], tuple(e if x else None for e, x in zip(ends[keep:], live, strict=True)), tuple(c if x else 0 for c, x in zip(counts[keep:], live, strict=True)))
-        return out, change
-
-    def _char(self, state: tuple, c: str) -> tuple[tuple, int]:
-        key = (state, c)
-        got = self.inner.get(key)
+        grown, tokens, heads, beside = suffix + ONE[b], self.bpe.tokens, self.bpe.heads, self.bpe.beside
+        n = len(grown)
+        for cut, before in enumerate(ends):  # one of them holds, since every byte is a token
+            if before is not None:
+                token = grown[cut:]
+                if token in tokens and (not before or beside(before, token)):
+                    break
+        change, keep = counts[cut] + 1, 0
+        while grown[keep:] not in heads:
+            keep += 1
+        suffix, ends, counts = grown[keep:], list(ends[keep:]), [c - change for c in counts[keep:]]
+        for k in range(1, n - keep):
+            if ends[k] is not None and suffix[k:] not in heads:
+                ends[k], counts[k] = None, 0
+            elif ends[k] is None:
+                counts[k] = 0
+        return (suffix, (*ends, token), (*counts, 0)), change
+
+    def _char(self, state: int, c: str) -> tuple[int, int]:
+        got = self.inner_steps[state].get(c)
         if got is None:
-            total = 0
+            now, total = self.inner[state], 0
             for b in c.encode():
-                state, change = self._byte(state, b)
+                now, change = self._byte(now, b)
                 total += change
-            if len(self.inner) >= 2 * MAX_STATES:
-                self.inner.clear()
-            got = self.inner[key] = (state, total)
+            got = self.inner_steps[state][c] = (self._inner_id(now), total)
         return got
 
     def _kind(self, c: str) -> str:
@@ -160,7 +172,7 @@ class Transducer:
 
     def _open(self, kind: str, c: str, lead: bool) -> tuple[tuple, int]:
         """A pre-token begins with c, or with a blank and c."""
-        state, change = self._char(self.ROOT, " ") if lead else (self.ROOT, 0)
+        state, change = self._char(ROOT, " ") if lead else (ROOT, 0)
         state, more = self._char(state, c)
         if c == "'" and not lead:
             return ("quote", state, ""), change + more
@@ -170,8 +182,8 @@ class Transducer:
         mode, kind = key[0], self._kind(c)
         if mode == "start":
             if kind == "W":
-                state, change = self._char(self.ROOT, c)
-                return ("W", self.ROOT, state, change, c, True), change
+                state, change = self._char(ROOT, c)
+                return ("W", ROOT, state, change, c, True), change
             return self._open(kind, c, False)
         if mode == "W":
             _, before, after, last_change, last, single = key
@@ -183,14 +195,14 @@ class Transducer:
                 return key, change - last_change
             key, change = self._open(kind, c, False)
             if not single:  # the last character becomes a pre-token of its own
-                change += self._char(self.ROOT, last)[1] - last_change
+                change += self._char(ROOT, last)[1] - last_change
             return key, change
         if mode == "quote":  # an apostrophe at a start, and letters that may make a contraction
             _, state, seen = key
             if any(x.startswith(seen + c) for x in CONTRACTIONS):
                 after, change = self._char(state, c) if not seen else self._char(key[1], c)
                 if seen + c in CONTRACTIONS:
-                    whole, count = self.ROOT, 0
+                    whole, count = ROOT, 0
                     for x in "'" + seen + c:
                         whole, more = self._char(whole, x)
                         count += more
@@ -211,7 +223,7 @@ class Transducer:
         return self._move(START, c)
 
     def _letters(self, seen: str) -> tuple[tuple, int]:
-        state, count = self.ROOT, 0
+        state, count = ROOT, 0
         for x in seen:
             state, more = self._char(state, x)
             count += more
@@ -223,30 +235,42 @@ class Transducer:
 
     def _forget(self) -> None:
         """Drop all compiled states; numbers given out before are void."""
-        self.keys.clear()
-        self.ids.clear()
-        self.steps.clear()
+        for held in (self.keys, self.ids, self.steps, self.inner, self.inner_ids, self.inner_steps):
+            held.clear()
+        self._inner_id((b"", (b"",), (0,)))  # ROOT
         self.start = self._id(START)
 
+    def _outside(self, key: tuple) -> tuple:
+        """A state's key with states inside pre-tokens written out, which outlasts the tables."""
+        at = {"start": 1, "W": 3}.get(key[0], 2)
+        return (key[0], *(self.inner[k] for k in key[1:at]), *key[at:])
+
+    def _inside(self, key: tuple) -> tuple:
+        at = {"start": 1, "W": 3}.get(key[0], 2)
+        return (key[0], *(self._inner_id(k) for k in key[1:at]), *key[at:])
+
     def step(self, state: int, c: str) -> tuple[int, int]:
         got = self.steps[state].get(c)
         if got is None:
             key, change = self._move(self.keys[state], c)
-            if len(self.keys) >= MAX_STATES and key not in self.ids:
+            if key not in self.ids and max(len(self.keys), len(self.inner) // 2) >= MAX_STATES:
+                key = self._outside(key)
                 self._forget()
-                return self._id(key), change
+                return self._id(self._inside(key)), change
             got = self.steps[state][c] = (self._id(key), change)
         return got
 
-    def run(self, text: str, key: tuple = START) -> tuple[tuple, int]:
-        """(exit state, count) of text from a state; states are told by their keys, which outlast the compiled numbers."""
-        state = self.start if key is START else self._id(key)
+    def _walk(self, text: str, state: int) -> tuple[int, int]:
         total, steps = 0, self.steps
         for c in text:
-            got = steps[state].get(c) or self.step(state, c)
-            state, change = got
+            state, change = steps[state].get(c) or self.step(state, c)
             total += change
-        return self.keys[state], total
+        return state, total
+
+    def run(self, text: str, key: tuple = START) -> tuple[tuple, int]:
+        """(exit state, count) of text from a state."""
+        state, total = self._walk(text, self._id(self._inside(key)))
+        return self._outside(self.keys[state]), total
 
     def chunk_map(self, text: str, entries: Iterable[tuple]) -> dict[tuple, tuple[tuple, int]]:
         """{entry state: (exit state, count)} of a chunk cut anywhere.
@@ -277,7 +301,7 @@ class Transducer:
 
     def piece(self, text: str) -> int:
         """Count of a piece that begins and ends where white space begins, or with the text: a transition from start to start."""
-        n = self.run(text)[1]
+        n = self._walk(text, self.start)[1]
         if len(text) <= 48 and len(self.pieces) < MAX_PIECES:
             self.pieces[text] = n
         return n
