@@ -694,6 +694,27 @@ def test_lm_learns_from_all_training_texts(spark, docs, monkeypatch):
     assert all(math.isclose(got[k], want[k], rel_tol=2e-3, abs_tol=0.05) for k in want)
 
 
+def test_lm_attention_learns_from_every_text_by_default(spark, docs):
+    encoding = lm_score.encoder(*SUBWORDS)
+    ids = [lm_score.encode_words(encoding, (t or "").lower().encode().split()) for t in docs.text[:50]]
+    encoded = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(ids)], "row long, ids binary")
+    weights = lm_score.fit(encoded, np.zeros(lm_score.IDS, int), np.zeros((lm_score.IDS, attention.CLASSES)))
+    assert set(np.flatnonzero(weights.moves[: lm_score.IDS])) - {lm_score.PAD} == {lm_score.END, *(int(i) for b in ids for i in np.frombuffer(b, "<u2"))}
+
+
+def test_training_takes_each_window_once_in_runs_of_any_length(monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 50, n).astype(np.int32) for n in (0, 1, 15, 16, 17, 100, 333)]
+    classes, after = rng.integers(0, attention.CLASSES, 62), rng.normal(size=(62, attention.CLASSES)).astype(np.float32)
+    got = []
+    for run in (1, 3, 8):
+        monkeypatch.setattr(attention, "RUN", run)
+        weights = attention.Weights.start(62, 61)
+        weights.learn(docs, classes, after, 60, 61, np.random.default_rng(0), batch=10**6)
+        got.append(weights)
+    assert all(np.allclose(w.rows, got[0].rows, atol=1e-4) and np.allclose(w.square, got[0].square, rtol=1e-3) for w in got)
+
+
 def test_subwords_of_cut_texts(monkeypatch):
     encoding = lm_score.encoder(*SUBWORDS)
     words_ = [*"a b\u3000 \u3000c it's 12 -- <|endoftext|> é́ 漢字 🙂".encode().split(), b"x" * 300]

@@ -23,10 +23,15 @@ CLASSES, WIDTH, EMBED = 32, 16, 16
 #: Counts of pairs among this many of the most frequent ids are in the model; those of all other pairs come from a table.
 PAIRED = 2048
 PAIR_WEIGHT = 2.0
-#: Passes of the training; in each, one in SHARE of the training documents is learned from, other ones in each.
-EPOCHS, SHARE = 2, 8
+#: Parts of the training, after each of which the tasks' weights are averaged; each learns from one in SHARE of the training documents,
+#: other ones in each, so EPOCHS = SHARE is one pass over all of them.
+EPOCHS, SHARE = 2, 2
 #: Frequent ids whose neighbourhood tells the classes.
 MARKS = 128
+#: Neighbouring windows that the training takes together.
+RUN = 8
+#: Logits of the training are held between this and its opposite, so that exponentials are finite and not all nought.
+LARGEST = np.float32(75)
 MASK = np.where(np.arange(T)[None, :] <= np.arange(SCORED)[:, None] + CONTEXT, 0.0, -1e9).astype(np.float32)
 
 
@@ -51,6 +56,22 @@ def _windowed(a: np.ndarray, n: int) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(a, (n, T, *a.shape[1:]), (SCORED * a.strides[0], *a.strides))
 
 
+def _runs(a: np.ndarray) -> np.ndarray:
+    """The windows (T rows each) of all runs (their number, places, width)."""
+    part, row, cell = a.strides
+    return np.lib.stride_tricks.as_strided(a, (len(a), RUN, T, a.shape[2]), (part, SCORED * row, row, cell)).reshape(-1, T, a.shape[2])
+
+
+def _whole(a: np.ndarray, runs: int) -> np.ndarray:
+    """Sums over the windows that a place of a run lies in; the opposite of ``_runs``."""
+    blocks = T // SCORED
+    a = a.reshape(runs, RUN, blocks, SCORED, -1)
+    out = np.zeros((runs, RUN + blocks - 1, SCORED, a.shape[4]), a.dtype)
+    for k in range(blocks):
+        out[:, k : k + RUN] += a[:, :, k]
+    return out.reshape(runs, -1, a.shape[4])
+
+
 def windows(docs: list[np.ndarray], end: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs (windows, T), targets (windows, SCORED; -1 where there is none) and each window's document; all have a target."""
     flat, target, owner = layout(docs, end, pad)
@@ -79,24 +100,24 @@ class Model:
         """log10 probabilities of documents given as arrays of ids. A pair not among the frequent ids counts as one never seen;
         ``pair_gain`` of its count is what it adds."""
         flat, y, owner = layout(docs, self.end, self.pad)
-        slot, out = self.slot[flat], np.zeros(len(docs))
+        slot, out, ones = self.slot[flat], np.zeros(len(docs)), np.ones((max(T, CLASSES), 1), np.float32)
         for k in range(0, len(y), at_once):
             b = y[k : k + at_once]
             n = len(b)
             at = slot[k * SCORED : (k + n) * SCORED + CONTEXT]
             now, first = at[CONTEXT:], self.rank[flat[k * SCORED + CONTEXT : (k + n) * SCORED + CONTEXT]]
             target = np.where(b >= 0, b, 0).ravel()
-            s = self.query[now].reshape(n, SCORED, WIDTH) @ _windowed(self.key[at], n).transpose(0, 2, 1)
+            s = self.query.take(now, 0).reshape(n, SCORED, WIDTH) @ _windowed(self.key.take(at, 0), n).transpose(0, 2, 1)
             s += self.bias
             np.exp(s, out=s)
-            context = s @ _windowed(self.embed[at], n)
-            context /= s.sum(2, keepdims=True)
+            context = s @ _windowed(self.embed.take(at, 0), n)
+            context /= s @ ones[:T]
             logits = context.reshape(-1, EMBED) @ self.value
-            logits += self.after[now]
+            logits += self.after.take(now, 0)
             c = self.classes[target]
             hit = logits[np.arange(len(c)), c]
             np.exp(logits, out=logits)
-            lp = hit - np.log(logits.sum(1)) + self.within[target] + self.pairs[first, self.rank[target]] - self.pair_classes[now, c]
+            lp = hit - np.log((logits @ ones[:CLASSES])[:, 0]) + self.within[target] + self.pairs[first, self.rank[target]] - self.pair_classes[now, c]
             out += np.bincount(owner[k : k + at_once], (lp.reshape(n, SCORED) * (b >= 0)).sum(1, dtype=np.float64), len(docs))
         return out / np.log(10)
 
@@ -223,50 +244,61 @@ class Weights:
             at += n
         return out
 
-    def learn(self, docs: list[np.ndarray], classes: np.ndarray, after: np.ndarray, end: int, pad: int, rng: np.random.Generator, batch: int = 64, rate: float = 0.2) -> None:
-        """One pass over all windows of documents in random order."""
+    def learn(self, docs: list[np.ndarray], classes: np.ndarray, after: np.ndarray, end: int, pad: int, rng: np.random.Generator, batch: int = 256, rate: float = 0.2) -> None:
+        """One pass over all windows of documents, in runs of RUN neighbours that come in random order; a run's places are looked up once."""
         p, square = self.views(self.rows), self.views(self.square)
-        x, y, _ = windows(docs, end, pad)
-        order = rng.permutation(len(x))
-        for k in range(0, len(order), batch):
-            a, t = x[order[k : k + batch]], y[order[k : k + batch]]
-            seen = t >= 0
-            n = max(1, seen.sum())
+        flat, target, _ = layout(docs, end, pad)
+        runs = -(-len(target) // RUN)
+        wide = RUN * SCORED + CONTEXT
+        x, y = np.full(runs * RUN * SCORED + CONTEXT, pad, np.int32), np.full((runs * RUN, SCORED), -1, np.int32)
+        x[: len(flat)], y[: len(target)] = flat, target
+        x, y = np.lib.stride_tricks.as_strided(x, (runs, wide), (RUN * SCORED * x.strides[0], x.strides[0])), y.reshape(runs, -1)
+        order, ones = rng.permutation(runs), np.ones((max(T, CLASSES), 1), np.float32)
+        for k in range(0, runs, max(1, batch // RUN)):
+            a, t = x[order[k : k + max(1, batch // RUN)]], y[order[k : k + max(1, batch // RUN)]].reshape(-1)
+            seen, n = t >= 0, len(t) // SCORED
+            weight = seen / np.float32(max(1, seen.sum()))
             c = classes[np.where(seen, t, 0)]
-            e = p["e"][a]
-            eq = e[:, CONTEXT:].reshape(-1, EMBED)
-            q, key = (eq @ p["q"]).reshape(-1, SCORED, WIDTH), (e.reshape(-1, EMBED) @ p["k"]).reshape(-1, T, WIDTH)
+            every = p["e"].take(a, 0)
+            now = every[:, CONTEXT:].reshape(-1, EMBED)
+            e = _runs(every)
+            q, key = (now @ p["q"]).reshape(n, SCORED, WIDTH), _runs((every.reshape(-1, EMBED) @ p["k"]).reshape(len(a), wide, WIDTH))
             w = q @ key.transpose(0, 2, 1)
-            w += p["b"] + MASK
-            w -= w.max(2, keepdims=True)
+            w += p["b"]
+            np.clip(w, -LARGEST, LARGEST, out=w)  # in place of a shift by each row's greatest
+            w += MASK
             np.exp(w, out=w)
-            w /= w.sum(2, keepdims=True)
+            w /= w @ ones[:T]
             context = (w @ e).reshape(-1, EMBED)
-            g = (context @ p["v"]).reshape(-1, SCORED, CLASSES)
-            g += after[a[:, CONTEXT:]]
-            g -= g.max(2, keepdims=True)
+            g = context @ p["v"]
+            g += after.take(a[:, CONTEXT:].reshape(-1), 0)
+            np.clip(g, -LARGEST, LARGEST, out=g)
             np.exp(g, out=g)
-            g /= g.sum(2, keepdims=True)
-            np.put_along_axis(g, c[..., None], np.take_along_axis(g, c[..., None], 2) - 1, 2)
-            g *= (seen / np.float32(n)).astype(np.float32)[..., None]
-            g = g.reshape(-1, CLASSES)
-            dcontext = (g @ p["v"].T).reshape(-1, SCORED, EMBED)
-            ds = dcontext @ e.transpose(0, 2, 1)
-            ds -= (w * ds).sum(2, keepdims=True)
+            g *= weight[:, None] / (g @ ones[:CLASSES])
+            g[np.arange(len(c)), c] -= weight
+            dcontext = g @ p["v"].T
+            ds = dcontext.reshape(n, SCORED, EMBED) @ e.transpose(0, 2, 1)
+            ds -= ((dcontext * context) @ ones[:EMBED]).reshape(n, SCORED, 1)
             ds *= w
-            dq, dk = (ds @ key).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-            de = w.transpose(0, 2, 1) @ dcontext + (dk @ p["k"].T).reshape(-1, T, EMBED)
-            de[:, CONTEXT:] += (dq @ p["q"].T).reshape(-1, SCORED, EMBED)
-            flat = a.reshape(-1)
-            by = np.argsort(flat, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(flat[by]) != 0])
-            u, du = flat[by[starts]], np.add.reduceat(de.reshape(-1, EMBED)[by], starts, axis=0)
+            dq = (ds @ key).reshape(-1, WIDTH)
+            dk = _whole(ds.transpose(0, 2, 1) @ q, len(a)).reshape(-1, WIDTH)
+            de = _whole(w.transpose(0, 2, 1) @ dcontext.reshape(n, SCORED, EMBED), len(a))
+            de += (dk @ p["k"].T).reshape(de.shape)
+            de[:, CONTEXT:] += (dq @ p["q"].T).reshape(len(a), -1, EMBED)
+            ids = a.reshape(-1)
+            by = np.argsort(ids.astype(np.uint16), kind="stable")  # 16-bit numbers are sorted by their digits
+            ordered = ids[by]
+            first = np.r_[True, ordered[1:] != ordered[:-1]]
+            place, u = np.empty(len(by), np.int64), ordered[first]
+            place[by] = np.cumsum(first) - 1
+            du = np.bincount((place[:, None] * EMBED + np.arange(EMBED)).ravel(), de.ravel(), len(u) * EMBED).reshape(-1, EMBED).astype(np.float32)
             du[u == pad] = 0
-            square["e"][u] += du * du
-            p["e"][u] -= rate * du / np.sqrt(square["e"][u])
+            sums = square["e"].take(u, 0) + du * du
+            square["e"][u] = sums
+            p["e"][u] -= rate * du / np.sqrt(sums)
             self.moves[u] += 1
             self.moves[self.ids :] += 1
-            for name, grad in (("q", eq.T @ dq), ("k", e.reshape(-1, EMBED).T @ dk), ("v", context.T @ g), ("b", ds.sum(0))):
+            for name, grad in (("q", now.T @ dq), ("k", every.reshape(-1, EMBED).T @ dk), ("v", context.T @ g), ("b", ds.sum(0))):
                 square[name] += grad * grad
                 p[name] -= rate * grad / np.sqrt(square[name])
 

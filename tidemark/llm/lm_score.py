@@ -2,8 +2,8 @@
 
 Counts are learned from all training documents: those of words and of neighbouring subwords (summed in every task first, and
 kept as tables in the shared folder that grow with the corpus), from these the subwords' classes and the counts of classes after
-subwords, and the attention's weights. Each of ``EPOCHS`` passes goes over every training document: tasks start from the same
-weights, learn from the documents they hold, and rows of weights are averaged by how often each task moved them. Every text is
+subwords, and the attention's weights. ``EPOCHS`` parts of the training learn once from every training document between them: in each,
+tasks start from the same weights, learn from the documents they hold, and rows of weights are averaged by how often each task moved them. Every text is
 then scored whole, window by window, each subword once (``attention``); counts of pairs of the most frequent subwords are in the
 model, other pairs meet theirs in a join.
 
@@ -213,7 +213,7 @@ def _gather(pairs: DataFrame, classes: np.ndarray, rank: np.ndarray) -> tuple[np
 
 
 def fit(learn: DataFrame, classes: np.ndarray, follow: np.ndarray, epochs: int = attention.EPOCHS, seed: int = 11) -> attention.Weights:
-    """Weights after ``epochs`` passes, each over one in ``attention.SHARE`` of all texts; rows that no text moved are noughts."""
+    """Weights after ``epochs`` parts of the training, each over one in ``attention.SHARE`` of all texts; rows that no text moved are noughts."""
     spark, weights = learn.sparkSession, attention.Weights.start(IDS, PAD, seed)
     after, width = attention.logits_after(follow)[0], attention.EMBED
     fixed = spark.sparkContext.broadcast((classes, after))
