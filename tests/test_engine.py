@@ -149,6 +149,13 @@ def test_evaluation(spark):
     assert got == {"x": (0.5, 0.5), "y": (0.0, 0.0), "z": (0.0, 0.0)}
 
 
+def test_equal_histograms_have_equal_entropies(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.permutation(np.repeat(np.arange(6.0), (18, 5, 3, 2, 1, 1))).tolist()) for k in range(40)]
+    df = spark.createDataFrame(rows, "series_id long, data array<double>")
+    assert len({r.h for r in df.select(phase_space.embedding_entropy(F.col("data"), 1, 1, 6).alias("h")).collect()}) == 1
+
+
 def test_entropy_against_numpy(spark):
     x = np.random.default_rng(5).normal(size=60)
     got = spark.range(1).select(phase_space.embedding_entropy(F.array(*map(F.lit, x.tolist())), 3, 2, 6).alias("h")).first().h

@@ -77,7 +77,8 @@ def embedding_dists(data: Column, delay: int, m_dim: int, metric=euclidean) -> C
 
 
 def embedding_entropy(data: Column, delay: int, m_dim: int, n_bins: int) -> Column:
-    """Entropy (nats) of the delay vectors' histogram with n_bins equal bins between each dimension's ends."""
+    """Entropy (nats) of the delay vectors' histogram with n_bins equal bins between each dimension's ends. Cells are summed by size, so
+    histograms with the same counts have the same entropy to the last bit, in whatever order their cells come; peak picking compares them."""
 
     def ends(v: Column, k: int) -> Column:
         c = F.transform(v, lambda x: x[k])
@@ -89,7 +90,7 @@ def embedding_entropy(data: Column, delay: int, m_dim: int, n_bins: int) -> Colu
             F.array(*[ends(v, k) for k in range(m_dim)]),
             lambda e: let(
                 F.transform(v, lambda x: sum((F.least(F.floor((x[k] - e[k].a) / (e[k].b - e[k].a) * n_bins), F.lit(n_bins - 1)) * (n_bins**k) for k in range(1, m_dim)), F.least(F.floor((x[0] - e[0].a) / (e[0].b - e[0].a) * n_bins), F.lit(n_bins - 1)))),
-                lambda cells: total(F.transform(F.array_distinct(cells), lambda c: let(F.size(F.filter(cells, lambda x: x == c)) / F.size(cells), lambda p: -p * F.log(p)))),
+                lambda cells: total(F.array_sort(F.transform(F.array_distinct(cells), lambda c: let(F.size(F.filter(cells, lambda x: x == c)) / F.size(cells), lambda p: -p * F.log(p))))),
             ),
         )
 
