@@ -156,6 +156,20 @@ def test_equal_histograms_have_equal_entropies(spark):
     assert len({r.h for r in df.select(phase_space.embedding_entropy(F.col("data"), 1, 1, 6).alias("h")).collect()}) == 1
 
 
+def test_onsets_at_tied_entropies_are_evaluated_as_hits(spark):
+    """Segment 1 has the values of segment 0 in another order, so it ties with it, and segment 2 has less entropy."""
+    rng = np.random.default_rng(5)
+    signals = {}
+    for k in range(40):
+        a, b = rng.permutation(np.repeat(np.arange(6.0), (9, 2, 2, 1, 1, 1))), rng.permutation(np.repeat(np.arange(6.0), (9, 3, 1, 1, 1, 1)))
+        signals[k] = [*a, *b, *rng.permutation(a), *np.zeros(16)]
+    signal = spark.createDataFrame([(k, j, float(v)) for k, x in signals.items() for j, v in enumerate(x)], "series_id long, frame long, value double")
+    found = onsets.entropy_onsets(signal, 16, SegmentationParams(32, 16, False, False), PeakPickingParams(1, 1, 0.1, 0.01), m_dim=1, delay=1, n_bins=6)
+    targets = spark.createDataFrame([(k, 2.0) for k in signals], "name long, time double")
+    got = onsets.evaluate_onsets(targets, found.select(F.col("series_id").alias("name"), "time")).collect()
+    assert sorted((r.name, r.precision, r.recall) for r in got) == [(k, 1.0, 1.0) for k in sorted(signals)]
+
+
 def test_entropy_against_numpy(spark):
     x = np.random.default_rng(5).normal(size=60)
     got = spark.range(1).select(phase_space.embedding_entropy(F.array(*map(F.lit, x.tolist())), 3, 2, 6).alias("h")).first().h
