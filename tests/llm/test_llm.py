@@ -272,6 +272,24 @@ def test_suffix_dedup_of_null_and_repeated_ids(spark):
 # 4 token counts
 
 
+def test_places_are_joined_by_one_number(spark):
+    rows = [(5, 7, 1), (5, 7, 2), (6, 7, 3), (8, 9, 4)]
+    places = spark.createDataFrame(rows, "h long, k long, doc_id long")
+    found = spark.createDataFrame([(5, 7, 1, True), (8, 8, 4, False)], "h long, k long, low long, sorting boolean")
+    got = suffix_dedup._met(places, found.hint("merge"))
+    assert sorted(map(tuple, got.select("h", "k", "doc_id", "low", "sorting").collect())) == [(5, 7, 1, 1, True), (5, 7, 2, 1, True)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"SortMergeJoin \[k#\d+L?\], \[k#\d+L?\]", plan)
+
+
+def test_runs_are_taken_out_within_their_texts():
+    texts = [b"", b"abcdef", b"ghi", b"", b"j", b""]
+    gone = np.array([1, 0, 1, 1, 0, 1, 1, 1, 0, 1], bool)
+    size, removed, spans, kept = (x.to_pylist() for x in suffix_dedup._taken_out(texts, gone))
+    assert size == [0, 6, 3, 0, 1, 0] and removed == [0, 4, 2, 0, 1, 0] and kept == [b"", b"be", b"i", b"", b"", b""]
+    assert [[(s["start"], s["end"]) for s in x] for x in spans] == [[], [(0, 1), (2, 4), (5, 6)], [(0, 2)], [], [(0, 1)], []]
+
+
 def test_transducer_equals_the_library(monkeypatch):
     from tokenizers import Tokenizer
 

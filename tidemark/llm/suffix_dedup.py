@@ -321,6 +321,12 @@ def _to_sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(k[out]), pa.array(low[out]), pa.array(sorting[out])], ["h", "k", "low", "sorting"])
 
 
+def _met(places: DataFrame, found: DataFrame) -> DataFrame:
+    """places joined with found on (h, k). Sorted by the number k alone, which Spark does by radix; h is compared where k meets."""
+    met = places.join(found.withColumnRenamed("h", "found_h"), "k").where(F.col("h").bitwiseXOR(F.col("found_h")) == 0)
+    return met.drop("found_h")
+
+
 def _unit_bytes(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
     """(h, k, low, piece): the bytes of units at one place each. Documents meet the places in them."""
     wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("h", "k", "start", "strings")).alias("places"))
@@ -388,10 +394,10 @@ def _classes(width: int):
                 rows += [(1, h, chunk, c, m, None, p, q, None) for c, m, p, q in zip(cls.tolist(), least[cls].tolist(), a, b, strict=True)]
                 rows += [(2, h, chunk, w[2], w[3], None, None, None, c) for w, c in zip(waiting, of, strict=True)]
             else:
-                for (h, chunk, k, *_), c in zip(waiting, of, strict=True):
-                    m = least[c]
-                    low, high = int(m.min()), int(m.max())
-                    rows.append((0, h, chunk, k, low, high, None, None, None if low == high else m))
+                mins, first = least[flat], np.cumsum([0, *counts])
+                lows, highs = (f.reduceat(mins, first[:-1]).tolist() for f in (np.minimum, np.maximum))
+                for (h, chunk, k, *_), low, high, p, q in zip(waiting, lows, highs, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    rows.append((0, h, chunk, k, low, high, None, None, None if low == high else mins[p:q]))
             return _sorted_rows(rows)
 
         last = None
@@ -464,7 +470,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
         marked = marked.unionByName(distinct.join(large, "h", "left_semi").select("h", "k", "low", F.lit(True).alias("sorting")))
     marked = materialize(marked, "marked-units")
     discard(distinct)
-    places = materialize(all_places.drop("sk").join(marked, ["h", "k"]), "places")
+    places = materialize(_met(all_places.drop("sk"), marked).where("sorting OR low < doc_id"), "places")
     discard(all_places, marked)
     one = places.where("sorting AND doc_id = low").groupBy("h", "k").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.min("strings").alias("strings"))
     pieces = materialize(_unit_bytes(numbered, one, width), "unit-bytes")
@@ -476,7 +482,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     classes = done.where("kind = 0")
     if n_large:
         classes = classes.unionByName(_across_chunks(done))
-    sorted_ = places.where("sorting").drop("low").join(classes.select("h", "k", "low", "high", "mins"), ["h", "k"]).where("low < doc_id")
+    sorted_ = _met(places.where("sorting").drop("low"), classes.select("h", "k", "low", "high", "mins")).where("low < doc_id")
     bit = F.transform("mins", lambda m, i: F.when(m < F.col("doc_id"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
     which = F.when(F.col("high") >= F.col("doc_id"), F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))).otherwise(F.lit(-1).cast("long"))
     plain = places.where("NOT sorting AND low < doc_id").withColumn("which", F.lit(-1).cast("long"))
@@ -485,27 +491,40 @@ def suffix_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     covers = materialize(covers.groupBy("doc_id").agg(F.collect_list(F.struct("k", "start", "strings", "which")).alias("covers")), "covers")
     discard(places, pieces, done, large_table)
     joined = docs.join(covers, "doc_id", "left").select("doc_id", "text", "covers")
-    spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(low, TEXTS)
                 texts = utf8(part.column(1))
-                gone, first = _covered(texts, part.column(2), width)
-                removed, spans, kept = [], [], []
-                for text, a in zip(texts, first.tolist(), strict=True):
-                    mine = gone[a : a + len(text)]
-                    edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).tolist() if mine.any() else []
-                    spans.append([{"start": x, "end": y} for x, y in zip(edge[::2], edge[1::2], strict=True)])
-                    kept.append(b"".join(text[x:y] for x, y in zip([0, *edge[1::2]], [*edge[::2], len(text)], strict=True)) if edge else text)
-                    removed.append(len(text) - len(kept[-1]))
-                n_bytes = [len(t) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, spans_kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                gone, _ = _covered(texts, part.column(2), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_taken_out(texts, gone)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
+def _taken_out(texts: list[bytes], gone: np.ndarray) -> list[pa.Array]:
+    """n_bytes, n_removed, spans and kept of texts, given which bytes of the joined texts go."""
+    size = np.array([len(t) for t in texts], np.int64)
+    bound = np.cumsum(np.r_[0, size])
+    before = np.cumsum(np.r_[0, gone])[bound]  # bytes that go before each text
+    filled = np.flatnonzero(size)
+    head, tail = gone.copy(), gone.copy()  # first and last bytes of the runs that go; runs end with their text
+    head[1:] &= ~gone[:-1]
+    tail[:-1] &= ~gone[1:]
+    head[bound[filled]] = gone[bound[filled]]
+    tail[bound[filled + 1] - 1] = gone[bound[filled + 1] - 1]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    of = np.searchsorted(bound[:-1], start, "right") - 1
+    runs = pa.StructArray.from_arrays([pa.array(start - bound[of]), pa.array(end - bound[of])], ["start", "end"])
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(start, bound).astype(np.int32)), runs)
+    kept = np.frombuffer(b"".join(texts), np.uint8)[~gone]
+    if len(kept) > np.iinfo(np.int32).max:
+        raise ValueError("the texts of a batch are too long together")
+    data = [None, pa.py_buffer((bound - before).astype(np.int32)), pa.py_buffer(kept)]
+    return [pa.array(size), pa.array(np.diff(before)), spans, pa.Array.from_buffers(pa.binary(), len(texts), data)]
+
+
 def _covered(texts: list[bytes], covers, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Which bytes of joined texts are covered, and the texts' starts."""
     of, (k, start, strings, which) = _listed(covers)
@@ -517,8 +536,9 @@ def _covered(texts: list[bytes], covers, width: int) -> tuple[np.ndarray, np.nda
     all_ = which == -1
     np.add.at(step, at[all_], 1)
     np.add.at(step, (at + n - 1 + width)[all_], -1)
+    at, n, which = at[~all_], n[~all_], which[~all_]
     for i in range(REACH):
-        some = at[~all_ & (i < n) & ((which >> i) & 1 > 0)] + i
+        some = at[(i < n) & ((which >> i) & 1 > 0)] + i
         np.add.at(step, some, 1)
         np.add.at(step, some + width, -1)
     return np.cumsum(step[:size]) > 0, first
