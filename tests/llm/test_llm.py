@@ -364,6 +364,29 @@ def test_line_dedup(spark, limit, monkeypatch):
     assert line_dedup.line_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_stores_start_no_other_python_workers(spark, monkeypatch):
+    docs = frame(spark, ["a\nb", "a\nc", "d"])
+
+    def made_in_python(*args, **kwargs):
+        raise AssertionError("rows from Python need workers of another kind")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", made_in_python)
+    store = line_dedup.LineStore(spark, 3, 1).insert(docs)
+    more = store.insert(docs.where("doc_id = 0"))
+    assert sorted(r.n for r in more.counts.collect()) == [1, 1, 2, 3]
+    assert [r.n_dropped for r in line_dedup.line_dedup(docs, 2).orderBy("doc_id").collect()] == [1, 1, 0]
+    assert not hasattr(line_dedup, "pd")
+
+
+def test_stages_are_tables_of_their_own(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.repeated_lines):
+        docs = stage(spark, docs, sf)
+        assert "MapInArrow" not in docs._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_store_is_reversible(spark):
     one, two = frame(spark, ["a\nb", "a\nc", "b"]), frame(spark, ["a\nd", "d", "c\nc"])
     store = line_dedup.LineStore(spark, 2, 1).insert(one)

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,11 +79,12 @@ class LineStore:
         self.tables = tables  # with the shards that later tables replace
 
     def _rows(self) -> DataFrame:
-        out = self.spark.createDataFrame([], _STORE)
+        # made in the JVM: an empty list from Python would start Python workers of another kind, which stay
+        kinds = [c.split() for c in _STORE.split(", ")]
+        out = self.spark.range(0).select(*(F.lit(None).cast(kind).alias(c) for c, kind in kinds))
         for t, stale in self.tables:
             if stale:
-                gone = self.spark.createDataFrame(pd.DataFrame({"shard": sorted(stale)}), "shard int")
-                t = t.join(F.broadcast(gone), "shard", "left_anti")
+                t = t.where(~F.col("shard").isin(sorted(stale)))
             out = out.unionByName(t)
         return out
 
