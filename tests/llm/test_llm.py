@@ -766,6 +766,24 @@ def test_subwords_of_cut_texts(monkeypatch):
     assert lm_score.encode_words(encoding, []) == b""
 
 
+def test_subwords_of_frequent_words_are_looked_up(monkeypatch):
+    texts = [t.encode() for t in ("It's a cat,  A\tcat\u3000 \u3000a", "", "dog a -- dog 漢字 é́ \x1c🙂 x\xa0", "a cat's " + "y" * 30, "cat a a", "z\u2003 \u2003")]
+    split = [t.lower().split() for t in texts]
+    flat = [w for words in split for w in words]
+    head = [b"a", b"cat", b"\0" + bytes(16), "漢字".encode(), "\u3000a".encode(), b"it's"]
+    encoding = lm_score.encoder(*SUBWORDS)
+    want = [lm_score.encode_words(encoding, words) for words in split]
+    keep, encoded = lm_score.encode_words, []
+    monkeypatch.setattr(lm_score, "encode_words", lambda e, words: encoded.append(words) or keep(e, words))
+    for known in ([], head):
+        at_of, _, ids, cuts = lm_score._head(SUBWORDS, known, np.zeros(len(known)))
+        encoded.clear()
+        assert lm_score.encode_split(SUBWORDS, texts, split, np.array([at_of.get(w, -1) for w in flat]), ids, cuts) == want
+        whole = [split[k] for k in (0, 2, 5)]  # those with white space beyond ASCII
+        assert encoded[1:] == whole and encoded[0] == [b"x" if lm_score.BEYOND.search(w) else w for w in flat if w not in known]
+    assert lm_score.encode_split((SUBWORDS[0], r"\S+|\s+"), texts[:1], split[:1], np.full(len(split[0]), -1), ids[:0], np.zeros(1, int)) == [keep(lm_score.encoder(SUBWORDS[0], r"\S+|\s+"), split[0])]
+
+
 def test_lm_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (2, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
     got = lm_score.lm_scores(df, F.lit(True), SUBWORDS).collect()

@@ -89,8 +89,7 @@ class Model:
     after: np.ndarray  # (rows, CLASSES) logits after each id
     pair_classes: np.ndarray  # (rows, CLASSES) log(count of the class after each id + PAIR_WEIGHT)
     embed: np.ndarray
-    query: np.ndarray
-    key: np.ndarray
+    query: np.ndarray  # (rows, EMBED) queries times the keys' matrix; applied to embeddings, which is the same as meeting keys
     value: np.ndarray  # (EMBED, CLASSES); applied to the attended embeddings, which is the same as attending to values
     bias: np.ndarray
     end: int
@@ -107,17 +106,18 @@ class Model:
             at = slot[k * SCORED : (k + n) * SCORED + CONTEXT]
             now, first = at[CONTEXT:], self.rank[flat[k * SCORED + CONTEXT : (k + n) * SCORED + CONTEXT]]
             target = np.where(b >= 0, b, 0).ravel()
-            s = self.query.take(now, 0).reshape(n, SCORED, WIDTH) @ _windowed(self.key.take(at, 0), n).transpose(0, 2, 1)
+            e = _windowed(self.embed.take(at, 0), n)
+            s = self.query.take(now, 0).reshape(n, SCORED, EMBED) @ e.transpose(0, 2, 1)
             s += self.bias
             np.exp(s, out=s)
-            context = s @ _windowed(self.embed.take(at, 0), n)
+            context = s @ e
             context /= s @ ones[:T]
             logits = context.reshape(-1, EMBED) @ self.value
             logits += self.after.take(now, 0)
             c = self.classes[target]
-            hit = logits[np.arange(len(c)), c]
+            hit = logits.take(np.arange(0, logits.size, CLASSES) + c)
             np.exp(logits, out=logits)
-            lp = hit - np.log((logits @ ones[:CLASSES])[:, 0]) + self.within[target] + self.pairs[first, self.rank[target]] - self.pair_classes[now, c]
+            lp = hit - np.log((logits @ ones[:CLASSES])[:, 0]) + self.within[target] + self.pairs.take(first * self.pairs.shape[1] + self.rank[target]) - self.pair_classes.take(now * CLASSES + c)
             out += np.bincount(owner[k : k + at_once], (lp.reshape(n, SCORED) * (b >= 0)).sum(1, dtype=np.float64), len(docs))
         return out / np.log(10)
 
@@ -262,43 +262,43 @@ class Weights:
             every = p["e"].take(a, 0)
             now = every[:, CONTEXT:].reshape(-1, EMBED)
             e = _runs(every)
-            q, key = (now @ p["q"]).reshape(n, SCORED, WIDTH), _runs((every.reshape(-1, EMBED) @ p["k"]).reshape(len(a), wide, WIDTH))
-            w = q @ key.transpose(0, 2, 1)
+            meet = p["q"] @ p["k"].T
+            qk = (now @ meet).reshape(n, SCORED, EMBED)
+            w = qk @ e.transpose(0, 2, 1)
             w += p["b"]
             np.clip(w, -LARGEST, LARGEST, out=w)  # in place of a shift by each row's greatest
             w += MASK
             np.exp(w, out=w)
-            w /= w @ ones[:T]
+            w *= 1 / (w @ ones[:T])
             context = (w @ e).reshape(-1, EMBED)
             g = context @ p["v"]
             g += after.take(a[:, CONTEXT:].reshape(-1), 0)
             np.clip(g, -LARGEST, LARGEST, out=g)
             np.exp(g, out=g)
             g *= weight[:, None] / (g @ ones[:CLASSES])
-            g[np.arange(len(c)), c] -= weight
+            g.reshape(-1)[np.arange(0, g.size, CLASSES) + c] -= weight
             dcontext = g @ p["v"].T
-            ds = dcontext.reshape(n, SCORED, EMBED) @ e.transpose(0, 2, 1)
+            sides = np.concatenate((dcontext.reshape(n, SCORED, EMBED), qk), 1)
+            ds = sides[:, :SCORED] @ e.transpose(0, 2, 1)
             ds -= ((dcontext * context) @ ones[:EMBED]).reshape(n, SCORED, 1)
             ds *= w
-            dq = (ds @ key).reshape(-1, WIDTH)
-            dk = _whole(ds.transpose(0, 2, 1) @ q, len(a)).reshape(-1, WIDTH)
-            de = _whole(w.transpose(0, 2, 1) @ dcontext.reshape(n, SCORED, EMBED), len(a))
-            de += (dk @ p["k"].T).reshape(de.shape)
-            de[:, CONTEXT:] += (dq @ p["q"].T).reshape(len(a), -1, EMBED)
+            dqk = (ds @ e).reshape(-1, EMBED)
+            de = _whole(np.concatenate((w, ds), 1).transpose(0, 2, 1) @ sides, len(a))
+            de[:, CONTEXT:] += (dqk @ meet.T).reshape(len(a), -1, EMBED)
+            dmeet = now.T @ dqk
             ids = a.reshape(-1)
             by = np.argsort(ids.astype(np.uint16), kind="stable")  # 16-bit numbers are sorted by their digits
             ordered = ids[by]
-            first = np.r_[True, ordered[1:] != ordered[:-1]]
-            place, u = np.empty(len(by), np.int64), ordered[first]
-            place[by] = np.cumsum(first) - 1
-            du = np.bincount((place[:, None] * EMBED + np.arange(EMBED)).ravel(), de.ravel(), len(u) * EMBED).reshape(-1, EMBED).astype(np.float32)
+            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            u = ordered[first]
+            du = np.add.reduceat(de.reshape(-1, EMBED).take(by, 0), first, 0)
             du[u == pad] = 0
             sums = square["e"].take(u, 0) + du * du
             square["e"][u] = sums
             p["e"][u] -= rate * du / np.sqrt(sums)
             self.moves[u] += 1
             self.moves[self.ids :] += 1
-            for name, grad in (("q", now.T @ dq), ("k", every.reshape(-1, EMBED).T @ dk), ("v", context.T @ g), ("b", ds.sum(0))):
+            for name, grad in (("q", dmeet @ p["k"]), ("k", dmeet.T @ p["q"]), ("v", context.T @ g), ("b", ds.sum(0))):
                 square[name] += grad * grad
                 p[name] -= rate * grad / np.sqrt(square[name])
 
@@ -322,4 +322,4 @@ def model(weights: Weights, classes: np.ndarray, counts: np.ndarray, follow: np.
     slot[known] = np.arange(len(known))
     e = np.r_[p["e"][known], np.zeros((1, EMBED), np.float32)]
     pair_classes = np.log(np.r_[follow[known], np.zeros((1, CLASSES))] + PAIR_WEIGHT).astype(np.float32)
-    return Model(classes.astype(np.int32), within, rank.astype(np.int32), pair_table(rank, within, pairs), slot, np.r_[after[known], prior[None, :]], pair_classes, e, e @ p["q"], e @ p["k"], p["v"].copy(), p["b"] + MASK, end, pad)
+    return Model(classes.astype(np.int32), within, rank.astype(np.int32), pair_table(rank, within, pairs), slot, np.r_[after[known], prior[None, :]], pair_classes, e, e @ (p["q"] @ p["k"].T), p["v"].copy(), p["b"] + MASK, end, pad)

@@ -7,7 +7,7 @@ tasks start from the same weights, learn from the documents they hold, and rows
 then scored whole, window by window, each subword once (``attention``); counts of pairs of the most frequent subwords are in the
 model, other pairs meet theirs in a join.
 
-For the base, counts of the most frequent words (at most ``HEAD``) are sent to the tasks; other words meet their counts in a
+For the base, counts of the most frequent words (at most ``HEAD``) are sent to the tasks, with their subwords' ids; other words meet their counts in a
 join, one row per occurrence. Ids are kept with each row's number in a table in the shared folder, so that repeated
 doc_ids stay apart.
 
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,13 @@ RUN = 100_000
 END, PAD = 50256, 50257
 IDS = PAD + 1
 
+#: An expression whose pieces end with a word, so that a word's ids are its own, where no white space beyond ASCII stands beside a blank.
+APART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space beyond ASCII, in UTF-8.
+BEYOND = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+
 _ENCODERS: dict[tuple[str, str], object] = {}
+_BLANKS: dict[tuple[str, str], np.ndarray] = {}
 
 
 def encoder(ranks: str, pattern: str):
@@ -54,6 +62,9 @@ def encoder(ranks: str, pattern: str):
         if len(known) > END:
             raise ValueError(f"a vocabulary of {END} ids at most")
         _ENCODERS[ranks, pattern] = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=known, special_tokens={})
+        blank = np.zeros(IDS, bool)
+        blank[[rank for token, rank in known.items() if token[:1] == b" "]] = True
+        _BLANKS[ranks, pattern] = blank
     return _ENCODERS[ranks, pattern]
 
 
@@ -63,6 +74,36 @@ def encode_words(encoding, words: list[bytes]) -> bytes:
     return b"".join(np.array(encoding.encode_ordinary(p.decode()), "<u2").tobytes() for p in parts)
 
 
+def ids_apart(tokenizer: tuple[str, str], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words without white space beyond ASCII, one behind the other, and where each word's begin; by ``APART``."""
+    ids = np.frombuffer(encode_words(encoder(*tokenizer), words), "<u2") if words else np.zeros(0, "<u2")
+    starts = np.flatnonzero(_BLANKS[tokenizer][ids]) if words else np.zeros(0, np.int64)  # each word has one blank, its first byte
+    if len(starts) != len(words):
+        raise ValueError("ids that are not apart by words")
+    return ids, starts
+
+
+def encode_split(tokenizer: tuple[str, str], texts: list[bytes], split: list[list[bytes]], place: np.ndarray, head_ids: np.ndarray, head_cuts: np.ndarray) -> list[bytes]:
+    """``encode_words`` of each text's words. place: of all words of all texts among those whose ids are known, -1 for others."""
+    encoding = encoder(*tokenizer)
+    if tokenizer[1] != APART:
+        return [encode_words(encoding, words) for words in split]
+    whole = [not text.isascii() and BEYOND.search(text) is not None for text in texts]
+    rest = np.flatnonzero(place < 0)
+    flat = list(chain.from_iterable(split))
+    others = [flat[k] for k in rest.tolist()]
+    if any(whole):
+        others = [b"x" if BEYOND.search(w) else w for w in others]
+    ids, starts = ids_apart(tokenizer, others)
+    pool = np.r_[head_ids, ids]
+    first, n = head_cuts[place], head_cuts[place + 1] - head_cuts[place]
+    first[rest], n[rest] = starts + len(head_ids), np.diff(starts, append=len(ids))
+    ends = np.cumsum(n)
+    blob = pool[np.arange(n.sum()) + np.repeat(first - ends + n, n)].tobytes()
+    cuts = (2 * np.r_[0, ends][np.r_[0, np.cumsum([len(words) for words in split])]]).tolist()
+    return [encode_words(encoding, words) if w else blob[i:j] for words, w, i, j in zip(split, whole, cuts, cuts[1:], strict=False)]
+
+
 def word_key(word: bytes) -> bytes:
     """The word, or 17 bytes for one longer than 16."""
     return word if len(word) <= 16 else b"\0" + xxh3_128_digest(word)
@@ -83,6 +124,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def _head(tokenizer: tuple[str, str], keys: list[bytes], shares: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
+    """Places of frequent words by key, their shares of the base, the ids of all of them and where each one's begin and end; long words and
+    words with white space beyond ASCII have none there and are encoded where they stand."""
+    n = np.zeros(len(keys), np.int64)
+    plain = [k for k, w in enumerate(keys) if len(w) <= 16 and not BEYOND.search(w)] if tokenizer[1] == APART else []
+    ids, starts = ids_apart(tokenizer, [keys[k] for k in plain])
+    n[plain] = np.diff(starts, append=len(ids))
+    return {w: k for k, w in enumerate(keys)}, shares, ids, np.r_[0, np.cumsum(n)]
+
+
 _ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, ids binary, tail array<binary>"
 
 
@@ -92,31 +143,28 @@ def _encode(docs: DataFrame, tokenizer: tuple[str, str], head, ends: int, size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoding, get = encoder(*tokenizer), head.value.get
+        at_of, shares, ids, id_cuts = head.value
+        get = at_of.get
         row = TaskContext.get().partitionId() << 36
         end = math.log10((ends + 0.5) / size)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
                 texts = utf8(part.column(2))
-                n, found, base, rest, cuts = [], [], [], [], [0]
                 split = [text.lower().split() for text in texts]
-                for words in split:
-                    shares = list(map(get, words))
-                    others = shares.count(None)
-                    if others:  # a long frequent word is in the head by its key
-                        keys = [word_key(w) for w, x in zip(words, shares, strict=True) if x is None]
-                        more = list(map(get, keys))
-                        shares += more
-                        others = more.count(None)
-                        rest += [k for k, x in zip(keys, more, strict=True) if x is None]
-                    cuts.append(cuts[-1] + others)
-                    n.append(len(words) + 1)
-                    found.append(len(words) - others + (ends > 0))
-                    base.append(end + sum(filter(None, shares)))
-                tails = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rest, pa.binary()))
-                ids = [encode_words(encoding, words) for words in split]
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(ids, pa.binary()), tails], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "tail"])
+                n = np.array([len(words) for words in split])
+                flat, owner = list(chain.from_iterable(split)), np.repeat(np.arange(len(n)), n)
+                place = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+                blobs = encode_split(tokenizer, texts, split, place, ids, id_cuts)
+                other = np.flatnonzero(place < 0)
+                keys = [word_key(flat[k]) for k in other.tolist()]
+                place[other] = np.fromiter(map(get, keys, repeat(-1)), np.int64, len(keys))  # a long frequent word is in the head by its key
+                known = place >= 0
+                base = end + np.bincount(owner[known], shares[place[known]], len(n))
+                found = np.bincount(owner[known], minlength=len(n)) + (ends > 0)
+                rest = [k for k, p in zip(keys, place[other].tolist(), strict=True) if p < 0]
+                tails = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(owner[~known], minlength=len(n)))], pa.int32()), pa.array(rest, pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), part.column(1), pa.array(n + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(blobs, pa.binary()), tails], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "tail"])
                 row += len(n)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _ENCODED)
@@ -291,7 +339,7 @@ def lm_scores(docs: DataFrame, training: Column, tokenizer: tuple[str, str]) ->
                 break
             least, held = n, held + k
         got = counts.where(F.col("n") >= least).toArrow()
-        head = spark.sparkContext.broadcast({w: math.log10((n + 0.5) / z) for w, n in zip(got["w"].to_pylist(), got["n"].to_pylist(), strict=True)})
+        head = spark.sparkContext.broadcast(_head(tokenizer, got["w"].to_pylist(), np.log10((got["n"].to_numpy() + 0.5) / z)))
         encoded = materialize(_encode(docs, tokenizer, head, ends, z), "encoded-texts", TEXT_ROWS)
 
         learn = encoded.where("NOT held_out")
