@@ -156,6 +156,18 @@ def test_distances_equal_a_numpy_estimate(spark):
         assert np.allclose([d2[k] for k in range(len(x))], mcd_by_hand(x), rtol=1e-6)
 
 
+def test_settled_groups_take_no_more_steps(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    groups = {"a": np.r_[rng.normal(0, [1, 0.3, 0.2, 0.4, 0.2], (260, 5)), rng.normal(4, 1, (90, 5))], "b": np.tile(rng.normal(2, 1, 5), (220, 1))}
+    rows = [(lang, "s", v.tolist(), True) for lang, x in groups.items() for v in x]
+    fitted, keep = [], quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda df, keys, *more: fitted.append({r.gid for r in df.select("gid").distinct().collect()}) or keep(df, keys, *more))
+    quality.robust_outliers(spark.createDataFrame(rows, "lang string, source string, x array<double>, fit boolean"))
+    # the group of equal vectors falls no more after its first step; the last fit is the reweighting of both
+    assert fitted[0] == fitted[-1] == {"a\x1fs", "b\x1fs"}
+    assert fitted[2:-1] and all(f == {"a\x1fs"} for f in fitted[2:-1])
+
+
 def test_native_matrices(spark):
     a = np.random.default_rng(1).normal(size=(5, 5))
     cov = a @ a.T + np.eye(5)

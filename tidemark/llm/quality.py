@@ -4,7 +4,7 @@ All of it is DataFrame and SQL expressions. Five statistics of each text (words,
 repeated eight-word windows) are transformed to a vector. Per group of (lang, source) concentration steps look for the half of
 the vectors (``core``) whose covariance has the least determinant: distances under the present mean and covariance, a
 threshold at the core's quantile, then mean and covariance of the vectors below it. Steps start from two robust guesses and go on
-until no group's determinant falls any more; each keeps its lowest, and the lower of the two wins; the estimate is made consistent at the median, reweighted once and made consistent again, and vectors
+until its group's determinant falls no more; each keeps its lowest, and the lower of the two wins; the estimate is made consistent at the median, reweighted once and made consistent again, and vectors
 beyond the chi-squared law's 97.5 % bound are rejected. ``FLOORS`` widen covariances, so the last factor of consistency is 1 at
 least: less would take the floors back.
 
@@ -169,7 +169,7 @@ def robust_outliers(df: DataFrame, core: float = 0.5, min_group: int = 200) -> D
     )
     df = _with_params(df, names, ["_l", "_s"], groups).withColumn("gid", F.coalesce("gid", F.lit("\1"))).drop("_l", "_s")
 
-    fit = df.where("fit").select("gid", "x")
+    fit = materialize(df.where("fit").select("gid", "x"), "mcd-vectors")
     robust = fit.groupBy("gid").agg(*[F.percentile_approx(F.col("x")[i], [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(P)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(P)]
     start = materialize(robust.select("gid", F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("mid"), F.array(*spread).alias("spread")), "mcd-start")
@@ -178,26 +178,26 @@ def robust_outliers(df: DataFrame, core: float = 0.5, min_group: int = 200) -> D
     two = F.array(sum((a * a for a in z[1:]), z[0] * z[0]), F.greatest(*[F.abs(a) for a in z]))
     scored = scored.select("gid", "x", F.posexplode(two).alias("start", "d2"))
     keys = ["gid", "start"]
-    lowest: dict[tuple, float] = {}
     kept, k = None, 0
     while True:
         limit = scored.groupBy(*keys).agg(F.percentile_approx("d2", core, 10_000).alias("limit"))
         near = _with_params(scored, limit, keys, groups, 40).where("d2 <= limit")
-        params = _fit(near, keys)
-        if kept is not None:  # a group's lowest so far stays if the step did not lower it
-            both = kept.unionByName(params).groupBy(*keys).agg(F.min_by(F.struct("n", "mean", "factor", "logdet"), "logdet").alias("b"))
-            params = both.select(*keys, "b.*")
+        params = _fit(near, keys).withColumn("falls", F.lit(True))
+        if kept is not None:  # a group's lowest so far stays if the step did not lower it; one whose lowest has stopped falling takes no more steps
+            both = kept.withColumn("falls", F.lit(False)).unionByName(params).groupBy(*keys).agg(
+                F.min_by(F.struct("n", "mean", "factor", "logdet"), "logdet").alias("b"),
+                F.coalesce(F.min(F.expr("if(falls, logdet, null)")) < F.min(F.expr("if(falls, null, logdet)")) - FALL, F.lit(False)).alias("falls"),
+            )
+            params = both.select(*keys, "b.*", "falls")
         before, kept = kept, materialize(params, f"mcd-step{k}")
         params = kept
         if before is not None:
             discard(before)
         k += 1
-        now = {(r.gid, r.start): r.logdet for r in params.select(*keys, "logdet").collect()}
-        if all(g in lowest and not d < lowest[g] - FALL for g, d in now.items()):
+        falling = params.where("falls")
+        if falling.isEmpty():
             break
-        lowest = now
-        pairs = fit.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-        scored = _with_params(pairs, params, keys, groups).select("gid", "start", "x", distance("x", "mean", "factor").alias("d2"))
+        scored = _with_params(fit, falling, ["gid"], 2 * groups).where("start IS NOT NULL").select("gid", "start", "x", distance("x", "mean", "factor").alias("d2"))
     best = params.groupBy("gid").agg(F.min(F.struct("logdet", "start", "mean", "factor")).alias("b")).select("gid", "b.mean", "b.factor")
     best = materialize(best, "mcd-best")
     raw = _with_params(fit, best, ["gid"], groups).select("gid", "x", distance("x", "mean", "factor").alias("d2"))
@@ -207,6 +207,7 @@ def robust_outliers(df: DataFrame, core: float = 0.5, min_group: int = 200) -> D
     last = _with_params(fit, final, ["gid"], groups).select("gid", distance("x", "mean", "factor").alias("d2"))
     scale = last.groupBy("gid").agg(F.greatest(F.percentile_approx("d2", 0.5, 10_000) / CHI2_50, F.lit(1.0)).alias("scale"))
     final = materialize(final.join(scale, "gid"), "mcd-scaled")
+    discard(fit)
     out = _with_params(df, final, ["gid"], groups)
     return out.withColumn("d2", distance("x", "mean", "factor") / F.col("scale")).drop("mean", "factor", "scale", "gid")
 
