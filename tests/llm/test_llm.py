@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -500,6 +501,26 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(b, "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_word_ids_of_letters_and_signs_come_from_the_model_alone():
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(WORD), random.Random(8)
+    enc, small = wordids.WordEncoder(WORD), wordids.WordEncoder(WORD, cache_words=5)
+    alone, keep = [], enc._alone
+    enc._alone = lambda words: alone.extend(words) or keep(words)
+    texts = ["Ñandú*** quick&&& naïve, fox", "Ñandú, the.,&&& x1 don't İx ª ΣΑΣ", "Ñandú&&& é \xa0ÿ"]
+    texts += [" ".join("".join(chr(rng.randrange(1, 256)) for _ in range(rng.randint(1, 4))) for _ in range(200)).replace("<|", "") for _ in range(40)]
+    texts += ["".join(f" a{chr(c)}b,{chr(c)}" for c in range(at, at + 5000) if not 0xD800 <= c < 0xE000).replace("<|", "") for at in range(0, 0x20000, 5000)]
+    want = [lib.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode([t.encode() for t in texts[:3]])] == want[:3]
+    assert sorted(alone) == sorted({"***", "&&&", ",", ".,&&&", "x1", "don't", "İx", "ª", "ΣΑΣ", "é", "\xa0ÿ", ""})
+    for e in (enc, small):
+        for k in range(0, len(texts), 7):
+            got = e.encode([t.encode() for t in texts[k : k + 7]])
+            assert [np.frombuffer(b, "<u4").tolist() for b in got] == want[k : k + 7]
+    assert len(small.cache) < 10_000 and list(enc.encode([])) == [] and list(enc.encode(pa.array([None, "", " "]))) == [b"", b"", b""]
+
+
 # 7 decontamination
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import table
 from .wordids import CACHE_WORDS, word_ids
 
 
@@ -120,9 +120,8 @@ def harmonic_pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                texts = utf8(part.column(1))
                 out = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     out += packer.add(doc, ids + end)
                 yield from rows(out)
         yield from rows(packer.close())
