@@ -519,6 +519,7 @@ def test_word_ids_of_letters_and_signs_come_from_the_model_alone():
             got = e.encode([t.encode() for t in texts[k : k + 7]])
             assert [np.frombuffer(b, "<u4").tolist() for b in got] == want[k : k + 7]
     assert len(small.cache) < 10_000 and list(enc.encode([])) == [] and list(enc.encode(pa.array([None, "", " "]))) == [b"", b"", b""]
+    assert [b"".join(enc.encode(pa.array(texts).slice(k, 1))) for k in range(len(texts))] == list(enc.encode([t.encode() for t in texts]))  # slices
 
 
 # 7 decontamination
@@ -817,6 +818,28 @@ def test_subwords_of_frequent_words_are_looked_up(monkeypatch):
     assert lm_score.encode_split((SUBWORDS[0], r"\S+|\s+"), texts[:1], split[:1], np.full(len(split[0]), -1), ids[:0], np.zeros(1, int)) == [keep(lm_score.encoder(SUBWORDS[0], r"\S+|\s+"), split[0])]
 
 
+def test_lm_sees_distinct_words_only(monkeypatch):
+    texts = ["It's a cat,  A\tcat ", None, "", " \n", "dog a -- dog 漢字 é́ \x1c🙂 x\xa0", "a cat's " + "y" * 30, "ÀB ab zzz zzz zzz", "z   ", " ".join(["rare"] * 300)]
+    column = pa.array(["the", *texts], pa.string()).slice(1)
+    split = [(t or "").encode().lower().split() for t in texts]
+    keys = [b"a", b"cat", lm_score.word_key(b"y" * 30), "漢字".encode(), "x\xa0".encode()]
+    at_of, shares, ids, cuts = lm_score._head(SUBWORDS, keys, -np.arange(1.0, 6))
+    keep, encoded = lm_score.encode_words, []
+    monkeypatch.setattr(lm_score, "encode_words", lambda e, words: encoded.append(words) or keep(e, words))
+    for tokenizer in (SUBWORDS, (SUBWORDS[0], r"\S+|\s+")):
+        n, found, base, blobs, tails = lm_score.encode_texts(tokenizer, column, at_of, shares, ids, cuts)
+        inside = [[at_of.get(lm_score.word_key(w)) for w in words] for words in split]
+        assert n.tolist() == list(map(len, split)) and found.tolist() == [sum(k is not None for k in i) for i in inside]
+        assert np.allclose(base, [sum(shares[k] for k in i if k is not None) for i in inside])
+        assert blobs == [keep(lm_score.encoder(*tokenizer), words) for words in split]
+        assert tails.to_pylist() == [[lm_score.word_key(w) for w, k in zip(words, i, strict=True) if k is None] for words, i in zip(split, inside, strict=True)]
+    spelt = [w for w in encoded[0] if w != b"x"]
+    assert len(spelt) == len(set(spelt)) and spelt.count(b"rare") == 1
+    assert lm_score.encode_texts(SUBWORDS, column[:0], at_of, shares, ids, cuts)[3] == []
+    words, place, owner = lm_score.split_words(column)
+    assert [[lm_score.listed(words)[w] for w in place[owner == k]] for k in range(len(texts))] == split
+
+
 def test_lm_of_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c"), (2, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
     got = lm_score.lm_scores(df, F.lit(True), SUBWORDS).collect()

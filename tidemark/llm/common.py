@@ -86,3 +86,13 @@ def utf8(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b or b"" for b in column.cast(kind).to_pylist()]
+
+
+def strings(column):
+    """A pyarrow string column as strings with 64-bit offsets that begin at 0; null becomes empty. (``ascii_lower`` of pyarrow 23 misreads
+    other offsets, which casts of slices have.)"""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.cast(pa.large_string())
+    return pc.if_else(pc.is_null(column), "", column)

@@ -20,18 +20,18 @@ from __future__ import annotations
 import base64
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from . import attention
-from .common import TEXT_ROWS, fold_column, materialize, own_job, table, utf8
+from .common import TEXT_ROWS, fold_column, materialize, own_job, strings, table
 
 #: Words whose counts every task has.
 HEAD = 100_000
@@ -45,7 +45,8 @@ IDS = PAD + 1
 
 #: An expression whose pieces end with a word, so that a word's ids are its own, where no white space beyond ASCII stands beside a blank.
 APART = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space beyond ASCII, in UTF-8.
+#: White space beyond ASCII, as characters and in UTF-8.
+WHITE = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BEYOND = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
 _ENCODERS: dict[tuple[str, str], object] = {}
@@ -109,17 +110,40 @@ def word_key(word: bytes) -> bytes:
     return word if len(word) <= 16 else b"\0" + xxh3_128_digest(word)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lower-cased words of texts (null: none): the distinct ones, which of them each word is, and its text."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(strings(texts)))
+    words = split.flatten().dictionary_encode()
+    found, owner = words.indices.to_numpy(), np.repeat(np.arange(len(split)), pc.list_value_length(split))
+    blank = words.dictionary.index("").as_py()  # stands before and after white space at the ends of texts
+    if blank < 0:
+        return words.dictionary.cast(pa.large_binary()), found, owner
+    real = found != blank
+    found, owner = found[real], owner[real]
+    return words.dictionary.cast(pa.large_binary()).filter(pa.array(np.arange(len(words.dictionary)) != blank)), found - (found > blank), owner
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """Words, which have no line ends, as a list."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(b"\n", words.type))[0].as_py().split(b"\n") if len(words) else []
+
+
+def word_keys(words: pa.Array) -> pa.Array:
+    """``word_key`` of each word."""
+    long = pc.greater(pc.binary_length(words), 16)
+    return pc.replace_with_mask(words, long, pa.array([word_key(w) for w in listed(words.filter(long))], words.type)) if pc.any(long).as_py() else words
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(w, n) of the words of all texts, by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for at in range(0, batch.num_rows, TEXTS):
-                for text in utf8(batch.column(0).slice(at, TEXTS)):
-                    counts.update(text.lower().split())
-            if counts:
-                yield pa.RecordBatch.from_pydict({"w": pa.array([word_key(w) for w in counts], pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
+            parts = [split_words(batch.column(0).slice(at, TEXTS))[:2] for at in range(0, batch.num_rows, TEXTS)]
+            if parts:
+                keys = pa.concat_arrays([word_keys(words) for words, _ in parts]).dictionary_encode()
+                n = np.bincount(keys.indices, np.concatenate([np.bincount(found, minlength=len(words)) for words, found in parts]), len(keys.dictionary))
+                yield pa.RecordBatch.from_pydict({"w": keys.dictionary.cast(pa.binary()), "n": pa.array(n.astype(np.int64))})
 
     return docs.select("text").mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -143,33 +167,56 @@ def _encode(docs: DataFrame, tokenizer: tuple[str, str], head, ends: int, size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at_of, shares, ids, id_cuts = head.value
-        get = at_of.get
         row = TaskContext.get().partitionId() << 36
         end = math.log10((ends + 0.5) / size)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)
-                texts = utf8(part.column(2))
-                split = [text.lower().split() for text in texts]
-                n = np.array([len(words) for words in split])
-                flat, owner = list(chain.from_iterable(split)), np.repeat(np.arange(len(n)), n)
-                place = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-                blobs = encode_split(tokenizer, texts, split, place, ids, id_cuts)
-                other = np.flatnonzero(place < 0)
-                keys = [word_key(flat[k]) for k in other.tolist()]
-                place[other] = np.fromiter(map(get, keys, repeat(-1)), np.int64, len(keys))  # a long frequent word is in the head by its key
-                known = place >= 0
-                base = end + np.bincount(owner[known], shares[place[known]], len(n))
-                found = np.bincount(owner[known], minlength=len(n)) + (ends > 0)
-                rest = [k for k, p in zip(keys, place[other].tolist(), strict=True) if p < 0]
-                tails = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(owner[~known], minlength=len(n)))], pa.int32()), pa.array(rest, pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), part.column(1), pa.array(n + 1, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(blobs, pa.binary()), tails], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "tail"])
+                n, found, base, blobs, tails = encode_texts(tokenizer, part.column(2), *head.value)
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), part.column(1), pa.array(n + 1, pa.int64()), pa.array(found + (ends > 0), pa.int64()), pa.array(end + base, pa.float64()), pa.array(blobs, pa.binary()), tails], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "tail"])
                 row += len(n)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _ENCODED)
 
 
+def _blobs(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """16-bit ids, cut where starts says."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(2 * starts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def encode_texts(tokenizer: tuple[str, str], texts: pa.Array, at_of: dict[bytes, int], shares: np.ndarray, head_ids: np.ndarray, head_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], pa.Array]:
+    """Of each text: its number of words, of those in the head, their sum of shares, the ids of all words (``encode_words``), the keys of words
+    that are not in the head. Only distinct words are looked up and encoded."""
+    words, found, owner = split_words(texts)
+    n, first = np.bincount(owner, minlength=len(texts)), listed(words)
+    at = np.r_[0, np.cumsum(n)]
+    place = np.fromiter(map(at_of.get, first, repeat(-1)), np.int64, len(first))
+    if tokenizer[1] == APART:
+        white = np.array(pc.match_substring_regex(strings(texts), WHITE), bool)
+        other = place < 0
+        others = list(compress(first, other.tolist()))
+        if white.any():
+            others = [b"x" if BEYOND.search(w) else w for w in others]  # the texts that they stand in are encoded whole
+        ids = np.frombuffer(encode_split(tokenizer, [b""], [others], np.full(len(others), -1), head_ids[:0], np.zeros(1, np.int64))[0], "<u2")
+        starts = np.flatnonzero(_BLANKS[tokenizer][ids])
+        pool = pa.concat_arrays([_blobs(ids, np.r_[starts, len(ids)]), _blobs(head_ids, head_cuts)])
+        got = pool.take(pa.array(np.where(other, np.cumsum(other) - 1, place + len(starts))[found]))
+        _, ends, data = got.buffers()
+        cuts = np.frombuffer(ends, np.int64)[at].tolist() if len(got) else [0] * len(at)
+        blobs = [data[a:b].to_pybytes() if b > a else b"" for a, b in zip(cuts, cuts[1:], strict=False)]
+    else:
+        white, blobs = np.ones(len(texts), bool), [b""] * len(texts)
+    for k in np.flatnonzero(white).tolist():
+        blobs[k] = encode_words(encoder(*tokenizer), [first[w] for w in found[at[k] : at[k + 1]].tolist()])
+    keys, long = word_keys(words), np.flatnonzero(np.fromiter(map(len, first), np.int64, len(first)) > 16)
+    place[long] = np.fromiter(map(at_of.get, keys.take(pa.array(long)).to_pylist(), repeat(-1)), np.int64, len(long))  # a long frequent word is in the head by its key
+    where = place[found]
+    known = where >= 0
+    base = np.bincount(owner[known], shares[where[known]], len(n))
+    tails = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(owner[~known], minlength=len(n)))], pa.int32()), keys.cast(pa.binary()).take(pa.array(found[~known])))
+    return n, np.bincount(owner[known], minlength=len(n)), base, blobs, tails
+
+
 def _ids(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(b, "<u2").astype(np.int32) for b in blobs]
 

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import strings
+
 #: Words kept by each Python worker; words beyond it are encoded again in each batch that has them.
 CACHE_WORDS = 450_000
 #: Letters of ASCII and Latin-1 that have a lower case, or are one; signs of ASCII, but for the apostrophe, which may begin a piece of its own.
@@ -93,7 +95,7 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[bytes] | pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text, equal to the library's encode. Null is an empty text."""
-        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())).cast(pa.large_string()).fill_null("")
+        texts = strings(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary()))
         whole = pc.match_substring(texts, "<|")  # special tokens: the whole text goes to the library
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(whole, "", texts)))
         words = split.flatten().dictionary_encode()
