@@ -62,6 +62,12 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(a, (len(a), RUN, T, a.shape[2]), (part, SCORED * row, row, cell)).reshape(-1, T, a.shape[2])
 
 
+def _turned(a: np.ndarray) -> np.ndarray:
+    """``_runs``, each window turned, in one piece each."""
+    part, row, cell = (a := np.ascontiguousarray(a.transpose(0, 2, 1))).strides
+    return np.lib.stride_tricks.as_strided(a, (len(a), RUN, a.shape[1], T), (part, SCORED * cell, row, cell)).reshape(-1, a.shape[1], T)
+
+
 def _whole(a: np.ndarray, runs: int) -> np.ndarray:
     """Sums over the windows that a place of a run lies in; the opposite of ``_runs``."""
     blocks = T // SCORED
@@ -261,10 +267,10 @@ class Weights:
             c = classes[np.where(seen, t, 0)]
             every = p["e"].take(a, 0)
             now = every[:, CONTEXT:].reshape(-1, EMBED)
-            e = _runs(every)
+            e, turned = _runs(every), _turned(every)
             meet = p["q"] @ p["k"].T
             qk = (now @ meet).reshape(n, SCORED, EMBED)
-            w = qk @ e.transpose(0, 2, 1)
+            w = qk @ turned
             w += p["b"]
             np.clip(w, -LARGEST, LARGEST, out=w)  # in place of a shift by each row's greatest
             w += MASK
@@ -277,13 +283,14 @@ class Weights:
             np.exp(g, out=g)
             g *= weight[:, None] / (g @ ones[:CLASSES])
             g.reshape(-1)[np.arange(0, g.size, CLASSES) + c] -= weight
-            dcontext = g @ p["v"].T
-            sides = np.concatenate((dcontext.reshape(n, SCORED, EMBED), qk), 1)
-            ds = sides[:, :SCORED] @ e.transpose(0, 2, 1)
-            ds -= ((dcontext * context) @ ones[:EMBED]).reshape(n, SCORED, 1)
+            dcontext = (g @ p["v"].T).reshape(n, SCORED, EMBED)
+            ds = dcontext @ turned
+            ds -= ((dcontext.reshape(-1, EMBED) * context) @ ones[:EMBED]).reshape(n, SCORED, 1)
             ds *= w
             dqk = (ds @ e).reshape(-1, EMBED)
-            de = _whole(np.concatenate((w, ds), 1).transpose(0, 2, 1) @ sides, len(a))
+            moved = w.transpose(0, 2, 1) @ dcontext
+            moved += ds.transpose(0, 2, 1) @ qk
+            de = _whole(moved, len(a))
             de[:, CONTEXT:] += (dqk @ meet.T).reshape(len(a), -1, EMBED)
             dmeet = now.T @ dqk
             ids = a.reshape(-1)

@@ -364,7 +364,7 @@ def _rare_pairs(encoded: DataFrame, pairs: DataFrame, rank: np.ndarray, within:
                 rows = np.repeat(batch.column(0).slice(at, BLOCK).to_numpy(), [len(d) + 1 for d in docs])
                 yield pa.RecordBatch.from_pydict({"row": pa.array(rows[rest], pa.int64()), "pair": pa.array(first[rest] << 16 | second[rest], pa.int64())})
 
-    met = encoded.select("row", "ids").mapInArrow(found, "row long, pair long").join(pairs.mapInArrow(gains, "pair long, gain double"), "pair")
+    met = encoded.select("row", "ids").mapInArrow(found, "row long, pair long").join(pairs.mapInArrow(gains, "pair long, gain double").hint("shuffle_hash"), "pair")
     return met.groupBy("row").agg(F.sum("gain").alias("pair_score"))
 
 
@@ -400,7 +400,7 @@ def lm_scores(docs: DataFrame, training: Column, tokenizer: tuple[str, str]) ->
         rare = _rare_pairs(encoded, pairs, rank, model.value.within)
 
     tail = encoded.select("row", F.explode("tail").alias("w"))
-    scored = tail.join(counts, "w", "left").groupBy("row").agg(
+    scored = tail.join(counts.hint("shuffle_hash"), "w", "left").groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / z)).alias("tail_score"), F.sum((F.coalesce("n", F.lit(0)) > 0).cast("long")).alias("tail_known")
     )
 
