@@ -836,6 +836,10 @@ def test_lm_sees_distinct_words_only(monkeypatch):
     spelt = [w for w in encoded[0] if w != b"x"]
     assert len(spelt) == len(set(spelt)) and spelt.count(b"rare") == 1
     assert lm_score.encode_texts(SUBWORDS, column[:0], at_of, shares, ids, cuts)[3] == []
+    for size, cuts in ((1, [(k, 1) for k in range(len(texts))]), (10**6, [(0, len(texts))])):
+        monkeypatch.setattr(lm_score, "BYTES", size)
+        got = list(lm_score.cut_texts(column))
+        assert got == cuts or size == 1 and [k for at, n in got for k in range(at, at + n)] == list(range(len(texts))) and all(sum(map(bool, texts[at : at + n])) <= 1 for at, n in got)
     words, place, owner = lm_score.split_words(column)
     assert [[lm_score.listed(words)[w] for w in place[owner == k]] for k in range(len(texts))] == split
 

@@ -35,8 +35,8 @@ from .common import TEXT_ROWS, fold_column, materialize, own_job, strings, table
 
 #: Words whose counts every task has.
 HEAD = 100_000
-#: Texts whose words a task holds at once.
-TEXTS = 250
+#: Bytes of texts whose words a task holds at once; a longer text is taken alone.
+BYTES = 4 << 20
 #: Words that are encoded in one go; a longer text is cut between words, which has no bearing on its ids.
 RUN = 100_000
 #: Ids of the vocabulary are below END.
@@ -110,6 +110,15 @@ def word_key(word: bytes) -> bytes:
     return word if len(word) <= 16 else b"\0" + xxh3_128_digest(word)
 
 
+def cut_texts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of texts that are taken at once."""
+    stops, at = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + BYTES, "right")))
+        yield at, end - at
+        at = end
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Lower-cased words of texts (null: none): the distinct ones, which of them each word is, and its text."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(strings(texts)))
@@ -139,7 +148,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [split_words(batch.column(0).slice(at, TEXTS))[:2] for at in range(0, batch.num_rows, TEXTS)]
+            parts = [split_words(batch.column(0).slice(at, n))[:2] for at, n in cut_texts(batch.column(0))]
             if parts:
                 keys = pa.concat_arrays([word_keys(words) for words, _ in parts]).dictionary_encode()
                 n = np.bincount(keys.indices, np.concatenate([np.bincount(found, minlength=len(words)) for words, found in parts]), len(keys.dictionary))
@@ -170,8 +179,8 @@ def _encode(docs: DataFrame, tokenizer: tuple[str, str], head, ends: int, size:
         row = TaskContext.get().partitionId() << 36
         end = math.log10((ends + 0.5) / size)
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            for at, many in cut_texts(batch.column(2)):
+                part = batch.slice(at, many)
                 n, found, base, blobs, tails = encode_texts(tokenizer, part.column(2), *head.value)
                 yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(n)), pa.int64()), part.column(0), part.column(1), pa.array(n + 1, pa.int64()), pa.array(found + (ends > 0), pa.int64()), pa.array(end + base, pa.float64()), pa.array(blobs, pa.binary()), tails], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids", "tail"])
                 row += len(n)
